@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.window import Window
 
-from hitloom.llm import percentiles as P, splits as S
+from hitloom.llm import mixture as M, packing as K, percentiles as P, splits as S, tokens as T, truncation as C
 from hitloom.runtime import materialise, table
 
 
@@ -55,8 +56,53 @@ def p5_splits(spark: SparkSession, sf: str) -> DataFrame:
 def p5_split_shares(spark: SparkSession, sf: str) -> DataFrame:
     """Target and reached share of each split."""
     rows = p5_splits(spark, sf).groupBy("split_name").agg(F.count("*").alias("n_rows"), F.count_distinct("group_key").alias("n_groups"))
-    total = rows.agg(F.sum("n_rows").alias("total"))
-    return table(spark, sf, "split_targets").join(rows, "split_name", "left").crossJoin(total).select("split_name", "target_share", F.coalesce("n_rows", F.lit(0)).alias("n_rows"), F.coalesce("n_groups", F.lit(0)).alias("n_groups"), (F.coalesce("n_rows", F.lit(0)) / F.col("total")).alias("share"))
+    n = F.coalesce("n_rows", F.lit(0))
+    out = table(spark, sf, "split_targets").join(rows, "split_name", "left")
+    return out.select("split_name", "target_share", n.alias("n_rows"), F.coalesce("n_groups", F.lit(0)).alias("n_groups"), (n / F.sum(n).over(Window.partitionBy(F.lit("listed")))).alias("share"))
+
+
+def _sized(spark: SparkSession, sf: str) -> DataFrame:
+    """Every document with its size in tokens, counted once and kept."""
+    docs = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "source", "text")
+    return materialise(T.with_token_counts(docs, "text"), "sized")
+
+
+def p6_containers(spark: SparkSession, sf: str) -> DataFrame:
+    """Every document's container, for each kind of container."""
+    return K.pack(_sized(spark, sf).select("id", "n_tokens"), table(spark, sf, "container_sizes")).withColumnRenamed("id", "doc_id")
+
+
+def p6_fill(spark: SparkSession, sf: str) -> DataFrame:
+    """How full the containers of each kind are, against the least possible number."""
+    return K.fill_report(p6_containers(spark, sf), table(spark, sf, "container_sizes"))
+
+
+def p7_mix(spark: SparkSession, sf: str) -> DataFrame:
+    """The mix of documents in shuffled order."""
+    sized = _sized(spark, sf)
+    return M.mix(sized, M.mixture_plan(sized, table(spark, sf, "source_targets"))).withColumnRenamed("id", "doc_id")
+
+
+def p7_shares(spark: SparkSession, sf: str) -> DataFrame:
+    """Target and reached share of each listed source."""
+    sized = _sized(spark, sf)
+    plan = materialise(M.mixture_plan(sized, table(spark, sf, "source_targets")), "plan")
+    return M.shares(M.mix(sized, plan), plan)
+
+
+def _judged(spark: SparkSession, sf: str) -> DataFrame:
+    return C.truncated(table(spark, sf, "documents"))
+
+
+def p8_found(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents whose text was cut."""
+    return _judged(spark, sf).where("cut").select("doc_id")
+
+
+def p8_rates(spark: SparkSession, sf: str) -> DataFrame:
+    """Cut texts per source; sources by name, null sources as one."""
+    judged = _judged(spark, sf)
+    return judged.groupBy("source").agg(F.count("*").alias("n_texts"), F.count_if("cut").alias("n_cut"), (F.count_if("cut") / F.count("*")).alias("cut_rate"))
 
 
 QUERIES = {
@@ -66,6 +112,12 @@ QUERIES = {
     "p5_found": p5_found,
     "p5_splits": p5_splits,
     "p5_split_shares": p5_split_shares,
+    "p6_containers": p6_containers,
+    "p6_fill": p6_fill,
+    "p7_mix": p7_mix,
+    "p7_shares": p7_shares,
+    "p8_found": p8_found,
+    "p8_rates": p8_rates,
 }
 
 _HITS = """

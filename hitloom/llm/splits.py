@@ -71,7 +71,6 @@ def components(links: DataFrame, rows_per_task: int = 2_000_000, fan_in: int = 8
     Null ends and self-links tie nothing; repeated links are harmless; an empty table gives an empty
     result.
     """
-    spark = links.sparkSession
     e = links.select(F.col("u").cast("long").alias("u"), F.col("v").cast("long").alias("v")).where("u is not null and v is not null and u <> v")
     parts = 0
     level = materialise(e.mapInArrow(_forest, "u long, v long"), "forest")
@@ -114,9 +113,9 @@ def ties(df: DataFrame, event: str, cluster: str, unknown: int = -1, **kw) -> Da
 def _plan(sizes: list[tuple[int, int]], targets: list[tuple[str, float]]) -> list[tuple[int, str, int, int]]:
     """Greedy assignment of ``count`` groups of each ``size``, largest first, to the split furthest below target.
 
-    Runs of equally large groups are dealt in bulk: one split takes groups until it is level with
-    the next, and once all are within one group of each other they take turns. The outcome is that
-    of the one-by-one greedy. Returns (size, split, first rank, past last rank).
+    Runs of equally large groups are dealt in bulk: the splits within one group of the furthest take
+    turns until they reach the next. The outcome is that of the one-by-one greedy, up to which of two
+    splits at the same distance comes first. Returns (size, split, first rank, past last rank).
     """
     targets = [(n, s) for n, s in targets if s and s > 0]
     whole = sum(s for _, s in targets)
@@ -128,22 +127,20 @@ def _plan(sizes: list[tuple[int, int]], targets: list[tuple[str, float]]) -> lis
         left = count
         while left:
             order = sorted(range(len(targets)), key=lambda j: (-short[j], j))
-            first = order[0]
-            if short[first] - short[order[-1]] <= size:
-                turns = left // len(targets)
-                for j in order:
-                    got[j] += turns
-                    short[j] -= turns * size
-                left -= turns * len(targets)
-                for j in order[:left]:
+            top = [j for j in order if short[order[0]] - short[j] <= size]
+            if len(top) == len(order):
+                turns = left // len(top)
+            else:
+                turns = min(left // len(top), int((short[top[-1]] - short[order[len(top)]]) // size))
+            for j in top:
+                got[j] += turns
+                short[j] -= turns * size
+            left -= turns * len(top)
+            if left and not turns or left < len(top) == len(order):
+                for j in order[: min(left, 1 if len(top) < len(order) else len(top))]:
                     got[j] += 1
                     short[j] -= size
-                break
-            rival = short[order[1]]
-            k = min(left, max(1, int((short[first] - rival) // size)))
-            got[first] += k
-            short[first] -= k * size
-            left -= k
+                    left -= 1
         at = 0
         for j, n in enumerate(got):
             if n:
