@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from hitloom.operators.sessions import sessionize
+from hitloom.operators.spikes import implausible_readings
 from hitloom.runtime import table
 
 
@@ -15,7 +16,12 @@ def p3_found(spark: SparkSession, sf: str) -> DataFrame:
     return sessionize(hits).select("crystal_no", "start_ts", "end_ts", "n_events")
 
 
-QUERIES = {"p3_found": p3_found}
+def p1_found(spark: SparkSession, sf: str) -> DataFrame:
+    """Implausible readings of energy, position and crystal number."""
+    return implausible_readings(table(spark, sf, "interactions"), table(spark, sf, "crystals")).select("event_id", "point_idx", "field").distinct()
+
+
+QUERIES = {"p1_found": p1_found, "p3_found": p3_found}
 
 SQL = {
     "p3_found": """
