@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.window import Window
 
-from hitloom.llm import mixture as M, packing as K, percentiles as P, splits as S, tokens as T, truncation as C
+from hitloom.llm import mixture as M, packing as K, percentiles as P, similarity as D, splits as S, tokens as T, truncation as C
 from hitloom.runtime import materialise, table
 
 
@@ -42,6 +42,17 @@ def p2_single_days(spark: SparkSession, sf: str) -> DataFrame:
     return P.summary_percentiles(P.summarise(_readings(spark, sf), keys, "day", "e", 0.001), [*keys, "day"])
 
 
+def p4_found(spark: SparkSession, sf: str) -> DataFrame:
+    """Coincidences that repeat one hit pattern: the smallest of each group with each other member."""
+    members = D.similar_sets(table(spark, sf, "coincidences"))
+    return members.where("id <> cluster").select(F.col("cluster").alias("event_id_a"), F.col("id").alias("event_id_b"))
+
+
+def p4_groups(spark: SparkSession, sf: str) -> DataFrame:
+    """Every group with its size and its most typical members."""
+    return D.describe(D.similar_sets(table(spark, sf, "coincidences")))
+
+
 def p5_found(spark: SparkSession, sf: str) -> DataFrame:
     """Events tied by shared rays: the smallest of each tied set with each other member."""
     tree = S.ties(table(spark, sf, "training_rows"), "ray_event_id", "ray_cluster_id")
@@ -109,6 +120,8 @@ QUERIES = {
     "p2_percentiles": p2_percentiles,
     "p2_days_combined": p2_days_combined,
     "p2_single_days": p2_single_days,
+    "p4_found": p4_found,
+    "p4_groups": p4_groups,
     "p5_found": p5_found,
     "p5_splits": p5_splits,
     "p5_split_shares": p5_split_shares,
