@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -18,9 +19,12 @@ CHAINS = ((0, 1, 2, 3, 4), (0, 5, 6, 7))
 SLOTS = 1 << 21
 #: Characters of a text's tail that are looked at for its final context.
 TAIL = 200
+#: Counted contexts held per order before they are summed up.
+PENDING = 300_000
 #: Bytes of text handled at once.
-CHUNK = 4 << 20
+CHUNK = 256 << 10
 
+_BLANK = " \t\n\r\x0b\x0c\u00a0\u2028\u2029\ufffd"
 _BASE = 0x9E3779B97F4A7C15
 _MAP = np.arange(256, dtype=np.uint8)
 _MAP[ord("1") : ord("9") + 1] = ord("0")
@@ -68,20 +72,22 @@ def _views(raw: np.ndarray, starts: np.ndarray) -> dict[str, tuple[np.ndarray, n
     return {"text": (c, starts_), "shape": _cut(shape, keep | first, starts_)}
 
 
-def _hashes(c: np.ndarray, orders: list[int]) -> dict[int, np.ndarray]:
-    """For each order k the hash of the k bytes that end at each position from k - 1 on."""
-    have = {1: (c.astype(np.uint64) + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93)}
-
-    def get(k: int) -> np.ndarray:
-        if k not in have:
-            a = 1 << (k.bit_length() - 1)
-            a, b = (a // 2, a // 2) if a == k else (a, k - a)
+def _hash(c: np.ndarray, k: int, have: dict[int, np.ndarray]) -> np.ndarray:
+    """The hash of the k bytes that end at each position from k - 1 on, from those of shorter pieces."""
+    if k not in have:
+        if k == 1:
+            have[k] = (c.astype(np.uint64) + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93)
+        else:
+            a = 1 << (k - 1).bit_length() - 1
+            b = k - a
             n = max(0, len(c) - k + 1)
-            x, y = get(a), get(b)
-            have[k] = x[:n] * np.uint64(pow(_BASE, b, 1 << 64)) + y[a : a + n]
-        return have[k]
+            have[k] = _hash(c, a, have)[:n] * np.uint64(pow(_BASE, b, 1 << 64)) + _hash(c, b, have)[a : a + n]
+    return have[k]
 
-    return {k: get(k) for k in orders}
+
+def _hashes(c: np.ndarray, orders: list[int]) -> dict[int, np.ndarray]:
+    have: dict[int, np.ndarray] = {}
+    return {k: _hash(c, k, have) for k in orders}
 
 
 def _orders(view: str) -> list[tuple[int, int]]:
@@ -89,17 +95,44 @@ def _orders(view: str) -> list[tuple[int, int]]:
     return sorted(((i, k) for i, (v, k) in enumerate(CONTEXTS) if v == view), key=lambda x: x[1])
 
 
+def _chunks(text: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """Texts of an Arrow array in chunks of about ``CHUNK`` bytes: (first, past last, bytes, starts), without copying."""
+    text = text.cast(pa.large_string())
+    buf = text.buffers()
+    off = np.frombuffer(buf[1], np.int64)[text.offset : text.offset + len(text) + 1]
+    raw = np.frombuffer(buf[2], np.uint8) if buf[2] is not None else np.empty(0, np.uint8)
+    i = 0
+    while i < len(text):
+        j = max(i + 1, int(np.searchsorted(off, off[i] + CHUNK, "right")) - 1)
+        yield i, j, raw[off[i] : off[j]], off[i : j + 1] - off[i]
+        i = j
+
+
+def _stripped(tail: str) -> str:
+    """A tail without trailing blanks, replacement characters, and an ellipsis that was put after a cut."""
+    tail = tail.rstrip(_BLANK)
+    if tail.endswith("..."):
+        return tail[:-3].rstrip(_BLANK)
+    return tail[:-1].rstrip(_BLANK) if tail.endswith("…") and not tail.endswith("[…") else tail
+
+
 def _final(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(id, tail) -> (id, h0, h1, ...): hashes of the final contexts; null where the tail is shorter."""
+    """(id, tail) -> (id, th, h0, h1, ...): a hash of the tail, and those of its final contexts, null where the tail is shorter."""
     for b in batches:
+        if not b.num_rows:
+            continue
+        tails = [_stripped(t) for t in b.column(1).to_pylist()]
+        th = np.array([int.from_bytes(blake2b(t.encode("utf-8", "replace"), digest_size=8).digest(), "little", signed=True) for t in tails], np.int64)
         out: list[list] = [[] for _ in CONTEXTS]
-        for t in b.column(1).to_pylist():
-            raw = np.frombuffer(t.encode("utf-8", "replace"), np.uint8)
-            for view, (c, _) in _views(raw, np.array([0, len(raw)])).items():
-                hs = _hashes(c[-24:], [k for _, k in _orders(view)])
+        for _, _, raw, starts in _chunks(pa.array(tails, pa.large_string())):
+            for view, (c, at) in _views(raw, starts).items():
+                hs = _hashes(c, [k for _, k in _orders(view)])
                 for i, k in _orders(view):
-                    out[i].append(int(hs[k][-1].astype(np.int64)) if len(hs[k]) else None)
-        yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(o, pa.int64()) for o in out)], names=["id", *(f"h{i}" for i in range(len(CONTEXTS)))])
+                    have = np.diff(at) >= k
+                    h = np.zeros(len(have), np.int64)
+                    h[have] = hs[k][at[1:][have] - k].view(np.int64)
+                    out[i].append(pa.array(h, mask=~have))
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(th), *(pa.concat_arrays(o) for o in out)], names=["id", "th", *(f"h{i}" for i in range(len(CONTEXTS)))])
 
 
 def _slot(h: np.ndarray) -> np.ndarray:
@@ -112,6 +145,7 @@ def _count_inner(filters: dict[int, bytes]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = {k: np.unpackbits(np.frombuffer(f, np.uint8), bitorder="little").astype(bool) for k, f in filters.items()}
         sums: dict[int, list] = {i: [] for i in range(len(CONTEXTS))}
+        pending = [0] * len(CONTEXTS)
         total = 0
 
         def squeeze(i: int) -> None:
@@ -119,19 +153,11 @@ def _count_inner(filters: dict[int, bytes]):
             n = np.concatenate([b for _, b in sums[i]])
             u, inv = np.unique(keys, return_inverse=True)
             sums[i] = [(u, np.bincount(inv, n, len(u)).astype(np.int64))]
+            pending[i] = 0
 
         for b in batches:
-            text = b.column(0).cast(pa.large_string())
-            if not len(text):
-                continue
-            buf = text.buffers()
-            off = np.frombuffer(buf[1], np.int64)[text.offset : text.offset + len(text) + 1]
-            raw = np.frombuffer(buf[2], np.uint8) if buf[2] is not None else np.empty(0, np.uint8)
-            i = 0
-            while i < len(off) - 1:
-                j = max(i + 1, int(np.searchsorted(off, off[i] + CHUNK, "right")) - 1)
-                views = _views(raw[off[i] : off[j]], off[i : j + 1] - off[i])
-                i = j
+            for _, _, raw, begins in _chunks(b.column(0)):
+                views = _views(raw, begins)
                 for view, (c, starts) in views.items():
                     lens = np.diff(starts)
                     at = np.arange(len(c)) - np.repeat(starts[:-1], lens)  # place within the text
@@ -141,11 +167,12 @@ def _count_inner(filters: dict[int, bytes]):
                     for o, k in _orders(view):
                         pos = pos[at[pos] >= k - 1]
                         x = hs[k][pos - (k - 1)]
-                        # A longer context can only be a final one where the shorter is.
-                        hit = seen[o][_slot(x)]
-                        pos, x = pos[hit], x[hit]
+                        if k > 4:  # a longer context can only be a final one where the shorter is
+                            hit = seen[o][_slot(x)]
+                            pos, x = pos[hit], x[hit]
                         sums[o].append(np.unique(x, return_counts=True))
-                        if len(sums[o]) > 8:
+                        pending[o] += len(sums[o][-1][0])
+                        if pending[o] > max(PENDING, len(sums[o][0][0])):
                             squeeze(o)
         for o in range(len(CONTEXTS)):
             if sums[o]:
@@ -185,10 +212,9 @@ def final_log_odds(df: DataFrame, doc: str = "doc_id", text: str = "text", weigh
     texts = df.select(F.col(doc).alias("id"), F.col(text).alias("t")).where("t is not null and t <> ''")
     # A long run of one filler sign at the end is shortened first, so that the tail shows what it follows.
     filled = F.when(F.right("t", F.lit(20)).rlike(r"^(.)\1{19}$"), F.regexp_replace("t", r"([_\-=.*])\1{18,}$", "$1")).otherwise(F.col("t"))
-    tail = F.regexp_replace(F.right(filled, F.lit(TAIL)), r"[\s�]*(?:(?<!\[)(?:\.\.\.|…))?[\s�]*$", "")
-    tails = texts.select("id", tail.alias("tail"))
-    finals = tails.where("tail <> ''").mapInArrow(_final, "id long, " + ", ".join(f"h{k} long" for k in range(len(CONTEXTS))))
-    finals = materialise(finals.join(tails.select("id", F.xxhash64("tail").alias("th")), "id"), "finals")
+    tails = texts.select("id", F.right(filled, F.lit(TAIL)).alias("tail"))
+    schema = "id long, th long, " + ", ".join(f"h{k} long" for k in range(len(CONTEXTS)))
+    finals = materialise(tails.mapInArrow(_final, schema), "finals")
     pairs = finals.select("th", F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.col(f"h{k}").alias("h")) for k in range(len(CONTEXTS))])).alias("c")).select("th", "c.k", "c.h").where("h is not null")
     ends = materialise(pairs.distinct().groupBy("k", "h").agg(F.count("*").alias("n")), "ends")
     inner = texts.select("t").mapInArrow(_count_inner(_filters(ends)), "k int, h long, m long").groupBy("k", "h").agg(F.sum("m").alias("m"))
