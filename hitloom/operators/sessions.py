@@ -9,32 +9,12 @@ from pyspark.sql.window import Window
 CELL_BITS = 26
 
 
-def sessionize(
-    df: DataFrame,
-    source: str = "crystal_no",
-    ts: str = "ts",
-    event: str = "event_id",
-    gap: int = 200_000,
-    cell_bits: int = CELL_BITS,
-) -> DataFrame:
-    """Sessions of each source: ``source, start_ts, end_ts, duration, n_events, n_hits``.
+def session_marks(hits: DataFrame, gap: int, cell_bits: int = CELL_BITS) -> DataFrame:
+    """Swept deltas of ``hits(_s, _t)``: ``_s, t, up, level, start`` per source and time.
 
-    Each hit opens an interval ``[ts, ts + gap]``: a delta of +1 at its start and -1 at its end.
-    A session is open while the running sum of deltas is above zero and is closed by the crossing
-    back to zero, so hits exactly ``gap`` apart share a session.
-
-    The sweep is split into cells of ``2**cell_bits`` ticks per source. Deltas are first summed per
-    ``(source, time)``, which bounds a cell at ``2**cell_bits`` rows however many hits fall in it and
-    lets a source with most of the rows spread over all tasks. Cell totals are prefix-summed in a
-    second, small window and added back, so no task ever holds a whole source.
-
-    Defined cases: rows with null source or ts are ignored; a null event counts in ``n_hits`` but not in
-    ``n_events``; repeated rows add to ``n_hits`` only; equal times belong together; an empty table
-    gives an empty result; other columns are ignored, whatever their names.
+    ``start`` is the start of the session that is open at ``t``; ``up`` hits begin there; ``level`` intervals are
+    open after it, so 0 closes the session.
     """
-    hits = df.select(
-        F.col(source).alias("_s"), F.col(ts).cast("long").alias("_t"), F.col(event).alias("_e")
-    ).where("_s is not null and _t is not null")
     end = F.coalesce(F.try_add(F.col("_t"), F.lit(gap)), F.lit(2**63 - 1))
     deltas = (
         hits.select(
@@ -67,11 +47,45 @@ def sessionize(
         .agg(F.max("opens").alias("m"))
         .select("_s", "cell", F.max("m").over(before).alias("earlier"))
     )
-    marked = (
+    return (
         level.withColumn("here", F.max("opens").over(within))
         .join(opened, ["_s", "cell"])
         .select("_s", "t", "up", "level", F.coalesce("here", "earlier").alias("start"))
     )
+
+def session_starts(df: DataFrame, source: str, ts: str, gap: int, cell_bits: int = CELL_BITS) -> DataFrame:
+    """``source, ts, start_ts`` for every distinct (source, ts) that isn't null."""
+    hits = df.select(F.col(source).alias("_s"), F.col(ts).cast("long").alias("_t")).where("_s is not null and _t is not null")
+    return session_marks(hits, gap, cell_bits).where("up > 0").select(F.col("_s").alias(source), F.col("t").alias(ts), F.col("start").alias("start_ts"))
+
+
+def sessionize(
+    df: DataFrame,
+    source: str = "crystal_no",
+    ts: str = "ts",
+    event: str = "event_id",
+    gap: int = 200_000,
+    cell_bits: int = CELL_BITS,
+) -> DataFrame:
+    """Sessions of each source: ``source, start_ts, end_ts, duration, n_events, n_hits``.
+
+    Each hit opens an interval ``[ts, ts + gap]``: a delta of +1 at its start and -1 at its end.
+    A session is open while the running sum of deltas is above zero and is closed by the crossing
+    back to zero, so hits exactly ``gap`` apart share a session.
+
+    The sweep is split into cells of ``2**cell_bits`` ticks per source. Deltas are first summed per
+    ``(source, time)``, which bounds a cell at ``2**cell_bits`` rows however many hits fall in it and
+    lets a source with most of the rows spread over all tasks. Cell totals are prefix-summed in a
+    second, small window and added back, so no task ever holds a whole source.
+
+    Defined cases: rows with null source or ts are ignored; a null event counts in ``n_hits`` but not in
+    ``n_events``; repeated rows add to ``n_hits`` only; equal times belong together; an empty table
+    gives an empty result; other columns are ignored, whatever their names.
+    """
+    hits = df.select(
+        F.col(source).alias("_s"), F.col(ts).cast("long").alias("_t"), F.col(event).alias("_e")
+    ).where("_s is not null and _t is not null")
+    marked = session_marks(hits, gap, cell_bits)
     spans = marked.groupBy("_s", "start").agg(
         F.max(F.when(F.col("level") == 0, F.col("t"))).alias("closed"),
         F.max(F.when(F.col("up") > 0, F.col("t"))).alias("last"),

@@ -20,10 +20,10 @@ KEY = ["event_id", "cluster_id"]
 def ordered_hits(hits: DataFrame, clusters: DataFrame) -> DataFrame:
     """Hits of the tracks in ``clusters``: ``event_id, cluster_id, track_pos, point_idx, x, y, z, e``.
 
-    Repeated rows count once; hits without position or energy and places without track_pos are left out.
+    Repeated rows count once (of differing ones the least); hits without position or energy and places without track_pos are left out.
     """
-    h = hits.select("event_id", "point_idx", "x", "y", "z", "e").where("x is not null and y is not null and z is not null and e > 0 and not isnan(e)").dropDuplicates(["event_id", "point_idx"])
-    c = clusters.select("event_id", "cluster_id", "track_pos", "point_idx").where("track_pos is not null").dropDuplicates(["event_id", "cluster_id", "point_idx"])
+    h = hits.where("x is not null and y is not null and z is not null and e > 0 and not isnan(e)").groupBy("event_id", "point_idx").agg(F.min(F.struct("x", "y", "z", "e")).alias("h")).select("event_id", "point_idx", "h.*")
+    c = clusters.where("track_pos is not null").groupBy("event_id", "cluster_id", "point_idx").agg(F.min("track_pos").alias("track_pos"))
     return c.join(h, ["event_id", "point_idx"])
 
 
