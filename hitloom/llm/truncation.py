@@ -214,7 +214,7 @@ def final_log_odds(df: DataFrame, doc: str = "doc_id", text: str = "text", weigh
     filled = F.when(F.right("t", F.lit(20)).rlike(r"^(.)\1{19}$"), F.regexp_replace("t", r"([_\-=.*])\1{18,}$", "$1")).otherwise(F.col("t"))
     tails = texts.select("id", F.right(filled, F.lit(TAIL)).alias("tail"))
     schema = "id long, th long, " + ", ".join(f"h{k} long" for k in range(len(CONTEXTS)))
-    finals = materialise(tails.mapInArrow(_final, schema), "finals")
+    finals = materialise(tails.mapInArrow(_final, schema).where("h0 is not null"), "finals")
     pairs = finals.select("th", F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.col(f"h{k}").alias("h")) for k in range(len(CONTEXTS))])).alias("c")).select("th", "c.k", "c.h").where("h is not null")
     ends = materialise(pairs.distinct().groupBy("k", "h").agg(F.count("*").alias("n")), "ends")
     inner = texts.select("t").mapInArrow(_count_inner(_filters(ends)), "k int, h long, m long").groupBy("k", "h").agg(F.sum("m").alias("m"))
