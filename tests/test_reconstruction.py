@@ -189,7 +189,7 @@ def test_linkage_against_components():
             assert all(lab[i] != lab[j] or want[i] == want[j] for i, j in combinations(range(len(p)), 2)) or m == "ward"
         path = L.directional(d, 3)
         assert len(path) == len(p) - 1 and path[0][2] == d[~np.eye(len(p), dtype=bool)].min()
-    assert len(set(L.cut_labels(np.eye(3) * 20, np.array([0.0, 5, 1000]), 10.0, "euclidean", "single", 40, 30, 18.5))) == 2
+    assert len(set(L.cut_labels(np.eye(3) * 20, np.array([0.0, 5, 1000]), 30.0, "euclidean", "single", 40, 30, 18.5))) == 2
     assert L.labels_at(L.agglomerate(d, "single"), len(p), -1, 2).max() == 1
 
 
