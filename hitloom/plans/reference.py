@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from hitloom.functions import geometry as G, physics as P
-from hitloom.operators import coincidences as C, events as E, features as X, metrics as M, ordering as O, ranking as R, tracks as T
+from hitloom.operators import coincidences as C, events as E, features as X, metrics as M, ordering as O, programs as S, ranking as R, tracks as T, training as N
+from hitloom.plans import pipeline as PL
 from hitloom.runtime import table
 
 INNER = G.SHELLS["gretina"][0]
@@ -192,6 +193,10 @@ QUERIES = {
     "rank_mean_of_means": lambda s, d: _rounded(R.mean_of_means(_relative(s, d), FEATURES)),
     "rank_scaled": lambda s, d: _rounded(R.scaled(_rows(s, d), FEATURES).select("row_id", *FEATURES)),
     "rank_model": q_ray_model,
+    "energy_clusters": lambda s, d: S.energy_clusters(_hits(s, d), [0.5, 0.662, 1.173, 1.332]),
+    "dendrogram_peaks": lambda s, d: S.peak_clusters(_hits(s, d), [0.5, 0.662, 1.173, 1.332], 0.01),
+    "training_orders": lambda s, d: N.order_rows(_hits(s, d), _clusters(s, d), ["rsg_mean_1", "c_penalty_sum_1", "rc_sum_1", "rth_cap_mean_1_tango"], width=3),
+    "tracked_rays": lambda s, d: PL.track(table(s, d, "interactions").where("e < 1000")).select("event_id", "cluster_id", "n", "esum", "fom", "tracked", "ts"),
 }
 
 # --- SQL ---------------------------------------------------------------------------------------
