@@ -188,6 +188,27 @@ def pair_distances(hits: DataFrame, inner: float = G.SHELLS["gretina"][0]) -> Da
     return a.join(b, "event_id").where("i < j").select("event_id", "i", "j", G.distance(p, q).alias("euclidean"), G.angle_distance(p, q).alias("angle"), G.shell_distance(p, q, inner).alias("material"))
 
 
+def triple_angles(hits: DataFrame, inner: float = G.SHELLS["gretina"][0], error_model: str = "default", eres: float = 1e-3, max_hits: int = 60) -> DataFrame:
+    """For every way i -> j -> k over the origin (0) and the hits of an event: turn, its error, and the local energy estimate at j.
+
+    ``event_id, i, j, k, way, shell_way, cos, cos_err, local, d_e, d_cos, local_sigma``. There are n cubed of them, so events of more
+    than ``max_hits`` hits are left out.
+    """
+    h = hits.where("x is not null and y is not null and z is not null and e > 0 and not isnan(e)").select("event_id", "point_idx", "x", "y", "z", "e")
+    sizes = h.groupBy("event_id").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") <= max_hits).select("event_id")
+    h = h.join(sizes, "event_id").withColumn("s", G.position_error(F.col("e"), error_model))
+    zero = sizes.select("event_id", F.lit(0).alias("point_idx"), *[F.lit(0.0).alias(c) for c in "xyze"], G.position_error(F.lit(0.0), error_model).alias("s"))
+    side = lambda df, t: df.select("event_id", F.col("point_idx").alias({"a": "i", "b": "j", "c": "k"}[t]), *[F.col(c).alias(f"{t}{c}") for c in ("x", "y", "z", "e", "s")])
+    t = side(h.unionByName(zero), "a").join(side(h, "b"), "event_id").where("i <> j").join(side(h, "c"), "event_id").where("k <> j and k <> i")
+    a, b, c = G.point("a"), G.point("b"), G.point("c")
+    t = t.withColumn("way", G.distance(a, b)).withColumn("next_way", G.distance(b, c)).withColumn("cos", G.cos_turn(a, b, c))
+    t = t.withColumn("shell_way", G.shell_distance(a, b, inner, F.col("way"))).withColumn("cos_err", G.cos_error(*[F.col(n) for n in ("cos", "way", "next_way", "as", "bs", "cs")]))
+    e, omc = F.col("be"), 1 - F.col("cos")
+    t = t.withColumn("local", P.local_incoming(e, omc)).withColumn("d_e", P.local_d_energy(e, omc)).withColumn("d_cos", P.local_d_cos(e, omc))
+    t = t.withColumn("local_sigma", F.sqrt((eres * F.col("d_e")) ** 2 + (F.col("cos_err") * F.col("d_cos")) ** 2))
+    return t.select("event_id", "i", "j", "k", "way", "shell_way", "cos", "cos_err", "local", "d_e", "d_cos", "local_sigma")
+
+
 def in_peak(hits: DataFrame, clusters: DataFrame, beta: float = 0.0845, peak: float = 2.066, width: float = 0.06) -> DataFrame:
     """Events with a ray whose Doppler-corrected energy lies within ``width`` of ``peak``; the direction is that of the first hit."""
     h = clusters.join(hits, ["event_id", "point_idx"]).where("track_pos is not null")
@@ -198,19 +219,16 @@ def in_peak(hits: DataFrame, clusters: DataFrame, beta: float = 0.0845, peak: fl
 
 def flattened(ordered: DataFrame, inner: float = G.SHELLS["gretina"][0]) -> DataFrame:
     """Tracks laid along the radius of their first hit: same energies and material ways, in one line."""
-    from hitloom.operators.tracks import KEY, steps, window
+    from hitloom.operators.tracks import KEY, steps
 
     s = steps(ordered, "sum", inner)
     r = G.norm(G.point())
-    first = {c: F.first(F.col(c) / F.nullif(r, F.lit(0.0))).over(window_k()) for c in "xyz"}
-    along = F.sum(F.when(F.col("k") == 1, inner + F.col("shell_way")).otherwise(F.col("shell_way"))).over(window_k())
+    so_far = Window.partitionBy(*KEY).orderBy("k").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    first = {c: F.first(F.col(c) / F.nullif(r, F.lit(0.0))).over(so_far) for c in "xyz"}
+    along = F.sum(F.when(F.col("k") == 1, inner + F.col("shell_way")).otherwise(F.col("shell_way"))).over(so_far)
     return s.select(*KEY, "k", "point_idx", "e", *[(first[c] * along).alias(c) for c in "xyz"])
 
 
-def window_k():
-    return Window.partitionBy("event_id", "cluster_id").orderBy("k").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-
-
 def without_heads(ordered: DataFrame, n: int) -> DataFrame:
     """Tracks without their first ``n`` hits; tracks that short vanish."""
     k = F.row_number().over(Window.partitionBy("event_id", "cluster_id").orderBy("track_pos", "point_idx"))

@@ -138,16 +138,16 @@ SELECTED = (
 )
 
 
-def figures_of_merit(ordered: DataFrame, method: str = "oft", singles: str | None = "depth", inner: float = G.SHELLS["gretina"][0], share: float = 0.95, error_model: str = "default") -> DataFrame:
+def figures_of_merit(ordered: DataFrame, method: str = "oft", singles: str | None = "depth", inner: float = G.SHELLS["gretina"][0], share: float = 0.95, error_model: str = "default", start: str = "sum") -> DataFrame:
     """``event_id, cluster_id, n, esum, fom`` of every track; single hits by the ``singles`` method.
 
-    Singles: depth, continuous, probability, range, or None for 0.
+    Singles: depth, continuous, probability, range, or None for 0. ``start``: the energy a ray begins with, as in :func:`steps`.
     """
     if method == "selected":
         from hitloom.operators.features import weighted_features
 
         return weighted_features(ordered, dict(SELECTED), singles, inner, share, error_model)
-    s = steps(ordered, "sum", inner, error_model)
+    s = steps(ordered, start, inner, error_model)
     r = residuals(s, extra=1)
     one = _single(singles, inner, share)
     return r.groupBy(*KEY).agg(F.max("n").alias("n"), F.max("esum").alias("esum"), F.when(F.max("n") == 1, F.max(one)).otherwise(fom_columns(method)).alias("fom"))

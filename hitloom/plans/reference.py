@@ -154,6 +154,7 @@ QUERIES = {
     "cluster_centres": lambda s, d: _rounded(E.cluster_centres(_tracks(s, d).select("event_id", "point_idx", "x", "y", "z", "e"), _clusters(s, d)), 9),
     "cluster_distances": lambda s, d: _rounded(E.cluster_distances(_hits(s, d), _clusters(s, d))),
     "pair_distances": lambda s, d: _rounded(E.pair_distances(_hits(s, d))),
+    "triple_angles": lambda s, d: _rounded(E.triple_angles(_hits(s, d)).select("event_id", "i", "j", "k", "way", "cos")),
     "peak_events": lambda s, d: E.in_peak(_hits(s, d), _clusters(s, d), peak=0.5, width=0.1),
     "cone_clusters": lambda s, d: E.cone_clusters(_hits(s, d), 10.0),
     "linkage_average": lambda s, d: E.linkage_clusters(_hits(s, d), alpha=8.0, metric="euclidean", method="average"),
@@ -321,6 +322,10 @@ select event_id, count(*) as n_true, count(*) filter (correct) as n_recovered, b
     "peak_to_total": """with r as (select distinct event_id, cluster_id, n, esum, fom, tracked from rays where fom is not null and not (not isfinite(fom)) and esum is not null), k(cut) as (values (0.25), (0.5), (1.0), (1.85)),
 g as (select cut::double as cut, count(*) filter (fom <= cut and esum >= 0.4 and esum <= 0.6) as n_peak, count(*) filter (fom <= cut) as n_accepted, count(*) as n_all from r, k group by cut)
 select *, round(n_peak / nullif(n_accepted, 0), 6) as peak_to_total, round(n_accepted / n_all, 6) as efficiency from g""",
+    "triple_angles": f"""with {_H}, g as (select event_id, point_idx, x, y, z from h where x is not null and y is not null and z is not null and e > 0), o as (select * from g union all select distinct event_id, 0, 0.0, 0.0, 0.0 from g),
+t as (select a.event_id, a.point_idx as i, b.point_idx as j, c.point_idx as k, b.x-a.x as ux, b.y-a.y as uy, b.z-a.z as uz, c.x-b.x as vx, c.y-b.y as vy, c.z-b.z as vz from o a join g b on a.event_id = b.event_id and a.point_idx <> b.point_idx join g c on c.event_id = b.event_id and c.point_idx <> b.point_idx and c.point_idx <> a.point_idx),
+q as (select *, sqrt(ux*ux+uy*uy+uz*uz) as way, sqrt(vx*vx+vy*vy+vz*vz) as nway from t)
+select event_id, i, j, k, round(way, 6) as way, round(case when way * nway = 0 then -1.0::double else greatest(-1, least(1, (ux*vx+uy*vy+uz*vz) / (way * nway))) end, 6) as cos from q""",
     "split_events": f"with {_H}, {_C} select event_id, cluster_id, row_number() over (partition by event_id, cluster_id order by track_pos, point_idx) as new_idx, point_idx from c join h using (event_id, point_idx)",
     "joined_events": f"with {_H} select event_id, event_id >> 1 as group_id, point_idx, row_number() over (partition by event_id >> 1 order by event_id, point_idx) as new_idx from h",
     "clusters_by_smallest": f"with {_C}, l as (select event_id, cluster_id, min(point_idx) as low from c group by all), k as (select *, dense_rank() over (partition by event_id order by low, cluster_id) - 1 as new_id from l) select event_id, cluster_id, new_id, point_idx from c join k using (event_id, cluster_id)",
