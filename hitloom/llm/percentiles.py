@@ -34,7 +34,6 @@ def bisect_percentiles(df: DataFrame, keys: list[str], value: str, percentiles=D
     groups as in GROUP BY; a group without values has no row; repeated rows count as often as they occur; an empty table gives an
     empty result.
     """
-    spark = df.sparkSession
     k = [f"_k{i}" for i in range(len(keys))]
     rows = df.select(*[F.col(c).alias(a) for c, a in zip(keys, k)], F.col(value).cast("double").alias("_v")).where("_v is not null and not isnan(_v)")
     # Infinite values become the largest finite ones for cutting, and are restored at the end.
