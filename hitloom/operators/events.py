@@ -217,6 +217,24 @@ def in_peak(hits: DataFrame, clusters: DataFrame, beta: float = 0.0845, peak: fl
     return rays.withColumn("corrected", F.col("esum") * P.doppler(beta, cos)).groupBy("event_id").agg(F.coalesce(F.bool_or(F.abs(F.col("corrected") - peak) < width), F.lit(False)).alias("in_peak"))
 
 
+def without_peak_events(hits: DataFrame, clusters: DataFrame, **kw) -> DataFrame:
+    """Hits of the events without a ray in the peak (:func:`in_peak`); events without rays stay."""
+    return hits.join(in_peak(hits, clusters, **kw).where("in_peak").select("event_id"), "event_id", "left_anti")
+
+
+def of_rays(hits: DataFrame, clusters: DataFrame, rays: DataFrame) -> DataFrame:
+    """Hits of the rays in ``rays(event_id, cluster_id)``, each hit once."""
+    kept = clusters.join(rays.select("event_id", "cluster_id"), ["event_id", "cluster_id"], "left_semi").select("event_id", "point_idx").distinct()
+    return hits.join(kept, ["event_id", "point_idx"], "left_semi")
+
+
+def merged_clusters(first: DataFrame, second: DataFrame) -> DataFrame:
+    """Clusters of two clusterings of the same events side by side; those of the second are numbered after the first's."""
+    top = first.groupBy("event_id").agg(F.max("cluster_id").alias("_top"))
+    moved = second.join(top, "event_id", "left").withColumn("cluster_id", (F.col("cluster_id") + F.coalesce(F.col("_top") + 1, F.lit(0))).cast("int")).drop("_top")
+    return first.unionByName(moved)
+
+
 def flattened(ordered: DataFrame, inner: float = G.SHELLS["gretina"][0]) -> DataFrame:
     """Tracks laid along the radius of their first hit: same energies and material ways, in one line."""
     from hitloom.operators.tracks import KEY, steps

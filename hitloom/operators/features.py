@@ -234,3 +234,17 @@ def escape_probabilities(ordered: DataFrame, outer: float = G.SHELLS["gretina"][
             yield pd.DataFrame({"event_id": p["event_id"], "cluster_id": p["cluster_id"], "escape_probability": v, "-log_escape_probability": -np.log(v + 1e-16)})
 
     return ends.mapInPandas(run, "event_id long, cluster_id int, escape_probability double, `-log_escape_probability` double")
+
+
+def event_statistics(features: DataFrame, columns: list[str]) -> DataFrame:
+    """Per event the sum, mean, least and largest of its rays' features: ``event_id, n_rays, <feature>_<statistic>``."""
+    aggs = [f(F.col(f"`{c}`")).alias(f"{c}_{name}") for c in columns for name, f in (("sum", F.sum), ("mean", F.avg), ("min", F.min), ("max", F.max))]
+    return features.groupBy("event_id").agg(F.count(F.lit(1)).alias("n_rays"), *aggs)
+
+
+def relative_features(features: DataFrame, columns: list[str]) -> DataFrame:
+    """Each ray's features minus the mean of those of its event."""
+    from pyspark.sql.window import Window
+
+    w = Window.partitionBy("event_id")
+    return features.select(*T.KEY, *[(F.col(f"`{c}`") - F.avg(F.col(f"`{c}`")).over(w)).alias(c) for c in columns])

@@ -164,6 +164,10 @@ QUERIES = {
     "smeared_hits": lambda s, d: E.smeared(_hits(s, d)),
     "rotated_hits": lambda s, d: E.rotated(_hits(s, d), ["event_id"]),
     "flattened_tracks": lambda s, d: E.flattened(_tracks(s, d)),
+    "hits_outside_peaks": lambda s, d: E.without_peak_events(_hits(s, d), _clusters(s, d), peak=0.5, width=0.1).select("event_id", "point_idx"),
+    "hits_of_long_rays": lambda s, d: E.of_rays(_hits(s, d), _clusters(s, d), _clusters(s, d).groupBy("event_id", "cluster_id").agg(F.count(F.lit(1)).alias("n")).where("n > 3")).select("event_id", "point_idx"),
+    "event_feature_statistics": lambda s, d: _rounded(X.event_statistics(T.track_energies(_tracks(s, d)), ["esum", "n"]), 9),
+    "relative_energies": lambda s, d: _rounded(X.relative_features(T.track_energies(_tracks(s, d)), ["esum"]), 9),
     "tracks_without_heads": lambda s, d: E.without_heads(_tracks(s, d), 1).select("event_id", "cluster_id", "track_pos", "point_idx"),
     "split_events": lambda s, d: E.split_by_cluster(_hits(s, d), _clusters(s, d)).select("event_id", "cluster_id", "new_idx", "point_idx"),
     "joined_events": lambda s, d: E.joined_events(_hits(s, d).select("event_id", "point_idx"), _hits(s, d).select("event_id", F.shiftright("event_id", 1).alias("group_id")).distinct()),
@@ -326,6 +330,13 @@ select *, round(n_peak / nullif(n_accepted, 0), 6) as peak_to_total, round(n_acc
 t as (select a.event_id, a.point_idx as i, b.point_idx as j, c.point_idx as k, b.x-a.x as ux, b.y-a.y as uy, b.z-a.z as uz, c.x-b.x as vx, c.y-b.y as vy, c.z-b.z as vz from o a join g b on a.event_id = b.event_id and a.point_idx <> b.point_idx join g c on c.event_id = b.event_id and c.point_idx <> b.point_idx and c.point_idx <> a.point_idx),
 q as (select *, sqrt(ux*ux+uy*uy+uz*uz) as way, sqrt(vx*vx+vy*vy+vz*vz) as nway from t)
 select event_id, i, j, k, round(way, 6) as way, round(case when way * nway = 0 then -1.0::double else greatest(-1, least(1, (ux*vx+uy*vy+uz*vz) / (way * nway))) end, 6) as cos from q""",
+    "peak_events": f"""with {_H}, {_C}, j as (select c.*, x, y, z, e from c join h using (event_id, point_idx)),
+r as (select event_id, cluster_id, sum(e) as esum, arg_min(x, track_pos) as x, arg_min(y, track_pos) as y, arg_min(z, track_pos) as z from j where x is not null and y is not null and z is not null group by all),
+k as (select event_id, cluster_id, sum(e) as esum from j group by all)
+select event_id, coalesce(bool_or(abs(k.esum * (1 - 0.0845 * (z / nullif(sqrt(x*x + y*y + z*z), 0))) / sqrt(1 - 0.0845**2) - 0.5) < 0.1), false) as in_peak from k left join r using (event_id, cluster_id) group by event_id""",
+    "hits_of_long_rays": f"with {_H}, {_C}, l as (select event_id, cluster_id from c group by all having count(*) > 3) select distinct event_id, point_idx from h join c using (event_id, point_idx) join l using (event_id, cluster_id)",
+    "event_feature_statistics": f"with {_T}, r as (select event_id, cluster_id, n, max(esum) as esum from t6 group by event_id, cluster_id, n) select event_id, count(*) as n_rays, round(sum(esum), 9) as esum_sum, round(avg(esum), 9) as esum_mean, round(min(esum), 9) as esum_min, round(max(esum), 9) as esum_max, sum(n)::bigint as n_sum, round(avg(n), 9) as n_mean, min(n) as n_min, max(n) as n_max from r group by event_id",
+    "relative_energies": f"with {_T}, r as (select event_id, cluster_id, n, max(esum) as esum from t6 group by event_id, cluster_id, n) select event_id, cluster_id, round(esum - avg(esum) over (partition by event_id), 9) as esum from r",
     "split_events": f"with {_H}, {_C} select event_id, cluster_id, row_number() over (partition by event_id, cluster_id order by track_pos, point_idx) as new_idx, point_idx from c join h using (event_id, point_idx)",
     "joined_events": f"with {_H} select event_id, event_id >> 1 as group_id, point_idx, row_number() over (partition by event_id >> 1 order by event_id, point_idx) as new_idx from h",
     "clusters_by_smallest": f"with {_C}, l as (select event_id, cluster_id, min(point_idx) as low from c group by all), k as (select *, dense_rank() over (partition by event_id order by low, cluster_id) - 1 as new_id from l) select event_id, cluster_id, new_id, point_idx from c join k using (event_id, cluster_id)",
