@@ -260,16 +260,40 @@ def thresholds(odds: DataFrame, lowest: float = 1.5, highest: float = 4.5, defau
     return counts.select("language", F.when(F.col("n") >= least, F.lit(lowest) + middle * 0.25).otherwise(F.lit(default)).alias("threshold"))
 
 
+def field_limits(judged: DataFrame, least: int = 5, most_shift: float = 5.0) -> DataFrame:
+    """``source, unit, size, shift``: lengths at which a source's texts are mostly cut, and by how much that raises the odds.
+
+    ``judged(source, chars, bytes, cut)`` by the model alone. A length of a source, in characters or bytes, is a
+    limit where at least ``least`` texts have it and at least half of them are cut. ``shift`` is the log of the odds of a cut there
+    over those among all texts, at most ``most_shift``.
+    """
+    sizes = judged.select("source", "cut", F.explode(F.array(F.struct(F.lit("chars").alias("unit"), F.col("chars").alias("size")), F.struct(F.lit("bytes").alias("unit"), F.col("bytes").alias("size")))).alias("s"))
+    at = sizes.groupBy("source", "s.unit", "s.size").agg(F.count("*").alias("n"), F.count_if("cut").alias("k")).where((F.col("n") >= least) & (2 * F.col("k") >= F.col("n")))
+    overall = judged.agg(F.count("*").alias("n"), F.count_if("cut").alias("k")).first()  # one row
+    rate = (overall["k"] + 0.5) / (overall["n"] + 1)
+    odds = F.log((F.col("k") + 0.5) / (F.col("n") - F.col("k") + 0.5)) - float(np.log(rate / (1 - rate)))
+    return at.select("source", "unit", "size", F.greatest(F.lit(0.0), F.least(F.lit(most_shift), odds)).alias("shift"))
+
+
 def truncated(df: DataFrame, doc: str = "doc_id", text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
     """``doc, source, language, log_odds, threshold, cut`` for every text that isn't null or empty.
 
-    A text is cut where its ``log_odds`` (:func:`final_log_odds`) lie below its language's threshold.
+    A text is cut where its ``log_odds`` (:func:`final_log_odds`) lie below its language's threshold, which is higher at
+    lengths where the source's texts are mostly cut (:func:`field_limits`).
     Languages are brought to one spelling; null and unknown ones share a threshold. A text of
     nothing but blanks and an ellipsis has no context and isn't called cut.
     """
     names = F.create_map(*[F.lit(x) for kv in LANGUAGES.items() for x in kv])
-    texts = df.where(F.col(text).isNotNull() & (F.col(text) != "")).select(F.col(doc).alias("_d"), F.col(source).alias("_s"), F.coalesce(F.try_element_at(names, F.lower(F.trim(F.col(lang)))), F.lit("other")).alias("language"))
+    texts = df.where(F.col(text).isNotNull() & (F.col(text) != "")).select(
+        F.col(doc).alias("_d"), F.col(source).alias("source"), F.length(text).alias("chars"), F.octet_length(text).alias("bytes"), F.coalesce(F.try_element_at(names, F.lower(F.trim(F.col(lang)))), F.lit("other")).alias("language")
+    )
     odds = final_log_odds(df.select(F.col(doc).alias("_d"), F.col(text).alias("_t")), "_d", "_t")
     judged = materialise(texts.join(odds, "_d", "left"), "judged")
-    limits = thresholds(judged)
-    return judged.join(limits, "language").select(F.col("_d").alias(doc), F.col("_s").alias(source), "language", "log_odds", "threshold", F.coalesce(F.col("log_odds") < F.col("threshold"), F.lit(False)).alias("cut"))
+    first = judged.join(thresholds(judged), "language").withColumn("cut", F.coalesce(F.col("log_odds") < F.col("threshold"), F.lit(False)))
+    limits = materialise(field_limits(first), "limits")
+    out = first
+    for unit in ("chars", "bytes"):
+        own = limits.where(F.col("unit") == unit).select(F.col("source").alias("_s"), F.col("size").alias("_n"), F.col("shift").alias(f"_{unit}"))
+        out = out.join(own, F.col("source").eqNullSafe(F.col("_s")) & (F.col(unit) == F.col("_n")), "left").drop("_s", "_n")
+    raised = F.col("threshold") + F.greatest(F.coalesce("_chars", F.lit(0.0)), F.coalesce("_bytes", F.lit(0.0)))
+    return out.select(F.col("_d").alias(doc), F.col("source").alias(source), "language", "log_odds", raised.alias("threshold"), F.coalesce(F.col("log_odds") < raised, F.lit(False)).alias("cut"))

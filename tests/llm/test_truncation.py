@@ -59,3 +59,11 @@ def test_counts_are_exact():
     assert [s[a:b].tobytes().decode() for a, b in zip(at, at[1:])] == ["abracadabra", "x 0 yé X X", "a", "ab ra"]
     h = C._hashes(c, [2, 12])
     assert h[2][0] == h[2][7] != h[2][1] and len(h[12]) == len(c) - 11
+
+
+def test_field_limits(spark):
+    rows = [("a", 4000, 4010 + i, i < 9) for i in range(10)] + [("a", 100 + i, 100 + i, False) for i in range(90)] + [(None, 50, 60, True)] * 6 + [("b", 70, 70, False)] * 20 + [("b", 80, 80, True)] * 4
+    got = {(r["source"], r["unit"], r["size"]): r["shift"] for r in C.field_limits(spark.createDataFrame(rows, "source string, chars int, bytes int, cut boolean")).collect()}
+    assert set(got) == {("a", "chars", 4000), (None, "chars", 50), (None, "bytes", 60)}
+    rate = 19.5 / 131
+    assert abs(got["a", "chars", 4000] - (np.log(9.5 / 1.5) - np.log(rate / (1 - rate)))) < 1e-9 and all(0 <= v <= 5 for v in got.values())
