@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import math
 from collections.abc import Iterator
 from itertools import permutations
@@ -12,6 +13,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from hitloom.functions import geometry as G, physics as P
 from hitloom.operators.events import per_event
+from hitloom.runtime import materialise
 
 #: Numbers held at once by one scoring call.
 BLOCK = 1_500_000
@@ -178,25 +180,38 @@ def order_rays(hits: DataFrame, clusters: DataFrame, method: str = "oft", width:
     return o.withColumn("score", F.when(~F.isnan("score"), F.col("score")))
 
 
-def tried_orders(hits: DataFrame, clusters: DataFrame, width: int = 5) -> DataFrame:
-    """Every order of every small cluster, the given one marked: rows to learn from.
+def tried_rays(hits: DataFrame, clusters: DataFrame, width: int = 5, max_size: int = 6, cols: tuple[str, ...] = (), rows: int = 400_000) -> DataFrame:
+    """Every order of every small cluster, the given one first: ``event_id, cluster_id, order_no, track_pos, point_idx`` and the
+    hits' ``cols``, partitioned by event_id with about ``rows`` rows each, so that nothing after it need be shuffled.
 
-    ``event_id, cluster_id, order_no, ordered, track_pos, point_idx``; clusters above ``width`` hits are left out, as
-    their orders aren't bounded.
+    The first ``width`` places of an order are permuted, all of them at ``width`` + 1 hits; of longer clusters an order holds
+    those places only. Clusters above ``max_size`` hits are left out, as the number of their orders isn't bounded.
     """
     from hitloom.operators.tracks import ordered_hits
 
     o = ordered_hits(hits, clusters)
-    a = per_event(o, ["event_id", "cluster_id"], ["track_pos", "point_idx"], ["track_pos", "point_idx"]).where((F.size("point_idx") <= width) & (F.size("point_idx") > 1))
-
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in parts:
-            for r in pdf.itertuples(index=False):
-                n = len(r.point_idx)
-                p = _perms(n, n)
-                yield pd.DataFrame({"event_id": r.event_id, "cluster_id": r.cluster_id, "order_no": np.repeat(np.arange(len(p)), n), "ordered": np.repeat((np.arange(len(p)) == 0).astype(np.int32), n), "track_pos": np.tile(np.arange(n), len(p)), "point_idx": np.asarray(r.point_idx)[p].ravel()})
-
-    return a.mapInPandas(run, "event_id long, cluster_id int, order_no int, ordered int, track_pos int, point_idx int")
+    a = per_event(o, ["event_id", "cluster_id"], ["track_pos", "point_idx", *cols], ["track_pos", "point_idx"])
+    a = a.withColumn("n", F.size("point_idx")).where((F.col("n") <= max_size) & (F.col("n") > 1))
+    a = materialise(a.select("event_id", "cluster_id", "n", F.arrays_zip("point_idx", *cols).alias("hits")), "rays")
+    sizes = a.groupBy("n").count().collect()  # one row per size
+    places = {r["n"]: r["n"] if r["n"] == width + 1 else min(r["n"], width) for r in sizes}
+    total = sum(r["count"] * math.perm(r["n"], places[r["n"]]) * places[r["n"]] for r in sizes)
+    orders = F.array().cast("array<array<int>>")
+    for n, r in places.items():
+        orders = F.when(F.col("n") == n, F.from_json(F.lit(json.dumps(_perms(n, r).tolist())), "array<array<int>>")).otherwise(orders)
+    parts = max(int(a.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(total / rows))
+    a = a.repartition(parts, "event_id").select("event_id", "cluster_id", "hits", F.posexplode(orders).alias("order_no", "order"))
+    a = a.select("event_id", "cluster_id", "order_no", F.posexplode(F.transform("order", lambda i: F.col("hits")[i])).alias("track_pos", "hit"))
+    return a.select("event_id", "cluster_id", "order_no", "track_pos", *[F.col(f"hit.{c}").alias(c) for c in ("point_idx", *cols)])
+
+
+def tried_orders(hits: DataFrame, clusters: DataFrame, width: int = 5, max_size: int = 6) -> DataFrame:
+    """The orders of :func:`tried_rays`, the given one marked: rows to learn from.
+
+    ``event_id, cluster_id, order_no, ordered, track_pos, point_idx``.
+    """
+    t = tried_rays(hits, clusters, width, max_size)
+    return t.select("event_id", F.col("cluster_id").cast("int").alias("cluster_id"), "order_no", (F.col("order_no") == 0).cast("int").alias("ordered"), "track_pos", F.col("point_idx").cast("int").alias("point_idx"))
 
 
 def backward_tracks(x: np.ndarray, e: np.ndarray, width: int = 3, stride: int = 1, e_min: float = 0.09, e_max: float = 0.25, method: str = "angle", inner: float = G.SHELLS["gretina"][0]) -> tuple[list[list[int]], list[int]]:

@@ -18,20 +18,22 @@ def ray_states(hits: DataFrame, clusters: DataFrame, energies: DataFrame | None
     return t.join(energies.select("event_id", "cluster_id", "energy"), ["event_id", "cluster_id"], "left").withColumn("complete", F.abs(F.col("esum") - F.col("energy")) < tolerance)
 
 
-def order_rows(hits: DataFrame, clusters: DataFrame, features: list[str], energies: DataFrame | None = None, width: int = 4, prepare: bool = False, packing: float = 0.6, seed: int = 1) -> DataFrame:
+def order_rows(hits: DataFrame, clusters: DataFrame, features: list[str], energies: DataFrame | None = None, width: int = 5, max_size: int = 6, prepare: bool = False, packing: float = 0.6, seed: int = 1) -> DataFrame:
     """One row per tried order of every small ray with its features: ``event_id, cluster_id, order_no, ordered, complete, n, esum, ...``.
 
-    ``prepare``: hits are packed and smeared first. All orders of a ray of up to ``width`` hits are tried; the true one is number 0.
+    ``prepare``: hits are packed and smeared first. Orders as in :func:`ordering.tried_rays`; the true one is number 0. Features of
+    a ray tried in part are those of its tried places; its n and esum are the whole ray's.
     """
     h = E.smeared(E.packed(hits, packing), seed) if prepare else hits
-    tried = O.tried_orders(h, clusters, width)
+    tried = O.tried_rays(h, clusters, width, max_size, ("x", "y", "z", "e"))
     # An order is a track of its own: its key is (event, cluster and order).
-    keyed = tried.withColumn("cluster_id", F.concat_ws("/", "cluster_id", "order_no")).join(h.select("event_id", "point_idx", "x", "y", "z", "e"), ["event_id", "point_idx"])
-    f = X.track_features(keyed.select("event_id", "cluster_id", "track_pos", "point_idx", "x", "y", "z", "e"), features)
+    f = X.track_features(tried.withColumn("cluster_id", F.concat_ws("/", "cluster_id", "order_no")).drop("order_no"), features)
     cut = F.split("cluster_id", "/")
     f = f.withColumn("order_no", cut[1].cast("int")).withColumn("cluster_id", cut[0].cast("int")).withColumn("ordered", (F.col("order_no") == 0).cast("int"))
-    states = ray_states(h, clusters, energies).select("event_id", "cluster_id", "complete")
-    return f.join(states, ["event_id", "cluster_id"], "left")
+    if energies is None and max_size <= width + 1:
+        return f.withColumn("complete", F.lit(None).cast("boolean"))
+    states = ray_states(h, clusters, energies).select("event_id", "cluster_id", F.col("n").alias("_n"), F.col("esum").alias("_esum"), "complete")
+    return f.join(states, ["event_id", "cluster_id"], "left").withColumns({"n": F.col("_n"), "esum": F.col("_esum")}).drop("_n", "_esum")
 
 
 def suppression_rows(hits: DataFrame, clusters: DataFrame, features: list[str], energies: DataFrame, tolerance: float = 0.02) -> tuple[DataFrame, DataFrame]:

@@ -173,7 +173,7 @@ QUERIES = {
     "joined_events": lambda s, d: E.joined_events(_hits(s, d).select("event_id", "point_idx"), _hits(s, d).select("event_id", F.shiftright("event_id", 1).alias("group_id")).distinct()),
     "clusters_by_smallest": lambda s, d: E.by_smallest(_clusters(s, d)).select("event_id", "cluster_id", "new_id", "point_idx"),
     "ordered_rays": lambda s, d: O.order_rays(table(s, d, "interactions"), table(s, d, "clusters")),
-    "tried_orders": lambda s, d: O.tried_orders(table(s, d, "interactions"), table(s, d, "clusters"), width=4),
+    "tried_orders": lambda s, d: O.tried_orders(table(s, d, "interactions"), table(s, d, "clusters")),
     "pair_counts": metric(M.pair_counts),
     "purity": metric(M.purity),
     "mismatches": metric(M.mismatches),
@@ -200,7 +200,7 @@ QUERIES = {
     "rank_model": q_ray_model,
     "energy_clusters": lambda s, d: S.energy_clusters(_hits(s, d), [0.5, 0.662, 1.173, 1.332]),
     "dendrogram_peaks": lambda s, d: S.peak_clusters(_hits(s, d), [0.5, 0.662, 1.173, 1.332], 0.01),
-    "training_orders": lambda s, d: N.order_rows(_hits(s, d), _clusters(s, d), ["rsg_mean_1", "c_penalty_sum_1", "rc_sum_1", "rth_cap_mean_1_tango"], width=3),
+    "training_orders": lambda s, d: N.order_rows(_hits(s, d), _clusters(s, d), ["rsg_mean_1", "c_penalty_sum_1", "rc_sum_1", "rth_cap_mean_1_tango"]),
     "tracked_rays": lambda s, d: PL.track(table(s, d, "interactions").where("e < 1000")).select("event_id", "cluster_id", "n", "esum", "fom", "tracked", "ts"),
 }
 

@@ -3,7 +3,7 @@ from itertools import combinations
 import numpy as np
 import pytest
 
-from hitloom.operators import programs as S, training as N
+from hitloom.operators import ordering as O, programs as S, training as N
 
 HITS = "event_id long, point_idx int, x double, y double, z double, e double, ts long, crystal_no int, seg_no int, interaction_type int"
 CLUSTERS = "event_id long, cluster_id int, track_pos int, point_idx int"
@@ -98,3 +98,24 @@ def test_event_operators_and_training(spark):
     m = N.TwoBranchModel(10).fit(tracks, singles, ["rsg_mean_1", "first_r"], ["energy", "penetration_cm"])
     p = m.predict(tracks, singles).collect()
     assert len(p) == 120 and all(0 <= r["score"] <= 1 for r in p)
+
+
+def test_rays_above_the_width_are_tried(spark):
+    rng = np.random.default_rng(8)
+    hits, clusters, sizes = [], [], {1: 2, 2: 5, 3: 6, 4: 7, 5: 8, 6: 1}
+    for c, n in sizes.items():
+        for k in range(n):
+            hits.append((1, 10 * c + k, *map(float, rng.normal(size=3) + [20, 0, 0]), float(rng.uniform(0.1, 0.6)), 0, 1, 1, 1))
+            clusters.append((1, c, k, 10 * c + k))
+    h, cl = spark.createDataFrame(hits, HITS), spark.createDataFrame(clusters, CLUSTERS)
+    count = lambda df: {r["cluster_id"]: r["count"] for r in df.select("cluster_id", "order_no").distinct().groupBy("cluster_id").count().collect()}
+    assert count(O.tried_orders(h, cl)) == {1: 2, 2: 120, 3: 720}
+    part = O.tried_orders(h, cl, 3, 8)
+    assert count(part) == {1: 2, 2: 60, 3: 120, 4: 210, 5: 336}  # 3 places of 5, 6, 7 and 8
+    assert count(O.tried_orders(h, cl, 4, 5)) == {1: 2, 2: 120}  # whole at width + 1
+    first = sorted((r["track_pos"], r["point_idx"]) for r in part.where("cluster_id = 5 and ordered = 1").collect())
+    assert first == [(0, 50), (1, 51), (2, 52)]
+    rows = N.order_rows(h, cl, ["rsg_mean_1", "rth_cap_mean_1_tango"]).groupBy("cluster_id", "n").count().collect()
+    assert {(r["cluster_id"], r["n"], r["count"]) for r in rows} == {(1, 2, 2), (2, 5, 120), (3, 6, 720)}
+    whole = N.order_rows(h, cl, ["rsg_mean_1"], width=3, max_size=8).where("cluster_id = 4").select("n", "esum").distinct().collect()
+    assert [r["n"] for r in whole] == [7] and all(abs(r["esum"] - sum(x[5] for x in hits if x[1] // 10 == 4)) < 1e-9 for r in whole)
