@@ -1,7 +1,7 @@
 """Exact searches over the hits of small events: subset sums, set packing, dendrogram peaks, trajectories.
 
 They take the place of mathematical programs: with at most ``MOST`` hits all subsets are bit masks, and
-dynamic programming over them is exact. Events above that are left out, and said to be by their absence.
+dynamic programming over them is exact. Above that, subset sums are met in the middle, which is exact too.
 """
 
 from __future__ import annotations
@@ -31,12 +31,86 @@ def subset_sums(e: np.ndarray) -> np.ndarray:
     return out
 
 
+def _small_sums(e: np.ndarray, at: np.ndarray, most: float, largest: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sums up to ``most`` of the subsets of at most ``largest`` of the hits ``at``, their sizes, and their hits, padded with -1."""
+    sums, size, hits = np.zeros(1), np.zeros(1, np.int64), np.full((1, largest), -1, np.int32)
+    for i in at:
+        ok = np.flatnonzero((size < largest) & (sums + e[i] <= most))
+        more = hits[ok]
+        more[np.arange(len(ok)), size[ok]] = i
+        sums, size, hits = np.concatenate([sums, sums[ok] + e[i]]), np.concatenate([size, size[ok] + 1]), np.concatenate([hits, more])
+    k = np.argsort(sums, kind="stable")
+    return sums[k], size[k], hits[k]
+
+
+def closest_subset(e: np.ndarray, energies: list[float], tolerance: float = 0.05, largest: int = 8) -> list[int] | None:
+    """The subset of at most ``largest`` hits whose sum is closest to one of ``energies``, if within ``tolerance``; ties as in
+    :func:`subset_sum_stack`.
+
+    Two halves of the hits are met in the middle: time and memory go with the subsets of a half whose sums
+    don't exceed the largest energy, not with all.
+    """
+    slack, block = 1e-13, 1_000_000  # sums of two halves differ from those in the order of the hits by less than the slack
+    most, by_size = max(energies) + tolerance + slack, np.argsort(e, kind="stable")
+    low, low_size, low_hits = _small_sums(e, np.sort(by_size[::2]), most, largest)
+    high, high_size, high_hits = _small_sums(e, np.sort(by_size[1::2]), most, largest)
+
+    def pairs() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        for r in range(largest + 1):
+            mine = np.flatnonzero((low_size <= largest - r) & (low_size + r > 0))
+            other = np.flatnonzero(high_size == r)
+            for k in range(0, len(other) * bool(len(mine)), block):
+                yield mine, other[k : k + block]
+
+    least = np.full(len(energies), np.inf)
+    for mine, other in pairs():
+        for k, v in enumerate(energies):
+            at = np.searchsorted(low[mine], v - high[other])
+            for side in (np.maximum(at - 1, 0), np.minimum(at, len(mine) - 1)):
+                least[k] = min(least[k], np.abs(low[mine[side]] + high[other] - v).min())
+    bound = min(least.min(), tolerance) + slack
+    best: tuple | None = None
+    for mine, other in pairs():
+        for k in np.flatnonzero(least <= bound):
+            v = energies[k]
+            lo = np.searchsorted(low[mine], v - high[other] - bound - slack)
+            count = np.searchsorted(low[mine], v - high[other] + bound + slack, "right") - lo
+            # All pairs that may be the closest, in blocks; the sums are taken anew in the order of the hits.
+            ends = np.cumsum(count)
+            for start in range(0, int(ends[-1]), block):
+                number = np.arange(start, min(start + block, int(ends[-1])))
+                row = np.searchsorted(ends, number, "right")
+                both = np.sort(np.concatenate([low_hits[mine[lo[row] + number - (ends - count)[row]]], high_hits[other[row]]], 1), 1)[:, -largest:]
+                total = np.zeros(len(both))
+                for c in both.T:
+                    total = np.where(c >= 0, total + e[c], total)
+                d = np.abs(total - v)
+                tied = both[d == d.min()][:, ::-1]  # the smaller mask has the smaller last hit, then the one before
+                first = tied[np.lexsort(tied.T[::-1])[0]]
+                found = (float(d.min()), int(k), tuple(int(i) for i in first))
+                if found[0] < tolerance and (best is None or found < best):
+                    best = found
+    return None if best is None else sorted(i for i in best[2] if i >= 0)
+
+
 def subset_sum_stack(e: np.ndarray, energies: list[float], tolerance: float = 0.05, largest: int = 8) -> list[list[int]]:
     """Clusters whose energies come closest to known ones: the closest of all first, then on what is left.
 
     Each cluster has at most ``largest`` hits; hits that fit no energy form the last cluster. Ties go to
-    the energy listed first, then to the smaller mask.
+    the energy listed first, then to the smaller mask. While more than ``MOST`` hits are left, the closest is found by
+    :func:`closest_subset`, then by all masks.
     """
+    rest, out = np.arange(len(e)), []
+    while len(rest) > MOST:
+        c = closest_subset(e[rest], energies, tolerance, largest)
+        if c is None:
+            return [*out, rest.tolist()]
+        out.append(rest[c].tolist())
+        rest = np.delete(rest, c)
+    return out + [rest[c].tolist() for c in _masked_stack(e[rest], energies, tolerance, largest)]
+
+
+def _masked_stack(e: np.ndarray, energies: list[float], tolerance: float, largest: int) -> list[list[int]]:
     n = len(e)
     sums = subset_sums(e)
     size = np.array([m.bit_count() for m in range(1 << n)])
@@ -220,9 +294,9 @@ def along(tensor: np.ndarray, order: list[int]) -> np.ndarray:
     return sum((tensor[a, b, c] for a, b, c in zip(path, path[1:], path[2:])), np.zeros(tensor.shape[-1]))
 
 
-def _small(hits: DataFrame, run: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> DataFrame:
+def _labelled(hits: DataFrame, run: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> DataFrame:
     ok = hits.where("x is not null and y is not null and z is not null and e > 0 and not isnan(e)").dropDuplicates(["event_id", "point_idx"])
-    arrays = per_event(ok, ["event_id"], ["point_idx", "x", "y", "z", "e"], ["point_idx"]).where(f"size(e) <= {MOST}")
+    arrays = per_event(ok, ["event_id"], ["point_idx", "x", "y", "z", "e"], ["point_idx"])
 
     def go(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in parts:
@@ -237,7 +311,7 @@ def _small(hits: DataFrame, run: Callable[[np.ndarray, np.ndarray], np.ndarray])
 
 
 def energy_clusters(hits: DataFrame, energies: list[float], tolerance: float = 0.05, largest: int = 8) -> DataFrame:
-    """``event_id, cluster_id, point_idx``: events of at most ``MOST`` hits clustered to known energies."""
+    """``event_id, cluster_id, point_idx``: every event clustered to known energies."""
 
     def run(_: np.ndarray, e: np.ndarray) -> np.ndarray:
         lab = np.zeros(len(e), np.int32)
@@ -245,9 +319,9 @@ def energy_clusters(hits: DataFrame, energies: list[float], tolerance: float = 0
             lab[c] = k
         return lab
 
-    return _small(hits, run)
+    return _labelled(hits, run)
 
 
 def peak_clusters(hits: DataFrame, energies: list[float], tolerance: float = 0.005, cut: float = 0.4) -> DataFrame:
-    """``event_id, cluster_id, point_idx``: events of at most ``MOST`` hits by :func:`dendrogram_peaks`."""
-    return _small(hits, lambda p, e: dendrogram_peaks(p, e, energies, tolerance, cut))
+    """``event_id, cluster_id, point_idx``: every event by :func:`dendrogram_peaks`."""
+    return _labelled(hits, lambda p, e: dendrogram_peaks(p, e, energies, tolerance, cut))

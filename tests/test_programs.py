@@ -119,3 +119,22 @@ def test_rays_above_the_width_are_tried(spark):
     assert {(r["cluster_id"], r["n"], r["count"]) for r in rows} == {(1, 2, 2), (2, 5, 120), (3, 6, 720)}
     whole = N.order_rows(h, cl, ["rsg_mean_1"], width=3, max_size=8).where("cluster_id = 4").select("n", "esum").distinct().collect()
     assert [r["n"] for r in whole] == [7] and all(abs(r["esum"] - sum(x[5] for x in hits if x[1] // 10 == 4)) < 1e-9 for r in whole)
+
+
+def test_closest_subset_equals_all_masks():
+    rng = np.random.default_rng(5)
+    for n in range(1, 13):
+        for digits in (1, 2, 12):
+            e = np.round(rng.uniform(0.05, 0.9, n), digits) + 0.05
+            for largest, energies in ((8, [0.5, 0.662]), (3, [1.173, 0.5, 9.0])):
+                got, all_of_it = S.closest_subset(e, energies, 0.05, largest), S._masked_stack(e, energies, 0.05, largest)
+                fits = min((abs(e[[i for i in range(n) if m >> i & 1]].sum() - v) for m in range(1, 1 << n) if m.bit_count() <= largest for v in energies)) < 0.05
+                assert got == (all_of_it[0] if fits else None)
+
+
+def test_large_events_are_clustered(spark):
+    rng = np.random.default_rng(6)
+    rows = [(ev, i, *map(float, rng.normal(size=3) * 20), float(np.round(rng.uniform(0.05, 0.6), 6)), 0, 1, 1, 1) for ev, n in ((1, 10), (2, 17), (3, 55)) for i in range(n)]
+    h = spark.createDataFrame(rows, HITS)
+    for df in (S.energy_clusters(h, [0.5, 1.332]), S.peak_clusters(h, [0.5, 1.332])):
+        assert {r["event_id"]: r["count"] for r in df.groupBy("event_id").count().collect()} == {1: 10, 2: 17, 3: 55}
