@@ -7,6 +7,8 @@ import json
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
 
+from hitloom.runtime import drop_table, materialise
+
 QID = ["ray_event_id", "ray_cluster_id"]
 
 
@@ -127,19 +129,24 @@ def fit_linear(relative: DataFrame, features: list[str], kind: str = "svc", reg:
     return dict(zip(features, [float(v) for v in model.coefficients]))
 
 
-def column_generation(relative: DataFrame, features: list[str], row: str = "row_id", kind: str = "svc", first: str = "least", then: str = "neg", rounds: int = 5, qid: list[str] = QID, **kw) -> dict[str, float]:
-    """Weights from a growing set of active rows: fit, add each ray's worst row under the new weights, until none is new."""
+def column_generation(relative: DataFrame, features: list[str], row: str = "row_id", kind: str = "svc", first: str = "least", then: str = "neg", qid: list[str] = QID, **kw) -> dict[str, float]:
+    """Weights from a growing set of active rows: fit, add each ray's worst row under the new weights, until none is new.
+
+    It ends, as the active set only grows.
+    """
+    relative = materialise(relative, "relative")
     start = mean_of_means(relative, features, qid).first()
     weights = {f: float(start[f] or 0.0) for f in features}
-    active = None
-    for _ in range(rounds):
-        chosen = selected_rows(relative.withColumn("s", score(weights)), first if active is None else then, row, qid).select(row)
-        grown = chosen if active is None else active.union(chosen).distinct()
-        if active is not None and not chosen.join(active, row, "left_anti").limit(1).count():
-            break
-        active = grown
+    active = materialise(selected_rows(relative.withColumn("s", score(weights)), first, row, qid).select(row), "active")
+    while True:
         weights = fit_linear(relative.join(active, row, "left_semi"), features, kind, qid=qid, **kw)
-    return weights
+        chosen = selected_rows(relative.withColumn("s", score(weights)), then, row, qid).select(row)
+        new = materialise(chosen.join(active, row, "left_anti"), "active")
+        if new.isEmpty():
+            return weights
+        old, active = active, materialise(active.union(new).distinct(), "active")
+        drop_table(old)
+        drop_table(new)
 
 
 def estimated_weights(relative: DataFrame, features: list[str], row: str = "row_id", first: str = "least", then: str = "neg", rounds: int = 10, qid: list[str] = QID) -> dict[str, float]:

@@ -120,7 +120,7 @@ def q_relative_normal(spark: SparkSession, sf: str) -> DataFrame:
 
 def q_ray_model(spark: SparkSession, sf: str) -> DataFrame:
     """Linear ranking weights by column generation, one row."""
-    w = R.column_generation(_relative(spark, sf), FEATURES, rounds=2, iterations=20)
+    w = R.column_generation(_relative(spark, sf), FEATURES)
     return spark.createDataFrame([w])
 
 

@@ -230,3 +230,19 @@ def test_backward_tracks_are_disjoint():
     tracks, left = O.backward_tracks(p[:, :3], p[:, 3])
     flat = [i for t in tracks for i in t]
     assert len(flat) == len(set(flat)) and sorted(flat + left) == list(range(9))
+
+
+def test_column_generation_ends_with_no_new_row(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    rows = [(20 * q + k, q, 1, *map(float, rng.normal(size=4) + [0.4, 0.2, 0.1, 0.3])) for q in range(30) for k in range(20)]
+    rel = spark.createDataFrame(rows, "row_id long, ray_event_id long, ray_cluster_id int, a double, b double, c double, d double")
+    fits, fit = [], R.fit_linear
+
+    def seen(relative, *args, **kw):
+        fits.append({r["row_id"] for r in relative.select("row_id").collect()})
+        return fit(relative, *args, **kw)
+
+    monkeypatch.setattr(R, "fit_linear", seen)
+    w = R.column_generation(rel, list("abcd"), iterations=20)
+    last = {r["row_id"] for r in R.selected_rows(rel.withColumn("s", R.score(w)), "neg").collect()}
+    assert last <= fits[-1] and len(fits) > 2 and all(x < y for x, y in zip(fits, fits[1:]))
