@@ -18,50 +18,41 @@ from hitloom.runtime import materialise
 DAY = 8_640_000_000_000
 #: Width of a cell of log energy in the level statistics.
 CELL = 0.01
-FEATURES = ("level", "difference", "seasonal", "run_e", "run_x")
-
-_LEVELS = "crystal_no int, day long, med double, med_all double, sigma double, low double, high double, n long"
-
-
-def _weighted_median(v: np.ndarray, w: np.ndarray) -> float:
-    o = np.argsort(v, kind="stable")
-    c = np.cumsum(w[o])
-    return float(v[o][np.searchsorted(c, c[-1] / 2)])
-
-
-def _edge(v: np.ndarray, w: np.ndarray, gap: float, start: float) -> float:
-    """The largest value that joins the bulk: from the quantile ``start`` outward, up to the first empty stretch of ``gap``."""
-    o = np.argsort(v, kind="stable")
-    v, c = v[o], np.cumsum(w[o])
-    i = int(np.searchsorted(c, start * c[-1]))
-    far = np.flatnonzero(np.diff(v[i:]) > gap)
-    return float(v[i + far[0]] if len(far) else v[-1])
-
-
-def _levels(gap: float, least_z: float):
-    """Normal behaviour of one crystal from counts of (day, cell of log e)."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        v = (pdf["cell"].to_numpy() + 0.5) * CELL
-        w = pdf["n"].to_numpy(float)
-        day = pdf["day"].fillna(-1).to_numpy("int64")
-        med_all = _weighted_median(v, w)
-        days, inv = np.unique(day, return_inverse=True)
-        med = np.full(len(days), med_all)
-        for i, d in enumerate(days):
-            at = inv == i
-            if d >= 0 and w[at].sum() >= 20:
-                med[i] = _weighted_median(v[at], w[at])
-        r = v - med[inv]
-        sigma = max(1.4826 * _weighted_median(np.abs(r), w), CELL)
-        high = max(_edge(r, w, gap, 0.97) + gap / 2, least_z * sigma)
-        low = -max(_edge(-r, w, gap, 0.97) + gap / 2, least_z * sigma)
-        out = pd.DataFrame({"day": days, "med": med})
-        if -1 not in days:
-            out = pd.concat([out, pd.DataFrame({"day": [-1], "med": [med_all]})])
-        return out.assign(crystal_no=pdf["crystal_no"].iloc[0], med_all=med_all, sigma=sigma, low=low, high=high, n=int(w.sum()))[[c.split()[0] for c in _LEVELS.split(", ")]]
-
-    return run
+FEATURES = ("level", "difference", "seasonal", "run_e")
+#: Features are cut off at so many spreads from normal; the forest's boxes reach as far.
+REACH = 12.0
+#: Hits that the all-time median counts as in a day's own median.
+PULL = 20.0
+#: Hits that one task of the sorted pass takes.
+ROWS = 1_000_000
+#: Width of a bin of scores, and the least middle of the empty stretch that may part spikes off.
+BIN = 0.005
+FLOOR = 0.45
+
+
+def _middle(counts: DataFrame, keys: list[str], cell: str, out: str) -> DataFrame:
+    """``keys, out, n``: the weighted median of ``cell`` (counts in ``n``) per key, in windows over the counts."""
+    w = Window.partitionBy(*keys)
+    upto = counts.withColumn("_u", F.sum("n").over(w.orderBy(cell).rowsBetween(Window.unboundedPreceding, Window.currentRow))).withColumn("_n", F.sum("n").over(w))
+    return upto.where(2 * F.col("_u") >= F.col("_n")).groupBy(*keys).agg(F.min(cell).alias(out), F.max("_n").alias("n"))
+
+
+def _levels(cells: DataFrame) -> DataFrame:
+    """Normal behaviour from counts ``crystal_no, day, cell, n`` of log energy: ``crystal_no, day, med, med_all, sigma, n``.
+
+    The median of a day is drawn toward that of all days by ``PULL`` hits' weight, so a day of few hits follows the
+    crystal and one of many its own gain. ``day`` is null in the crystal's own row. ``sigma`` is the spread of what is left
+    after the days' medians. All steps are windows over counts; their size grows with the days, not with the hits.
+    """
+    cells = materialise(cells, "cells")
+    mid = lambda c: (F.col(c) + 0.5) * CELL
+    whole = _middle(cells.groupBy("crystal_no", "cell").agg(F.sum("n").alias("n")), ["crystal_no"], "cell", "m").select("crystal_no", mid("m").alias("med_all"), F.col("n").alias("n_all"))
+    daily = _middle(cells.where("day is not null"), ["crystal_no", "day"], "cell", "m").join(whole, "crystal_no").select("crystal_no", "day", ((F.col("n") * mid("m") + PULL * F.col("med_all")) / (F.col("n") + PULL)).alias("med"))
+    left = cells.join(whole, "crystal_no").join(daily, ["crystal_no", "day"], "left").withColumn("away", F.floor(F.abs(mid("cell") - F.coalesce("med", "med_all")) / CELL))
+    spread = _middle(left.groupBy("crystal_no", "away").agg(F.sum("n").alias("n")), ["crystal_no"], "away", "m").select("crystal_no", F.greatest(F.lit(CELL), 1.4826 * mid("m")).alias("sigma"))
+    own = whole.join(spread, "crystal_no")
+    days = daily.join(own, "crystal_no").select("crystal_no", "day", "med", "med_all", "sigma", "n_all")
+    return days.unionByName(own.select("crystal_no", F.lit(None).cast("long").alias("day"), F.lit(None).cast("double").alias("med"), "med_all", "sigma", "n_all")).withColumnRenamed("n_all", "n")
 
 
 def _runs(part: np.ndarray, vals: list[np.ndarray], ok: np.ndarray, tol: float) -> tuple[np.ndarray, np.ndarray, list[tuple]]:
@@ -120,11 +111,17 @@ def _features(tol_e: float, tol_x: float, centres: np.ndarray, reach: float):
         run_e, end_e, ends_e = _runs(crystal, [e], has_e, tol_e)
         run_x, end_x, ends_x = _runs(crystal, [x, y, z], timed & ~np.isnan(x + y + z), tol_x)
         diff = np.zeros(len(e))
-        i = np.flatnonzero(has_e & ~np.isnan(level))
-        step = np.r_[np.nan, level[i][1:] - level[i][:-1]] if len(i) else np.empty(0)
+        i = np.flatnonzero(has_e & ~np.isnan(seasonal))
         if len(i):
-            step[np.r_[True, crystal[i][1:] != crystal[i][:-1]]] = 0
-            diff[i] = step
+            # The least of the steps to two neighbours on either side: a spike leaves all of them, a normal reading beside it doesn't.
+            v, c = seasonal[i], crystal[i]
+            steps = np.full((4, len(i)), np.inf)
+            for j, k in enumerate((1, 2)):
+                same = c[k:] == c[:-k]
+                steps[2 * j, k:][same] = (v[k:] - v[:-k])[same]
+                steps[2 * j + 1, :-k][same] = (v[:-k] - v[k:])[same]
+            least = steps[np.abs(steps).argmin(0), np.arange(len(i))]
+            diff[i] = np.where(np.isfinite(least), least, 0.0)
         n, m = len(e), len(ends_e) + len(ends_x)
         none = pa.nulls(n, pa.float64())
         yield pa.RecordBatch.from_arrays(
@@ -239,76 +236,104 @@ def score_forest(data: np.ndarray, feat: np.ndarray, cut: np.ndarray, path: np.n
     return np.exp2(-total / len(feat) / max(_c(sample), 1e-9))
 
 
-def _matrix(pdf: pd.DataFrame) -> np.ndarray:
-    """Features of readings; what isn't there is at its normal value."""
+def _matrix(pdf: pd.DataFrame, stuck: int) -> np.ndarray:
+    """Features of readings; what isn't there is at its normal value, and so are runs that are too short to be stuck."""
     a = np.empty((len(pdf), len(FEATURES)), np.float32)
     for j, c in enumerate(FEATURES[:3]):
-        a[:, j] = np.clip(np.nan_to_num(pdf[c].to_numpy(float), nan=0.0), -30, 30)
-    a[:, 3] = np.log(pdf["run_e"].to_numpy(float))
-    a[:, 4] = np.log(pdf["run_x"].to_numpy(float))
+        a[:, j] = np.clip(np.nan_to_num(pdf[c].to_numpy(float), nan=0.0), -REACH, REACH)
+    run = pdf["run_e"].to_numpy(float)
+    a[:, 3] = np.where(run >= stuck, np.minimum(np.log2(run), REACH), 0.0)
     return a
 
 
-_MODEL = "crystal_no int, feat binary, cut binary, path binary, bar double"
+_MODEL = "crystal_no int, feat binary, cut binary, path binary, size int, top double"
 
 
-def _train(trees: int, sample: int, most: int, share: float, seed: int):
+def _train(trees: int, sample: int, most: int, stuck: int, seed: int):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["h", "event_id", "point_idx"]).head(most)
-        data = _matrix(pdf)
-        wide = np.log(16.0)
-        feat, cut, path = fit_forest(data, np.array([-6, -8, -6, 0, 0], np.float32), np.array([6, 8, 6, wide, wide], np.float32), trees, sample, np.random.default_rng([seed, abs(int(pdf["crystal_no"].iloc[0]))]))
-        bar = float(np.quantile(score_forest(data, feat, cut, path, sample), 1 - share))
-        return pd.DataFrame({"crystal_no": [pdf["crystal_no"].iloc[0]], "feat": [feat.tobytes()], "cut": [cut.tobytes()], "path": [path.tobytes()], "bar": [bar]})
+        data = _matrix(pdf, stuck)
+        size = min(sample, max(2, len(data) // 2))
+        far = np.array([REACH, REACH, REACH, REACH], np.float32)
+        feat, cut, path = fit_forest(data, -far * np.array([1, 1, 1, 0], np.float32), far, trees, size, np.random.default_rng([seed, abs(int(pdf["crystal_no"].iloc[0]))]))
+        # What a reading scores that lies beyond everything, on the side where that is less.
+        ends = np.array([[REACH, REACH, REACH, 0], [-REACH, -REACH, -REACH, 0]], np.float32)
+        top = float(score_forest(ends, feat, cut, path, size).min())
+        return pd.DataFrame({"crystal_no": [pdf["crystal_no"].iloc[0]], "feat": [feat.tobytes()], "cut": [cut.tobytes()], "path": [path.tobytes()], "size": [size], "top": [top]})
 
     return run
 
 
-def _score(trees: int, sample: int):
+def _score(trees: int, stuck: int):
     def run(rows: pd.DataFrame, model: pd.DataFrame) -> pd.DataFrame:
         out = rows[["event_id", "point_idx", "crystal_no", "flag", "run_e", "run_x"]].copy()
+        out["score"], out["plain"], out["top"], out["judged"] = 0.0, 0.0, 1.0, False
         if len(model) and len(rows):
             m = model.iloc[0]
             shape = (trees, -1)
-            out["score"] = score_forest(_matrix(rows), np.frombuffer(m["feat"], np.int8).reshape(shape), np.frombuffer(m["cut"], np.float32).reshape(shape), np.frombuffer(m["path"], np.float32).reshape(shape), sample)
-            out["bar"] = float(m["bar"])
-        else:
-            out["score"], out["bar"] = 1.0, 0.0
+            forest = np.frombuffer(m["feat"], np.int8).reshape(shape), np.frombuffer(m["cut"], np.float32).reshape(shape), np.frombuffer(m["path"], np.float32).reshape(shape), int(m["size"])
+            data = _matrix(rows, stuck)
+            out["score"] = score_forest(data, *forest)
+            out["plain"] = out["score"]
+            runs = np.flatnonzero(data[:, 3] > 0)
+            if len(runs):  # what the reading would score outside its run: a stuck one need not be a spike
+                data[runs, 3] = 0
+                plain = out["plain"].to_numpy().copy()
+                plain[runs] = score_forest(data[runs], *forest)
+                out["plain"] = plain
+            out["top"] = float(m["top"])
+            # The energy of a hit in another crystal isn't judged, and doesn't count for the bar.
+            out["judged"] = rows["level"].notna() & (rows["flag"] & 4 == 0)
         return out
 
     return run
 
 
+def score_bars(scored: DataFrame) -> DataFrame:
+    """``crystal_no, bar``: the score above which a reading of the crystal is a spike.
+
+    Scores are counted in bins per crystal, over all its readings. Normal readings fill the bins from the middle
+    outward; the bar is the middle of the widest empty stretch above the median bin, up to what a reading beyond
+    everything scores, whose middle is at least ``FLOOR``. Nothing depends on how many readings are spikes.
+    """
+    bins = scored.where("judged").groupBy("crystal_no", F.floor(F.least("plain", "top") / BIN).alias("bin")).agg(F.count("*").alias("n"), F.max("top").alias("top"))
+    w = Window.partitionBy("crystal_no")
+    mid = _middle(bins, ["crystal_no"], "bin", "mid").select("crystal_no", "mid")
+    end = bins.groupBy("crystal_no").agg((F.floor(F.max("top") / BIN)).alias("bin"))
+    marks = bins.select("crystal_no", "bin").unionByName(end).distinct().join(mid, "crystal_no").where("bin >= mid")
+    gaps = marks.withColumn("nxt", F.lead("bin").over(w.orderBy("bin"))).withColumn("at", (F.col("bin") + 1 + F.col("nxt")) / 2 * BIN).where(F.col("at") >= FLOOR)
+    widest = gaps.groupBy("crystal_no").agg(F.max_by("at", F.struct(F.col("nxt") - F.col("bin"), -F.col("bin"))).alias("bar"))
+    return widest
+
+
 def scored_readings(
     hits: DataFrame,
     crystals: DataFrame,
     reach: float = 4.2,
     max_energy: float = 1_000.0,
-    gap: float = 0.3,
-    least_z: float = 4.0,
     tol_e: float = 5e-6,
     tol_x: float = 5e-4,
-    trees: int = 20,
+    stuck: int = 5,
+    trees: int = 100,
     sample: int = 256,
     train_rows: int = 2_048,
-    share: float = 0.05,
+    rows_per_task: int = ROWS,
     seed: int = 5,
 ) -> DataFrame:
     """Every distinct hit of a known crystal with its anomaly score, run lengths and rule flags.
 
-    ``event_id, point_idx, crystal_no, flag, run_e, run_x, score, bar``; flag bits: 1 energy
-    impossible, 2 position outside the named crystal, 4 position inside another one, 8 energy beyond
-    the edge of what the crystal records.
+    ``event_id, point_idx, crystal_no, flag, run_e, run_x, score, plain, judged, bar``; flag bits: 1 energy
+    impossible, 2 position outside the named crystal, 4 position inside another one. ``plain`` is the score
+    without the run-length feature; a judged reading is a spike where ``plain`` reaches its crystal's ``bar``.
 
     1. Level statistics: counts of (crystal, day, cell of log e) over all hits, one mergeable table, give each
-       crystal's daily median (gains may change between days), spread and the edges of its bulk: from
-       the 97 % quantile outward up to the first empty stretch of ``gap``, at least ``least_z`` spreads.
-    2. Hits are range-partitioned by (crystal, ts, event, point), which splits a crystal with most of the rows. One
-       sorted pass computes differences and lengths of stuck runs; the runs at the ends
-       of partitions are stitched in a small table.
+       crystal's medians by day (gains may change between days) and spread.
+    2. Hits are range-partitioned by (crystal, ts, event, point) into as many parts as their number asks for, which
+       splits a crystal with most of the rows. One sorted pass computes differences and lengths of stuck runs; the
+       runs at the ends of partitions are stitched in a small table.
     3. An isolation forest per crystal is fitted on at most ``train_rows`` of its hits (those of least
-       hash) and scores every hit, in groups of (crystal, partition). ``bar`` is the score that ``share`` of
-       the crystal's training hits exceed.
+       hash) on level, difference, seasonal level and run length, and scores every hit, in groups of (crystal, partition).
+    4. The bar comes from the counts of all scores of the crystal (:func:`score_bars`).
     """
     spark = hits.sparkSession
     names = ["event_id", "point_idx", "x", "y", "z", "e", "ts", "crystal_no"]
@@ -324,25 +349,24 @@ def scored_readings(
     placed = raw.join(known, "crystal_no").withColumn("away", F.coalesce(d2 > reach * reach, F.lit(False))).drop("cx", "cy", "cz")
     impossible = F.coalesce((F.col("e") <= 0) | (F.col("e") >= max_energy), F.lit(False))
     le = F.when(~impossible, F.ln(F.when(F.col("e") > 0, F.col("e"))))
-    day = F.coalesce(F.expr(f"ts div {DAY}"), F.lit(-1)).alias("day")
+    day = F.expr(f"ts div {DAY}").alias("day")
     cells = placed.where(~F.col("away") & ~impossible & F.col("e").isNotNull()).groupBy("crystal_no", day, F.floor(le / CELL).alias("cell")).agg(F.count("*").alias("n"))
-    levels = materialise(cells.groupBy("crystal_no").applyInPandas(_levels(gap, least_z), _LEVELS), "levels")
+    levels = materialise(_levels(cells), "levels")
 
-    whole = levels.where("day = -1").drop("day", "med")
-    daily = levels.select("crystal_no", "day", "med")
-    r = le - F.coalesce("med", "med_all")
+    whole = levels.where("day is null").drop("day", "med")
+    daily = levels.where("day is not null").select("crystal_no", "day", "med")
     leveled = (
         placed.withColumn("day", day)
         .join(whole, "crystal_no", "left")
         .join(daily, ["crystal_no", "day"], "left")
-        .withColumn("r", r)
         .select(
             "crystal_no", "ts", "event_id", "point_idx", "x", "y", "z", "e",
-            ((le - F.col("med_all")) / F.col("sigma")).cast("float").alias("level"), (F.col("r") / F.col("sigma")).cast("float").alias("seasonal"),
-            (F.when(impossible, 1).otherwise(0) + F.when(F.col("away"), 2).otherwise(0) + F.when((F.col("r") < F.col("low")) | (F.col("r") > F.col("high")), 8).otherwise(0)).cast("tinyint").alias("flag"),
+            ((le - F.col("med_all")) / F.col("sigma")).cast("float").alias("level"), ((le - F.coalesce("med", "med_all")) / F.col("sigma")).cast("float").alias("seasonal"),
+            (F.when(impossible, 1).otherwise(0) + F.when(F.col("away"), 2).otherwise(0)).cast("tinyint").alias("flag"),
         )
     )
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    total = whole.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(total / rows_per_task))
     order = ["crystal_no", "ts", "event_id", "point_idx", "e", "x", "y", "z"]
     schema = ", ".join(f"{c} {_SQL[t]}" for c, t in _TYPES.items())
     # Copies of a hit are folded where they lie, before they could meet in one partition.
@@ -351,22 +375,23 @@ def scored_readings(
     ends = _stitched(feats.where("kind = 1").select("crystal_no", "field", "blk", "end_e", "run_e", "fx", "fy", "fz", "lx", "ly", "lz"), tol_e, tol_x)
     # Only runs that grew have to be written back.
     grown = lambda f, place, out: ends.where(F.col("field") == f).select("crystal_no", "blk", F.col("place").alias(place), F.col("whole").alias(out))
+    own = feats.where("kind = 0").select("crystal_no", "blk", "event_id", "point_idx", "flag", "level", "seasonal", "difference", "run_e", "run_x", "end_e", "end_x")
     full = (
-        feats.where("kind = 0")
-        .select("crystal_no", "blk", "event_id", "point_idx", "flag", "level", "seasonal", "difference", "run_e", "run_x", "end_e", "end_x")
-        .join(grown(0, "end_e", "we"), ["crystal_no", "blk", "end_e"], "left")
+        own.join(grown(0, "end_e", "we"), ["crystal_no", "blk", "end_e"], "left")
         .join(grown(1, "end_x", "wx"), ["crystal_no", "blk", "end_x"], "left")
         .select("crystal_no", "blk", "event_id", "point_idx", "flag", "level", "seasonal", "difference", F.coalesce("we", "run_e").alias("run_e"), F.coalesce("wx", "run_x").alias("run_x"))
     )
     h = F.pmod(F.xxhash64(F.lit(seed), "event_id", "point_idx"), F.lit(1 << 32))
-    drawn = full.where("level is not null").withColumn("h", h).join(whole.select("crystal_no", "n"), "crystal_no").where(F.col("h") * F.col("n") < F.lit(2.0 * train_rows * (1 << 32))).drop("n")
-    models = materialise(drawn.groupBy("crystal_no").applyInPandas(_train(trees, sample, train_rows, share, seed), _MODEL), "forests")
-    wanted = materialise(feats.where("kind = 0").select("crystal_no", "blk").distinct(), "blocks").join(models, "crystal_no").toDF("source", "block", *[c.split()[0] for c in _MODEL.split(", ")[1:]])
-    return (
+    drawn = own.where("level is not null").withColumn("h", h).join(whole.select("crystal_no", "n"), "crystal_no").where(F.col("h") * F.col("n") < F.lit(2.0 * train_rows * (1 << 32))).drop("n")
+    models = materialise(drawn.groupBy("crystal_no").applyInPandas(_train(trees, sample, train_rows, stuck, seed), _MODEL), "forests")
+    wanted = materialise(own.select("crystal_no", "blk").distinct(), "blocks").join(models, "crystal_no").toDF("source", "block", *[c.split()[0] for c in _MODEL.split(", ")[1:]])
+    scored = (
         full.groupBy("crystal_no", "blk")
         .cogroup(wanted.groupBy("source", "block"))
-        .applyInPandas(_score(trees, sample), "event_id long, point_idx int, crystal_no int, flag tinyint, run_e long, run_x long, score double, bar double")
+        .applyInPandas(_score(trees, stuck), "event_id long, point_idx int, crystal_no int, flag tinyint, run_e long, run_x long, score float, plain float, top float, judged boolean")
     )
+    scored = materialise(scored, "scored")
+    return scored.join(score_bars(scored), "crystal_no", "left").drop("top")
 
 
 _SQL = {pa.int8(): "tinyint", pa.int32(): "int", pa.int64(): "long", pa.float32(): "float", pa.float64(): "double"}
@@ -375,8 +400,7 @@ _SQL = {pa.int8(): "tinyint", pa.int32(): "int", pa.int64(): "long", pa.float32(
 def implausible_readings(hits: DataFrame, crystals: DataFrame, stuck: int = 5, **kw) -> DataFrame:
     """``event_id, point_idx, field, reason, score``: one row per implausible reading and reason.
 
-    field 'e': impossible energies; energies that the crystal's forest sets apart and that lie beyond the
-    edges of its bulk; stuck energies: ``stuck`` or more successive hits (by ts, event_id, point_idx)
+    field 'e': impossible energies; energies that the crystal's forest sets apart from its other readings; stuck energies: ``stuck`` or more successive hits (by ts, event_id, point_idx)
     with the same reading apart from the last digit. field 'x': positions inside no crystal, and stuck ones. field
     'crystal_no': unknown numbers, and positions inside another crystal; then neither e nor x is judged.
 
@@ -386,7 +410,7 @@ def implausible_readings(hits: DataFrame, crystals: DataFrame, stuck: int = 5, *
     """
     known = crystals.select(F.col("crystal_no").cast("int").alias("crystal_no")).where("crystal_no is not null").distinct()
     foreign = hits.where("event_id is not null and point_idx is not null").select("event_id", "point_idx", F.col("crystal_no").cast("int").alias("crystal_no")).where("crystal_no is not null").join(known, "crystal_no", "left_anti").distinct()
-    scored = scored_readings(hits, crystals, **kw)
+    scored = scored_readings(hits, crystals, stuck=stuck, **kw)
     bit = lambda b: F.col("flag").bitwiseAND(b) != 0
     here = ~bit(4)
     case = lambda field, reason: F.struct(F.lit(field).alias("field"), F.lit(reason).alias("reason"))
@@ -397,8 +421,8 @@ def implausible_readings(hits: DataFrame, crystals: DataFrame, stuck: int = 5, *
             F.when(here & (F.col("run_x") >= stuck), case("x", "stuck")),
             F.when(here & bit(1), case("e", "impossible energy")),
             F.when(here & (F.col("run_e") >= stuck), case("e", "stuck")),
-            F.when(here & bit(8) & (F.col("score") >= F.col("bar")), case("e", "spike")),
+            F.when(F.col("judged") & (F.col("plain") >= F.col("bar")), case("e", "spike")),
         )
     )
-    cases = scored.select("event_id", "point_idx", "score", F.explode(reasons).alias("r")).select("event_id", "point_idx", "r.field", "r.reason", "score")
+    cases = scored.select("event_id", "point_idx", F.col("score").cast("double").alias("score"), F.explode(reasons).alias("r")).select("event_id", "point_idx", "r.field", "r.reason", "score")
     return cases.unionByName(foreign.select("event_id", "point_idx", F.lit("crystal_no").alias("field"), F.lit("unknown crystal").alias("reason"), F.lit(1.0).alias("score")))

@@ -2,7 +2,7 @@ import random
 
 import numpy as np
 
-from hitloom.operators.spikes import fit_forest, implausible_readings, score_forest, scored_readings
+from hitloom.operators.spikes import fit_forest, implausible_readings, score_bars, score_forest, scored_readings
 
 HITS = "event_id long, point_idx int, x double, y double, z double, e double, ts long, crystal_no int, flag string, level double"
 CRYSTALS = "crystal_no int, cx double, cy double, cz double, blk int"
@@ -90,3 +90,51 @@ def test_forest_parts_off_what_leaves_a_constant():
     f = fit_forest(data, np.array([-6, 0], np.float32), np.array([6, 2.8], np.float32), 20, 256, rng)
     s = score_forest(np.array([[0, 0], [0, 2.0], [9, 0]], np.float32), *f, 256)
     assert s[1] > s[0] + 0.1 and s[2] > s[0] + 0.1
+
+
+def test_many_spikes_and_none(spark):
+    """Whether a reading is a spike doesn't depend on the share of spikes, and it is the forest's score that tells."""
+    rows = normal(3000, 4)
+    rng = random.Random(9)
+    bad = set()
+    for r in rows:
+        if r[7] == 1 and rng.random() < 0.06:
+            r[5] = round(0.3 * float(np.exp(rng.choice([-1, 1]) * rng.uniform(3, 6))), 7)
+            bad.add((r[0], 1, "e"))
+    got = found(spark, rows)
+    assert len(got & bad) >= 0.97 * len(bad) and not {k for k in got - bad}
+    scored = scored_readings(spark.createDataFrame([tuple(r) for r in rows], HITS), crystals(spark)).where("judged").toPandas()
+    spikes = scored["event_id"].isin([i for i, _, _ in got])
+    assert scored[spikes]["plain"].min() >= scored["bar"].min() and (scored[~spikes]["plain"] < scored[~spikes]["bar"]).all()
+
+
+def test_bar_lies_in_the_widest_empty_stretch(spark):
+    rows = [(1, 0.3 + (i % 40) * 0.005, 0.8, True) for i in range(400)] + [(1, 0.7, 0.8, True), (1, 0.75, 0.8, True), (2, 0.3, 0.8, True), (2, 0.9, 0.8, False), (3, 0.4, 0.8, True), (3, 0.41, 0.8, True)]
+    got = {r["crystal_no"]: r["bar"] for r in score_bars(spark.createDataFrame(rows, "crystal_no int, plain double, top double, judged boolean")).collect()}
+    assert 0.5 < got[1] < 0.7 and got[2] > 0.45 and got[3] > 0.45
+
+
+def test_test_tables(spark):
+    """On the smallest test tables every impossible energy, unknown crystal and lost position is found by plain SQL too."""
+    import os
+
+    import duckdb
+    import pytest
+
+    from tests.compare import DATA
+
+    if not os.path.isdir(DATA):
+        pytest.skip("no test tables")
+    got = {tuple(r) for r in implausible_readings(spark.read.parquet(f"{DATA}/interactions.parquet"), spark.read.parquet(f"{DATA}/crystals.parquet")).select("event_id", "point_idx", "field").distinct().collect()}
+    i, c = f"'{DATA}/interactions.parquet'", f"'{DATA}/crystals.parquet'"
+    near = f"exists (select 1 from {c} o where (i.x-o.cx)**2 + (i.y-o.cy)**2 + (i.z-o.cz)**2 <= 4.2**2{{}})"
+    own = near.format(" and o.crystal_no = i.crystal_no")
+    sql = {
+        "crystal_no": f"crystal_no is not null and (not exists (select 1 from {c} k where k.crystal_no = i.crystal_no) or (not isnan(x + y + z) and not {own} and {near.format('')}))",
+        "x": f"exists (select 1 from {c} k where k.crystal_no = i.crystal_no) and not isnan(x + y + z) and not {near.format('')}",
+        "e": f"exists (select 1 from {c} k where k.crystal_no = i.crystal_no) and (e <= 0 or (e >= 1000 and not isnan(e))) and ({own} or not {near.format('')} or x is null or y is null or z is null or isnan(x + y + z))",
+    }
+    for field, where in sql.items():
+        want = {(*r, field) for r in duckdb.sql(f"select distinct event_id, point_idx from {i} i where {where}").fetchall()}
+        mine = {k for k in got if k[2] == field}
+        assert want and want <= mine if field != "crystal_no" else want == mine
