@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 import zipfile
@@ -10,7 +11,6 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
-
 _SHIPPED: set[str] = set()
 
 
@@ -37,13 +37,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder that every executor can read, named by ``spark.checkpoint.dir``.
+    """Folder that every executor can read, named by ``spark.checkpoint.dir`` or set by ``setCheckpointDir``.
 
-    Where the session names none (tests, a single machine) a temporary folder is set once and
-    kept for the session's lifetime.
+    Where the session names none, a single machine (master ``local[...]``) gets a temporary folder, set once and
+    kept for the session's lifetime; on a cluster that is an error, since tables in a machine's own folder would be
+    read back incomplete elsewhere.
     """
+    sc = spark.sparkContext
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.hitloom.sharedDir", None)
     if path is None:
+        set_ = sc._jsc.sc().getCheckpointDir()
+        path = set_.get() if set_.isDefined() else None
+    if path is None:
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="hitloom-")
         spark.conf.set("spark.hitloom.sharedDir", path)
     return path.rstrip("/")
