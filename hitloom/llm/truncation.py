@@ -8,6 +8,7 @@ from hashlib import blake2b
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.window import Window
 
 from hitloom.runtime import materialise
 
@@ -15,16 +16,17 @@ from hitloom.runtime import materialise
 CONTEXTS = (("text", 2), ("text", 4), ("text", 8), ("text", 12), ("text", 16), ("shape", 8), ("shape", 12), ("shape", 20))
 #: Chains of contexts (places in CONTEXTS) from the least to the most telling; the shape chain starts from the last two bytes as well.
 CHAINS = ((0, 1, 2, 3, 4), (0, 5, 6, 7))
-#: Slots of the filter of known final contexts, per order; a fixed size for any corpus.
-SLOTS = 1 << 21
-#: Characters of a text's tail that are looked at for its final context.
-TAIL = 200
-#: Counted contexts held per order before they are summed up.
+#: Bits of the filter of known final contexts per order: 16 a context, within these powers of two.
+FILTER_BITS = (18, 26)
+#: Characters of a stripped text's tail that hold its final contexts, as a rule; more are taken where they don't.
+TAILS = (200, 4_000)
+#: Counted contexts held per order before they are summed up, and before the sums are passed on.
 PENDING = 300_000
+HELD = 1_000_000
 #: Bytes of text handled at once.
 CHUNK = 256 << 10
 
-_BLANK = " \t\n\r\x0b\x0c\u00a0\u2028\u2029\ufffd"
+_BLANK = " \t\n\r\x00\x0b\x0c\u00a0\u2028\u2029\ufffd"
 _BASE = 0x9E3779B97F4A7C15
 _MAP = np.arange(256, dtype=np.uint8)
 _MAP[ord("1") : ord("9") + 1] = ord("0")
@@ -108,12 +110,26 @@ def _chunks(text: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]
         i = j
 
 
-def _stripped(tail: str) -> str:
-    """A tail without trailing blanks, replacement characters, and an ellipsis that was put after a cut."""
-    tail = tail.rstrip(_BLANK)
-    if tail.endswith("..."):
-        return tail[:-3].rstrip(_BLANK)
-    return tail[:-1].rstrip(_BLANK) if tail.endswith("…") and not tail.endswith("[…") else tail
+def stripped(text):
+    """A text column without trailing blanks, replacement characters, and an ellipsis that was put after a cut."""
+    blank = F.lit(_BLANK)
+    bare = F.rtrim(text, blank)
+    dots = F.endswith(bare, F.lit("..."))
+    sign = F.endswith(bare, F.lit("…")) & ~F.endswith(bare, F.lit("[…"))
+    return F.when(dots, F.rtrim(F.left(bare, F.length(bare) - 3), blank)).when(sign, F.rtrim(F.left(bare, F.length(bare) - 1), blank)).otherwise(bare)
+
+
+def tail(text):
+    """The end of a stripped text that fills the longest context of either view.
+
+    ``TAILS`` characters, as a rule the fewer. What counts is how much is left when words, numbers and runs of one sign
+    are one character each, which is less than either view leaves; where even the longer tail leaves too little (a text that
+    ends in thousands of filler signs), the whole text is taken.
+    """
+    enough = max(k for _, k in CONTEXTS) + 2
+    squeezed = lambda t: F.length(F.regexp_replace(F.regexp_replace(t, r"\p{L}++|\d++", "X"), r"(?s)(.)\1++", "$1"))
+    short, long_ = (F.right(text, F.lit(n)) for n in TAILS)
+    return F.when(F.length(text) <= TAILS[0], text).when(squeezed(short) >= enough, short).when(squeezed(long_) >= enough, long_).otherwise(text)
 
 
 def _final(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -121,7 +137,7 @@ def _final(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         if not b.num_rows:
             continue
-        tails = [_stripped(t) for t in b.column(1).to_pylist()]
+        tails = b.column(1).to_pylist()
         th = np.array([int.from_bytes(blake2b(t.encode("utf-8", "replace"), digest_size=8).digest(), "little", signed=True) for t in tails], np.int64)
         out: list[list] = [[] for _ in CONTEXTS]
         for _, _, raw, starts in _chunks(pa.array(tails, pa.large_string())):
@@ -135,15 +151,18 @@ def _final(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column(0), pa.array(th), *(pa.concat_arrays(o) for o in out)], names=["id", "th", *(f"h{i}" for i in range(len(CONTEXTS)))])
 
 
-def _slot(h: np.ndarray) -> np.ndarray:
-    return (h >> np.uint64(64 - 21)).astype(np.int64)
+def _slot(h: np.ndarray, bits: int) -> np.ndarray:
+    return (h >> np.uint64(64 - bits)).astype(np.int64)
 
 
-def _count_inner(filters: dict[int, bytes]):
-    """Counts, over whole texts, of the contexts that may be final ones and are followed by more text."""
+def _count_inner(filters: dict[int, tuple[int, bytes]]):
+    """Counts, over whole texts, of the contexts that may be final ones and are followed by more text.
+
+    A task holds at most about ``HELD`` sums per order and passes them on beyond that; what is passed on twice is added up later.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = {k: np.unpackbits(np.frombuffer(f, np.uint8), bitorder="little").astype(bool) for k, f in filters.items()}
+        seen = {k: (bits, np.frombuffer(f, np.uint8)) for k, (bits, f) in filters.items()}
         sums: dict[int, list] = {i: [] for i in range(len(CONTEXTS))}
         pending = [0] * len(CONTEXTS)
         total = 0
@@ -155,6 +174,19 @@ def _count_inner(filters: dict[int, bytes]):
             sums[i] = [(u, np.bincount(inv, n, len(u)).astype(np.int64))]
             pending[i] = 0
 
+        def passed_on(o: int) -> Iterator[pa.RecordBatch]:
+            squeeze(o)
+            u, n = sums[o][0]
+            sums[o] = []
+            for s in range(0, len(u), 50_000):
+                m = len(u[s : s + 50_000])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(m, o, np.int32)), pa.array(u[s : s + 50_000].view(np.int64)), pa.array(n[s : s + 50_000])], names=["k", "h", "m"])
+
+        def known(o: int, x: np.ndarray) -> np.ndarray:
+            bits, f = seen[o]
+            at = _slot(x, bits)
+            return (f[at >> 3] >> (at & 7).astype(np.uint8)) & 1 > 0
+
         for b in batches:
             for _, _, raw, begins in _chunks(b.column(0)):
                 views = _views(raw, begins)
@@ -168,32 +200,36 @@ def _count_inner(filters: dict[int, bytes]):
                         pos = pos[at[pos] >= k - 1]
                         x = hs[k][pos - (k - 1)]
                         if k > 4:  # a longer context can only be a final one where the shorter is
-                            hit = seen[o][_slot(x)]
+                            hit = known(o, x)
                             pos, x = pos[hit], x[hit]
                         sums[o].append(np.unique(x, return_counts=True))
                         pending[o] += len(sums[o][-1][0])
                         if pending[o] > max(PENDING, len(sums[o][0][0])):
                             squeeze(o)
+                            if len(sums[o][0][0]) > HELD:
+                                yield from passed_on(o)
         for o in range(len(CONTEXTS)):
             if sums[o]:
-                squeeze(o)
-                u, n = sums[o][0]
-                for s in range(0, len(u), 50_000):
-                    m = len(u[s : s + 50_000])
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(m, o, np.int32)), pa.array(u[s : s + 50_000].view(np.int64)), pa.array(n[s : s + 50_000])], names=["k", "h", "m"])
+                yield from passed_on(o)
         yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), pa.array([0], pa.int64()), pa.array([total], pa.int64())], names=["k", "h", "m"])
 
     return run
 
 
-def _filters(ends: DataFrame) -> dict[int, bytes]:
-    """Per order a bitmap of ``SLOTS`` bits of the final contexts; its size doesn't depend on the corpus."""
-    slot = F.shiftrightunsigned("h", 64 - 21)
+def _filters(ends: DataFrame) -> dict[int, tuple[int, bytes]]:
+    """Per order a bitmap of the final contexts, as (bits of a slot's number, bitmap).
+
+    Its size follows their number, 16 bits a context, from 32 KB up to 8 MB. It only spares work: a context
+    that isn't a final one but falls on a set bit is counted and then left out by the exact join.
+    """
+    number = {r["k"]: r["n"] for r in ends.groupBy("k").agg(F.count("*").alias("n")).collect()}
+    bits = {k: min(FILTER_BITS[1], max(FILTER_BITS[0], (16 * number.get(k, 0)).bit_length())) for k in range(len(CONTEXTS))}
+    slot = F.coalesce(*[F.when(F.col("k") == k, F.shiftrightunsigned("h", 64 - b)) for k, b in bits.items()])
     rows = ends.withColumn("s", slot).groupBy("k", F.shiftright("s", 15).alias("b")).agg(F.bitmap_construct_agg(F.col("s") % 32768).alias("bits"))
-    whole = {k: bytearray(SLOTS // 8) for k in range(len(CONTEXTS))}
-    for r in rows.collect():  # at most len(CONTEXTS) * SLOTS / 32768 rows of 4 KB
+    whole = {k: bytearray((1 << b) // 8) for k, b in bits.items()}
+    for r in rows.toLocalIterator():  # at most 2**26 / 32768 rows of 4 KB per order
         whole[r["k"]][r["b"] * 4096 : (r["b"] + 1) * 4096] = r["bits"]
-    return {k: bytes(v) for k, v in whole.items()}
+    return {k: (bits[k], bytes(v)) for k, v in whole.items()}
 
 
 def final_log_odds(df: DataFrame, doc: str = "doc_id", text: str = "text", weight: float = 4.0) -> DataFrame:
@@ -210,25 +246,30 @@ def final_log_odds(df: DataFrame, doc: str = "doc_id", text: str = "text", weigh
     Null and empty texts have no row; a text shorter than a context is judged by the shorter ones.
     """
     texts = df.select(F.col(doc).alias("id"), F.col(text).alias("t")).where("t is not null and t <> ''")
-    # A long run of one filler sign at the end is shortened first, so that the tail shows what it follows.
-    filled = F.when(F.right("t", F.lit(20)).rlike(r"^(.)\1{19}$"), F.regexp_replace("t", r"([_\-=.*])\1{18,}$", "$1")).otherwise(F.col("t"))
-    tails = texts.select("id", F.right(filled, F.lit(TAIL)).alias("tail"))
+    tails = texts.select("id", stripped(F.col("t")).alias("t")).select("id", tail(F.col("t")).alias("tail"))
     schema = "id long, th long, " + ", ".join(f"h{k} long" for k in range(len(CONTEXTS)))
     finals = materialise(tails.mapInArrow(_final, schema).where("h0 is not null"), "finals")
-    pairs = finals.select("th", F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.col(f"h{k}").alias("h")) for k in range(len(CONTEXTS))])).alias("c")).select("th", "c.k", "c.h").where("h is not null")
-    ends = materialise(pairs.distinct().groupBy("k", "h").agg(F.count("*").alias("n")), "ends")
-    inner = texts.select("t").mapInArrow(_count_inner(_filters(ends)), "k int, h long, m long").groupBy("k", "h").agg(F.sum("m").alias("m"))
-    inner = materialise(inner, "inner")
-    base = inner.where("k = -1").select("m").first()
+    each = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.col(f"h{k}").alias("h")) for k in range(len(CONTEXTS))])).alias("c")
+    pairs = finals.select("id", "th", each).select("id", "th", "c.k", "c.h").where("h is not null")
+    ends = materialise(pairs.groupBy("k", "h", "th").agg(F.count("*").alias("d")).groupBy("k", "h").agg(F.count("*").alias("n"), F.sum("d").alias("d")), "ends")
+    none = F.lit(0).cast("long")
+    inner = texts.select("t").mapInArrow(_count_inner(_filters(ends)), "k int, h long, m long")
+    counted = ends.select("k", "h", "n", "d", none.alias("m")).unionByName(inner.select("k", "h", none.alias("n"), none.alias("d"), "m"))
+    known = materialise(counted.groupBy("k", "h").agg(F.sum("n").alias("n"), F.sum("d").alias("d"), F.sum("m").alias("m")).where("n > 0 or k = -1"), "known")
+    base = known.where("k = -1").select("m").first()
     chars = max(1, base["m"] if base else 1)
-    known = ends.join(inner, ["k", "h"], "left").select("k", "h", "n", F.coalesce("m", F.lit(0)).alias("m"))
-    n_ends = max(1, finals.select("th").distinct().count())
+    size = finals.agg(F.count_distinct("th").alias("ends"), F.count("*").alias("docs")).first()
+    n_ends = max(1, size["ends"])
     prior = n_ends / (n_ends + chars)
 
-    out = finals.select("id", *[f"h{k}" for k in range(len(CONTEXTS))])
-    for k in range(len(CONTEXTS)):
-        side = known.where(F.col("k") == k).select(F.col("h").alias(f"h{k}"), F.col("n").alias(f"n{k}"), F.col("m").alias(f"m{k}"))
-        out = out.join(side, f"h{k}", "left")
+    # Contexts that end at least one text in a thousand: at most a thousand of them per order, so they may be broadcast.
+    # All others are joined by shuffling, where no key has more than a thousandth of the texts.
+    often = F.col("d") * 1_000 >= F.lit(size["docs"])
+    contexts = known.where("k >= 0").select("k", "h", "n", "m", often.alias("often"))
+    hot = contexts.where("often").select("k", "h", F.struct("n", "m").alias("c"))
+    seen = pairs.select("id", "k", "h").join(F.broadcast(hot), ["k", "h"], "left")
+    rare = seen.where("c is null").drop("c").join(contexts.where("not often").select("k", "h", F.struct("n", "m").alias("c")), ["k", "h"])
+    by_text = seen.where("c is not null").unionByName(rare).groupBy("id").agg(*[F.max(F.when(F.col("k") == k, F.col(f"c.{x}"))).alias(f"{x}{k}") for k in range(len(CONTEXTS)) for x in "nm"])
     chances = []
     for chain in CHAINS:
         p = F.lit(prior)
@@ -238,48 +279,57 @@ def final_log_odds(df: DataFrame, doc: str = "doc_id", text: str = "text", weigh
         chances.append(p)
     p = F.greatest(*chances)
     odds = F.log(p / (1 - p)) - F.log(F.lit(prior / (1 - prior)))
-    return out.select(F.col("id").alias(doc), odds.alias("log_odds"))
+    return by_text.select(F.col("id").alias(doc), odds.alias("log_odds"))
 
 
 #: Spellings of the languages in the data.
 LANGUAGES = {"en": "en", "eng": "en", "de": "de", "ger": "de", "deu": "de", "fr": "fr", "fra": "fr", "fre": "fr"}
 
 
-def thresholds(odds: DataFrame, lowest: float = 1.5, highest: float = 4.5, default: float = 3.0, least: int = 500) -> DataFrame:
+def thresholds(odds: DataFrame, lowest: float = 1.5, highest: float = 4.5, pull: float = 200.0) -> DataFrame:
     """``language, threshold``: the emptiest place between cut and complete texts.
 
     Log-odds of a language are counted in quarters; of the runs of five quarters centred between ``lowest``
-    and ``highest`` the one with fewest texts is taken, the middle one of equals. Languages with
-    fewer than ``least`` texts get ``default``.
+    and ``highest`` the one with fewest texts is taken, the middle one of equals. The shares of all texts count in every
+    language with the weight of ``pull`` texts, so that a language of few texts follows the whole and one of many itself.
     """
     centres = [lowest + 0.25 * i for i in range(int((highest - lowest) / 0.25) + 1)]
-    counts = odds.groupBy("language").agg(F.count("*").alias("n"), F.array(*[F.count_if(F.abs(F.col("log_odds") - c) <= 0.625) for c in centres]).alias("near"))
-    best = F.array_min("near")
-    at = F.filter(F.sequence(F.lit(0), F.lit(len(centres) - 1)), lambda i: F.get("near", i) == best)
+    near = [F.count_if(F.abs(F.col("log_odds") - c) <= 0.625) for c in centres]
+    counts = odds.groupBy("language").agg(F.count("*").alias("n"), *[x.alias(f"c{i}") for i, x in enumerate(near)])
+    w = Window.partitionBy(F.lit("all"))  # a row per language
+    shares = [F.round(F.col(f"c{i}") + pull * F.sum(f"c{i}").over(w) / F.sum("n").over(w), 6) for i in range(len(centres))]
+    near_ = counts.select("language", F.array(*shares).alias("near"))
+    at = F.filter(F.sequence(F.lit(0), F.lit(len(centres) - 1)), lambda i: F.get("near", i) == F.array_min("near"))
     middle = F.get(at, F.floor((F.size(at) - 1) / 2).cast("int"))
-    return counts.select("language", F.when(F.col("n") >= least, F.lit(lowest) + middle * 0.25).otherwise(F.lit(default)).alias("threshold"))
+    return near_.select("language", (F.lit(lowest) + middle * 0.25).alias("threshold"))
 
 
-def field_limits(judged: DataFrame, least: int = 5, most_shift: float = 5.0) -> DataFrame:
-    """``source, unit, size, shift``: lengths at which a source's texts are mostly cut, and by how much that raises the odds.
+def field_limits(judged: DataFrame) -> DataFrame:
+    """``source, unit, size, n, k``: lengths of which a source has cut texts, with all its texts and the cut ones there.
 
-    ``judged(source, chars, bytes, cut)`` by the model alone. A length of a source, in characters or bytes, is a
-    limit where at least ``least`` texts have it and at least half of them are cut. ``shift`` is the log of the odds of a cut there
-    over those among all texts, at most ``most_shift``.
+    ``judged(source, chars, bytes, cut)`` by the model alone; a length is counted in characters and in bytes.
     """
     sizes = judged.select("source", "cut", F.explode(F.array(F.struct(F.lit("chars").alias("unit"), F.col("chars").alias("size")), F.struct(F.lit("bytes").alias("unit"), F.col("bytes").alias("size")))).alias("s"))
-    at = sizes.groupBy("source", "s.unit", "s.size").agg(F.count("*").alias("n"), F.count_if("cut").alias("k")).where((F.col("n") >= least) & (2 * F.col("k") >= F.col("n")))
-    overall = judged.agg(F.count("*").alias("n"), F.count_if("cut").alias("k")).first()  # one row
-    rate = (overall["k"] + 0.5) / (overall["n"] + 1)
-    odds = F.log((F.col("k") + 0.5) / (F.col("n") - F.col("k") + 0.5)) - float(np.log(rate / (1 - rate)))
-    return at.select("source", "unit", "size", F.greatest(F.lit(0.0), F.least(F.lit(most_shift), odds)).alias("shift"))
+    return sizes.groupBy("source", "s.unit", "s.size").agg(F.count("*").alias("n"), F.count_if("cut").alias("k")).where("k > 0")
+
+
+def limit_shift(n, k, cut, rate: float, pull: float = 5.0, most_shift: float = 5.0):
+    """By how much the share of cut texts among the *other* ones of its source and length raises a text's threshold.
+
+    The log of the odds of a cut there, the rate of all texts counting as ``pull`` texts, over those of all texts; 0 to ``most_shift``.
+    A length that no other text of the source has tells nothing, and the shift grows with the texts that have it.
+    """
+    own = F.when(cut, 1).otherwise(0)
+    k, n = k - own, n - 1
+    odds = F.log((k + pull * rate) / (n - k + pull * (1 - rate))) - float(np.log(rate / (1 - rate)))
+    return F.when(odds.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(most_shift), odds)))
 
 
 def truncated(df: DataFrame, doc: str = "doc_id", text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
     """``doc, source, language, log_odds, threshold, cut`` for every text that isn't null or empty.
 
     A text is cut where its ``log_odds`` (:func:`final_log_odds`) lie below its language's threshold, which is higher at
-    lengths where the source's texts are mostly cut (:func:`field_limits`).
+    lengths at which other texts of its source are cut (:func:`limit_shift`).
     Languages are brought to one spelling; null and unknown ones share a threshold. A text of
     nothing but blanks and an ellipsis has no context and isn't called cut.
     """
@@ -290,10 +340,12 @@ def truncated(df: DataFrame, doc: str = "doc_id", text: str = "text", lang: str
     odds = final_log_odds(df.select(F.col(doc).alias("_d"), F.col(text).alias("_t")), "_d", "_t")
     judged = materialise(texts.join(odds, "_d", "left"), "judged")
     first = judged.join(thresholds(judged), "language").withColumn("cut", F.coalesce(F.col("log_odds") < F.col("threshold"), F.lit(False)))
+    overall = first.agg(F.count("*").alias("n"), F.count_if("cut").alias("k")).first()  # one row
+    rate = (overall["k"] + 0.5) / (overall["n"] + 1)
     limits = materialise(field_limits(first), "limits")
     out = first
     for unit in ("chars", "bytes"):
-        own = limits.where(F.col("unit") == unit).select(F.col("source").alias("_s"), F.col("size").alias("_n"), F.col("shift").alias(f"_{unit}"))
-        out = out.join(own, F.col("source").eqNullSafe(F.col("_s")) & (F.col(unit) == F.col("_n")), "left").drop("_s", "_n")
-    raised = F.col("threshold") + F.greatest(F.coalesce("_chars", F.lit(0.0)), F.coalesce("_bytes", F.lit(0.0)))
+        own = limits.where(F.col("unit") == unit).select(F.col("source").alias("_s"), F.col("size").alias("_n"), F.col("n").alias("_all"), F.col("k").alias("_cut"))
+        out = out.join(own, F.col("source").eqNullSafe(F.col("_s")) & (F.col(unit) == F.col("_n")), "left").withColumn(f"_{unit}", F.coalesce(limit_shift(F.col("_all"), F.col("_cut"), F.col("cut"), rate), F.lit(0.0))).drop("_s", "_n", "_all", "_cut")
+    raised = F.col("threshold") + F.greatest("_chars", "_bytes")
     return out.select(F.col("_d").alias(doc), F.col("source").alias(source), "language", "log_odds", raised.alias("threshold"), F.coalesce(F.col("log_odds") < raised, F.lit(False)).alias("cut"))

@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from hitloom.llm import truncation as C
 
@@ -61,9 +62,44 @@ def test_counts_are_exact():
     assert h[2][0] == h[2][7] != h[2][1] and len(h[12]) == len(c) - 11
 
 
+def test_padding_of_any_length_hides_nothing(spark):
+    rows, cut = corpus(800)
+    pads = [" " * 250, "\n" * 1000, "\x00" * 300, "\ufffd" * 260, " " * 6000, "..." + " " * 400]
+    padded = [(i, l, s, t + pads[i % len(pads)] if i in cut else t, a, b) for i, l, s, t, a, b in rows]
+    found = lambda r: {x["doc_id"] for x in C.truncated(spark.createDataFrame(r, SCHEMA)).where("cut").collect()}
+    plain, got = found(rows), found(padded)
+    assert len(plain & cut) >= 0.97 * len(cut) and got == plain
+
+
+def test_tail_fills_the_longest_context(spark):
+    texts = ["short", "x" * 500 + " ends here in words of many kinds, Sir " + "_" * 300, "The Long Name " * 3 + "A" * 5000, "word " * 100, "start of all " * 4 + "=" * 9000]
+    got = [r["t"] for r in spark.createDataFrame([(t,) for t in texts], "t string").select(C.tail(C.stripped(F.col("t"))).alias("t")).collect()]
+    assert got[0] == "short" and len(got[1]) == len(texts[1]) and got[2] == texts[2] and len(got[3]) == 200 and got[4] == texts[4]
+
+
+def test_partial_counts_add_up(spark, monkeypatch):
+    import pyarrow as pa
+
+    rng = random.Random(1)
+    texts = pa.RecordBatch.from_arrays([pa.array([text(rng) for _ in range(40)])], names=["t"])
+    full = {k: (18, b"\xff" * (1 << 15)) for k in range(len(C.CONTEXTS))}
+
+    def counts():
+        got = {}
+        for b in C._count_inner(full)(iter([texts] * 3)):
+            for k, h, m in zip(*(c.to_pylist() for c in b.columns)):
+                got[k, h] = got.get((k, h), 0) + m
+        return got
+
+    want = counts()
+    monkeypatch.setattr(C, "PENDING", 500)
+    monkeypatch.setattr(C, "HELD", 700)
+    assert counts() == want
+
+
 def test_field_limits(spark):
     rows = [("a", 4000, 4010 + i, i < 9) for i in range(10)] + [("a", 100 + i, 100 + i, False) for i in range(90)] + [(None, 50, 60, True)] * 6 + [("b", 70, 70, False)] * 20 + [("b", 80, 80, True)] * 4
-    got = {(r["source"], r["unit"], r["size"]): r["shift"] for r in C.field_limits(spark.createDataFrame(rows, "source string, chars int, bytes int, cut boolean")).collect()}
-    assert set(got) == {("a", "chars", 4000), (None, "chars", 50), (None, "bytes", 60)}
-    rate = 19.5 / 131
-    assert abs(got["a", "chars", 4000] - (np.log(9.5 / 1.5) - np.log(rate / (1 - rate)))) < 1e-9 and all(0 <= v <= 5 for v in got.values())
+    got = {(r["source"], r["unit"], r["size"]): (r["n"], r["k"]) for r in C.field_limits(spark.createDataFrame(rows, "source string, chars int, bytes int, cut boolean")).collect()}
+    assert got["a", "chars", 4000] == (10, 9) and got[None, "bytes", 60] == (6, 6) and got["a", "bytes", 4010] == (1, 1) and ("b", "chars", 70) not in got
+    shift = lambda n, k, cut: spark.range(1).select(C.limit_shift(F.lit(n), F.lit(k), F.lit(cut), 0.1)).first()[0]
+    assert shift(1, 1, True) == 0 and abs(shift(10, 9, True) - np.log(8.5 / 5.5 * 9)) < 1e-9 and shift(10, 9, False) > shift(10, 9, True) > shift(3, 2, True) > 0 and shift(1000, 20, False) == 0
