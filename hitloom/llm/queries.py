@@ -72,9 +72,11 @@ def p5_split_shares(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("split_name", "target_share", n.alias("n_rows"), F.coalesce("n_groups", F.lit(0)).alias("n_groups"), (n / F.sum(n).over(Window.partitionBy(F.lit("listed")))).alias("share"))
 
 
-def _sized(spark: SparkSession, sf: str) -> DataFrame:
-    """Every document with its size in tokens, counted once and kept."""
+def _sized(spark: SparkSession, sf: str, of: DataFrame | None = None) -> DataFrame:
+    """Every document (of the sources in ``of``) with its size in tokens, counted once and kept."""
     docs = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "source", "text")
+    if of is not None:
+        docs = docs.join(of.select("source"), "source", "left_semi")
     return materialise(T.with_token_counts(docs, "text"), "sized")
 
 
@@ -88,16 +90,21 @@ def p6_fill(spark: SparkSession, sf: str) -> DataFrame:
     return K.fill_report(p6_containers(spark, sf), table(spark, sf, "container_sizes"))
 
 
+def _planned(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """Sized documents of the listed sources, which alone can be in the mix, and the plan."""
+    targets = table(spark, sf, "source_targets")
+    sized = _sized(spark, sf, targets.where("target_share > 0"))
+    return sized, materialise(M.mixture_plan(sized, targets), "plan")
+
+
 def p7_mix(spark: SparkSession, sf: str) -> DataFrame:
     """The mix of documents in shuffled order."""
-    sized = _sized(spark, sf)
-    return M.mix(sized, M.mixture_plan(sized, table(spark, sf, "source_targets"))).withColumnRenamed("id", "doc_id")
+    return M.mix(*_planned(spark, sf)).withColumnRenamed("id", "doc_id")
 
 
 def p7_shares(spark: SparkSession, sf: str) -> DataFrame:
     """Target and reached share of each listed source."""
-    sized = _sized(spark, sf)
-    plan = materialise(M.mixture_plan(sized, table(spark, sf, "source_targets")), "plan")
+    sized, plan = _planned(spark, sf)
     return M.shares(M.mix(sized, plan), plan)
 
 

@@ -13,11 +13,7 @@ from pyspark.sql.window import Window
 
 from hitloom.runtime import drop_table, materialise
 
-#: Ids must lie within +-2**61, so that both sides of a link fit one id space.
-SIDE = 1 << 62
-
-
-def _roots(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def roots(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Union-find over the links (u, v): every node with the smallest id of its tree."""
     ids, inv = np.unique(np.concatenate([u, v]), return_inverse=True)
     a, b = inv[: len(u)], inv[len(u) :]
@@ -36,33 +32,49 @@ def _roots(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             parent = up
 
 
-def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The local forest of one partition as star links (node, root), batches folded in as they come."""
-    u = v = np.empty(0, np.int64)
-    held = 0
-    pending: list[tuple[np.ndarray, np.ndarray]] = []
+def _fold(links: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Links (kind, u, v) to stars (kind, node, root). A node of kind 1 and one of kind 0 may have the same id; every v and so every root is of kind 0."""
+    k, u, v = (np.concatenate(x) for x in zip(*links))
+    if not len(u):
+        return k, u, v
+    plain = k == 0
+    ids, inv = np.unique(np.concatenate([u[plain], v]), return_inverse=True)
+    others, at = np.unique(u[~plain], return_inverse=True)
+    a = np.empty(len(u), np.int64)
+    a[plain] = inv[: plain.sum()]
+    a[~plain] = len(ids) + at
+    node, root = roots(a, inv[plain.sum() :])
+    keep = node != root
+    node, root = node[keep], root[keep]
+    kind = (node >= len(ids)).astype(np.int8)
+    every = np.concatenate([ids, others])
+    return kind, every[node], ids[root]
 
-    def fold() -> tuple[np.ndarray, np.ndarray]:
-        ids, root = _roots(np.concatenate([u, *(p[0] for p in pending)]), np.concatenate([v, *(p[1] for p in pending)]))
-        keep = ids != root
-        return ids[keep], root[keep]
 
+def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The local forest of one partition of links (kind, u, v) as stars, batches folded in as they come."""
+    empty = np.empty(0, np.int8), np.empty(0, np.int64), np.empty(0, np.int64)
+    have, pending, held = empty, [], 0
     for b in batches:
-        pending.append((b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_numpy(zero_copy_only=False)))
+        pending.append(tuple(b.column(i).to_numpy(zero_copy_only=False) for i in range(3)))
         held += b.num_rows
-        if held > max(200_000, len(u)):
-            u, v = fold()
-            pending, held = [], 0
-    u, v = fold()
-    for i in range(0, len(u), 100_000):
-        yield pa.RecordBatch.from_arrays([pa.array(u[i : i + 100_000]), pa.array(v[i : i + 100_000])], names=["u", "v"])
+        if held > max(200_000, len(have[1])):
+            have, pending, held = _fold([have, *pending]), [], 0
+    have = _fold([have, *pending])
+    for i in range(0, len(have[1]), 100_000):
+        yield pa.RecordBatch.from_arrays([pa.array(x[i : i + 100_000]) for x in have], names=["kind", "u", "v"])
+
+
+_LINK = "kind tinyint, u long, v long"
 
 
 def components(links: DataFrame, rows_per_task: int = 2_000_000, fan_in: int = 8) -> DataFrame:
-    """Connected components of ``links(u long, v long)``: ``(u, v)`` = every node but the root, and its root.
+    """Connected components of ``links(u long, v long)``: ``(kind, u, v)`` = every node but the root, and its root.
+
+    The root of a component is its smallest node. With a column ``kind`` (0 or 1) the nodes ``u`` of kind 1 have ids of
+    their own space; every ``v``, and so every root, is of kind 0. Any 64-bit id will do.
 
-    The root of a component is its smallest node. Each partition first reduces its own links to a
-    spanning forest. Forests are then merged level by level, ``fan_in`` partitions into one, as
+    Each partition first reduces its own links to a spanning forest. Forests are then merged level by level, ``fan_in`` partitions into one, as
     long as a merged partition stays below ``rows_per_task`` links. When one partition is left it
     holds the answer. Otherwise the number of partitions stays as it is and every further level
     merges by child and lets parents that are children themselves be replaced by their own parents,
@@ -71,28 +83,29 @@ def components(links: DataFrame, rows_per_task: int = 2_000_000, fan_in: int = 8
     Null ends and self-links tie nothing; repeated links are harmless; an empty table gives an empty
     result.
     """
-    e = links.select(F.col("u").cast("long").alias("u"), F.col("v").cast("long").alias("v")).where("u is not null and v is not null and u <> v")
+    kind = F.col("kind").cast("tinyint") if "kind" in links.columns else F.lit(0).cast("tinyint")
+    e = links.select(kind.alias("kind"), F.col("u").cast("long").alias("u"), F.col("v").cast("long").alias("v")).where("u is not null and v is not null and (kind = 1 or u <> v)")
     parts = 0
-    level = materialise(e.mapInArrow(_forest, "u long, v long"), "forest")
+    level = materialise(e.mapInArrow(_forest, _LINK), "forest")
     while True:
         n = level.count()
         least = max(1, math.ceil(n / rows_per_task))
         parts = max(least, (parts or max(1, level.rdd.getNumPartitions())) // fan_in)
-        merged = level.repartition(parts, "u").mapInArrow(_forest, "u long, v long")
+        merged = level.repartition(parts, "kind", "u").mapInArrow(_forest, _LINK)
         if parts == 1:
             done = materialise(merged, "forest")
             drop_table(level)
             return done
         held = materialise(merged, "forest")
         # Parents that are children elsewhere; one row each, whatever the number of their links.
-        up = held.groupBy(F.col("u").alias("v")).agg(F.min("v").alias("w"))
+        up = held.where("kind = 0").groupBy(F.col("u").alias("v")).agg(F.min("v").alias("w"))
         jump = held.select("v").distinct().join(up, "v")
-        multi = held.groupBy("u").agg(F.count("*").alias("n")).where("n > 1").limit(1)
+        multi = held.groupBy("kind", "u").agg(F.count("*").alias("n")).where("n > 1").limit(1)
         if not jump.limit(1).count() and not multi.count():
             drop_table(level)
             return held
         # A jump alone could lose the tie between two parents of one child, so the direct link of every jumped parent is kept.
-        nxt = held.join(jump, "v", "left").select("u", F.coalesce("w", "v").alias("v")).union(jump.select(F.col("v").alias("u"), F.col("w").alias("v"))).distinct()
+        nxt = held.join(jump, "v", "left").select("kind", "u", F.coalesce("w", "v").alias("v")).union(jump.select(F.lit(0).cast("tinyint").alias("kind"), F.col("v").alias("u"), F.col("w").alias("v"))).distinct()
         drop_table(level)
         level = materialise(nxt, "forest")
         drop_table(held)
@@ -104,10 +117,8 @@ def ties(df: DataFrame, event: str, cluster: str, unknown: int = -1, **kw) -> Da
     ``root`` is the smallest event id of the component. Null events and null or ``unknown``
     clusters tie nothing. Nodes that are their own root are not listed.
     """
-    links = df.select(F.col(event).cast("long").alias("u"), F.col(cluster).cast("long").alias("c")).where(F.col("c") != unknown).select("u", (F.col("c") + F.lit(SIDE)).alias("v"))
-    low = SIDE >> 1
-    tree = components(links.select(F.col("v").alias("u"), F.col("u").alias("v")), **kw)
-    return tree.select(F.when(F.col("u") >= low, "c").otherwise("e").alias("kind"), F.when(F.col("u") >= low, F.col("u") - SIDE).otherwise(F.col("u")).alias("id"), F.col("v").alias("root"))
+    links = df.select(F.lit(1).alias("kind"), F.col(cluster).cast("long").alias("u"), F.col(event).cast("long").alias("v")).where(F.col("u") != unknown)
+    return components(links, **kw).select(F.when(F.col("kind") == 1, "c").otherwise("e").alias("kind"), F.col("u").alias("id"), F.col("v").alias("root"))
 
 
 def _plan(sizes: list[tuple[int, int]], targets: list[tuple[str, float]]) -> list[tuple[int, str, int, int]]:
