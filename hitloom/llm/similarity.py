@@ -3,23 +3,29 @@
 from __future__ import annotations
 
 import heapq
+import math
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.window import Window
 
-from hitloom.llm.splits import components
-from hitloom.runtime import materialise
+from hitloom.llm.splits import components, roots
+from hitloom.runtime import drop_table, materialise
 
 #: Dimensions of the embedding, width of its kernel in cm, largest squared distance of patterns held equal.
 DIMS = 128
 WIDTH = 1.5
 EQUAL = 3.5
-#: Entries that a task of a round takes at once, on average.
-BUCKET = 2_000
+#: Entries of a tree in memory; a fuller one is passed on and another begun.
+LEAVES = 50_000
+#: Entries that are compared with each other at once, and those that two leaves share a key with on average.
+BLOCK = 4_000
+SHARING = 1_000
+#: Least chance that two leaves of one pattern have the same least cell in a turn, and the chance that is left of never meeting.
+AGREE = 0.65
+MISS = 1e-5
 #: Edge of the lattice cells by which leaves find each other, in cm.
 LATTICE = 6.0
 
@@ -28,108 +34,149 @@ _W = (_RNG.standard_normal((3, DIMS)) / WIDTH).astype(np.float32)
 _B = _RNG.uniform(0, 2 * np.pi, DIMS).astype(np.float32)
 
 
-def embed(sets: list[np.ndarray]) -> np.ndarray:
+def embed(sets: list[np.ndarray], dims: int = DIMS) -> np.ndarray:
     """One vector per set of points: the sum of random Fourier features of its points.
 
     The squared distance of two vectors is about the number of points of either set without a
-    counterpart in the other, in whatever order the points come.
+    counterpart in the other, in whatever order the points come; the fewer ``dims``, the more roughly.
     """
     n = np.array([len(s) for s in sets])
-    if not n.sum():
-        return np.zeros((len(sets), DIMS), np.float32)
-    f = np.cos(np.concatenate([s for s in sets if len(s)]).astype(np.float32) @ _W + _B) * np.float32((2 / DIMS) ** 0.5)
-    out = np.zeros((len(sets), DIMS), np.float32)
-    full = np.flatnonzero(n)
-    out[full] = np.add.reduceat(f, np.concatenate([[0], np.cumsum(n[full])[:-1]]), axis=0)
-    return out
+    out = np.zeros((len(sets), dims), np.float32)
+    order = np.argsort(n, kind="stable")
+    order = order[np.searchsorted(n[order], 1) :]
+    if not len(order):
+        return out
+    f = np.concatenate([sets[i] for i in order.tolist()]).astype(np.float32) @ _W[:, :dims]
+    f += _B[:dims]
+    np.cos(f, out=f)
+    at = 0
+    for size, rows in zip(*_by_size(n[order])):  # sets of one size at once
+        end = at + size * len(rows)
+        out[order[rows]] = f[at:end].reshape(len(rows), size, dims).sum(1)
+        at = end
+    return out * np.float32((2 / dims) ** 0.5)
+
+
+def _by_size(n: np.ndarray) -> tuple[list[int], list[np.ndarray]]:
+    """Distinct values of a rising array and the places of each."""
+    size, first = np.unique(n, return_index=True)
+    return size.tolist(), np.split(np.arange(len(n)), first[1:])
 
 
 def _sets(flat) -> list[np.ndarray]:
     return [np.asarray(p, np.float32).reshape(-1, 3) for p in flat]
 
 
+class _Node:
+    """Entries of a node: counts, linear sums, and child nodes or numbers of leaf entries."""
+
+    __slots__ = ("leaf", "n", "ls", "to")
+
+    def __init__(self, leaf: bool, n: np.ndarray, ls: np.ndarray, to: list):
+        self.leaf, self.n, self.ls, self.to = leaf, n, ls, to
+
+    def nearest(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The nearest entry of each row of ``x`` and its squared distance."""
+        c = self.ls / self.n[:, None]
+        d = np.einsum("ij,ij->i", c, c)[None] - 2 * (x @ c.T)
+        i = d.argmin(1)
+        return i, d[np.arange(len(x)), i] + np.einsum("ij,ij->i", x, x)
+
+    def taken(self, rows: np.ndarray) -> _Node:
+        return _Node(self.leaf, self.n[rows], self.ls[rows], [self.to[i] for i in rows.tolist()])
+
+
 class CFTree:
-    """Cluster-feature tree: entries hold count, linear sum and squared sum; leaves absorb within a radius.
+    """Cluster-feature tree: entries hold count and linear sum; leaves absorb within a radius.
 
-    Nodes are rows of one growing table of entries; a node with more than ``width`` entries is split
+    Whole batches are inserted at once, node by node. A node with more than ``width`` entries is split
     by its two farthest ones. Two trees merge by inserting the entries of one into the other.
     """
 
     def __init__(self, limit: float = EQUAL / 2, width: int = 32):
         self.limit, self.width = limit, width
-        self.root = self._node(True)
-        self.leaves: list[list] = []  # count, squared sum, what the entry carries
-
-    def _node(self, leaf: bool) -> dict:
-        w = self.width + 1
-        return {"leaf": leaf, "k": 0, "n": np.zeros(w), "ls": np.zeros((w, DIMS), np.float32), "c": np.zeros((w, DIMS), np.float32), "to": [None] * w}
-
-    def _nearest(self, node: dict, x: np.ndarray) -> tuple[int, float]:
-        d = node["c"][: node["k"]] - x
-        d = np.einsum("ij,ij->i", d, d)
-        i = int(d.argmin())
-        return i, float(d[i])
-
-    def _add(self, node: dict, n: float, ls: np.ndarray, to) -> None:
-        i = node["k"]
-        node["n"][i], node["ls"][i], node["c"][i], node["to"][i] = n, ls, ls / n, to
-        node["k"] += 1
-
-    def insert(self, x: np.ndarray, n: float = 1.0, ls: np.ndarray | None = None, ss: float | None = None) -> int:
-        """Add a point (or an entry of another tree); returns the number of the leaf entry it went to."""
-        ls = x if ls is None else ls
-        path, node = [], self.root
-        while not node["leaf"]:
-            i, _ = self._nearest(node, x)
-            path.append((node, i))
-            node = node["to"][i]
-        i, d = self._nearest(node, x) if node["k"] else (-1, np.inf)
-        if d <= self.limit:
-            at = node["to"][i]
-            node["n"][i] += n
-            node["ls"][i] += ls
-            node["c"][i] = node["ls"][i] / node["n"][i]
-        else:
-            at = len(self.leaves)
-            self.leaves.append([0.0, 0.0, np.zeros(DIMS, np.float32)])
-            self._add(node, n, ls, at)
-        e = self.leaves[at]
-        e[0] += n
-        e[1] += float(x @ x) * n if ss is None else ss
-        e[2] += ls
-        for p, j in path:
-            p["n"][j] += n
-            p["ls"][j] += ls
-            p["c"][j] = p["ls"][j] / p["n"][j]
-        while node["k"] > self.width:
-            a, b = self._split(node)
-            if path:
-                parent, j = path.pop()
-                last = parent["k"] - 1
-                for key in ("n", "ls", "c"):
-                    parent[key][j] = parent[key][last]
-                parent["to"][j] = parent["to"][last]
-                parent["k"] = last
-            else:
-                parent = self.root = self._node(False)
-            for half in (a, b):
-                k = half["k"]
-                self._add(parent, half["n"][:k].sum(), half["ls"][:k].sum(0), half)
-            node = parent
+        self.root = _Node(True, np.zeros(0), np.zeros((0, DIMS), np.float32), [])
+        self.count = 0
+        self.n, self.ls = np.zeros(0), np.zeros((0, DIMS), np.float32)  # per leaf entry
+
+    def insert(self, ls: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """Add points (n = 1) or entries of another tree; returns the number of the leaf entry each went to."""
+        at = np.zeros(len(ls), np.int64)
+        if not len(ls):
+            return at
+        parts = self._into(self.root, np.arange(len(ls)), (ls / n[:, None]).astype(np.float32), ls, n, at)
+        while len(parts) > 1:
+            parts = self._split(_Node(False, np.array([p.n.sum() for p in parts]), np.stack([p.ls.sum(0) for p in parts]), parts))
+        self.root = parts[0]
+        grow = self.count - len(self.n)
+        self.n, self.ls = np.concatenate([self.n, np.zeros(grow)]), np.concatenate([self.ls, np.zeros((grow, DIMS), np.float32)])
+        order = np.argsort(at, kind="stable")
+        heads = np.flatnonzero(np.r_[True, np.diff(at[order]) > 0])
+        self.n[at[order[heads]]] += np.add.reduceat(n[order], heads)
+        self.ls[at[order[heads]]] += np.add.reduceat(ls[order], heads, axis=0)
         return at
 
-    def _split(self, node: dict) -> tuple[dict, dict]:
-        k = node["k"]
-        c = node["c"][:k]
+    def _into(self, node: _Node, rows: np.ndarray, x: np.ndarray, ls: np.ndarray, n: np.ndarray, at: np.ndarray) -> list[_Node]:
+        if not node.leaf:
+            near, _ = node.nearest(x[rows])
+            kept, new = [], []
+            for j in range(len(node.to)):
+                own = rows[near == j]
+                if len(own):
+                    parts = self._into(node.to[j], own, x, ls, n, at)
+                    if len(parts) == 1:
+                        node.to[j] = parts[0]
+                        node.n[j] += n[own].sum()
+                        node.ls[j] += ls[own].sum(0)
+                    else:
+                        new += parts
+                        continue
+                kept.append(j)
+            if not new:
+                return [node]
+            old = node.taken(np.array(kept, int))
+            more = _Node(False, np.concatenate([old.n, [p.n.sum() for p in new]]), np.concatenate([old.ls, np.stack([p.ls.sum(0) for p in new])]), old.to + new)
+            return self._split(more)
+        rest = rows
+        if len(node.n):
+            near, d = node.nearest(x[rows])
+            hit = d <= self.limit
+            own, rest = rows[hit], rows[~hit]
+            to = np.array(node.to)
+            at[own] = to[near[hit]]
+            np.add.at(node.n, near[hit], n[own])
+            np.add.at(node.ls, near[hit], ls[own])
+        if not len(rest):
+            return [node]
+        # What no entry takes in: the first is an entry of its own and takes in those near it, and so on.
+        first: list[int] = []
+        g = x[rest] @ x[rest].T
+        q = np.diag(g)
+        open_ = np.ones(len(rest), bool)
+        groups = []
+        while open_.any():
+            i = int(open_.argmax())
+            mine = open_ & (q + q[i] - 2 * g[i] <= self.limit)
+            mine[i] = True
+            open_ &= ~mine
+            first.append(i)
+            groups.append(rest[mine])
+            at[rest[mine]] = self.count + len(groups) - 1
+        numbers = list(range(self.count, self.count + len(groups)))
+        self.count += len(groups)
+        more = _Node(True, np.concatenate([node.n, [n[r].sum() for r in groups]]), np.concatenate([node.ls, np.stack([ls[r].sum(0) for r in groups])]), node.to + numbers)
+        return self._split(more)
+
+    def _split(self, node: _Node) -> list[_Node]:
+        if len(node.n) <= self.width:
+            return [node]
+        c = node.ls / node.n[:, None]
         g = c @ c.T
         d = np.diag(g)[:, None] + np.diag(g) - 2 * g
         i, j = np.unravel_index(d.argmax(), d.shape)
         near = d[i] <= d[j]
         near[i], near[j] = True, False
-        halves = self._node(node["leaf"]), self._node(node["leaf"])
-        for r in range(k):
-            self._add(halves[0 if near[r] else 1], node["n"][r], node["ls"][r], node["to"][r])
-        return halves
+        return self._split(node.taken(np.flatnonzero(near))) + self._split(node.taken(np.flatnonzero(~near)))
 
 
 def ward(n: np.ndarray, ls: np.ndarray, equal: float = EQUAL, block: int = 2_048, parts: list[np.ndarray] | None = None) -> np.ndarray:
@@ -193,28 +240,40 @@ def ward(n: np.ndarray, ls: np.ndarray, equal: float = EQUAL, block: int = 2_048
 _LEAF = "kind tinyint, id long, leaf long, n long, ls binary, rep array<float>"
 
 
-def _plant(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """(id, pts) of one partition -> the entry of each record, and the entries: the partition's tree."""
-    tree, lowest, rep = CFTree(), [], []
-    ids, at = [], []
-    for pdf in batches:
-        sets = _sets(pdf["pts"])
-        x = embed(sets)
-        for k, (i, s) in enumerate(zip(pdf["id"].tolist(), sets)):
-            j = tree.insert(x[k])
-            if j == len(lowest):
-                lowest.append(i)
-                rep.append(s.ravel())
-            elif i < lowest[j]:
-                lowest[j] = i
-            ids.append(i)
-            at.append(j)
-    for s in range(0, len(ids), 20_000):
-        part = at[s : s + 20_000]
-        yield pd.DataFrame({"kind": np.int8(0), "id": ids[s : s + 20_000], "leaf": [lowest[j] for j in part], "n": 1, "ls": None, "rep": None})
-    for s in range(0, len(lowest), 20_000):
-        part = range(s, min(s + 20_000, len(lowest)))
-        yield pd.DataFrame({"kind": np.int8(1), "id": None, "leaf": [lowest[j] for j in part], "n": [int(tree.leaves[j][0]) for j in part], "ls": [tree.leaves[j][2].tobytes() if tree.leaves[j][0] > 1 else None for j in part], "rep": [rep[j] for j in part]}).astype({"id": "Int64"})
+def _grow(most: int, merging: bool, batch: int = 2_000):
+    """Plant trees of about ``most`` entries from records (id, pts), or merge the entries of other trees into new ones.
+
+    Yields the entries (kind 1: number, count, sums, one set of points; the sum of a single record follows from its points)
+    and where each record or older entry went (kinds 0 and 2).
+    """
+
+    def out(tree: CFTree, ids: np.ndarray, at: np.ndarray, sets: list) -> Iterator[pd.DataFrame]:
+        order = np.lexsort((ids, at))
+        head = order[np.r_[True, np.diff(at[order]) > 0]]  # per entry its least id
+        lowest = ids[head]
+        moved = pd.DataFrame({"kind": np.int8(2 if merging else 0), "id": ids, "leaf": lowest[at], "n": 0, "ls": None, "rep": None}).astype({"id": "Int64"})
+        entries = pd.DataFrame({"kind": np.int8(1), "id": None, "leaf": lowest, "n": tree.n.astype(np.int64), "ls": [b.tobytes() if k > 1 else None for b, k in zip(tree.ls, tree.n)], "rep": [sets[i] for i in head.tolist()]}).astype({"id": "Int64"})
+        for t in (moved, entries):
+            for s in range(0, len(t), 20_000):
+                yield t.iloc[s : s + 20_000]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        tree, ids, at, sets = CFTree(), [], [], []
+        for pdf in batches:
+            for s in range(0, len(pdf), batch):
+                part = pdf.iloc[s : s + batch]
+                flat = part["rep" if merging else "pts"].tolist()
+                ls = _sums(part) if merging else embed(_sets(flat))
+                ids.append(part["leaf" if merging else "id"].to_numpy(np.int64))
+                at.append(tree.insert(ls, part["n"].to_numpy(float) if merging else np.ones(len(part))))
+                sets += flat
+                if tree.count >= most or len(sets) >= 20 * most:
+                    yield from out(tree, np.concatenate(ids), np.concatenate(at), sets)
+                    tree, ids, at, sets = CFTree(), [], [], []
+        if ids:
+            yield from out(tree, np.concatenate(ids), np.concatenate(at), sets)
+
+    return run
 
 
 def _sums(pdf: pd.DataFrame) -> np.ndarray:
@@ -226,59 +285,153 @@ def _sums(pdf: pd.DataFrame) -> np.ndarray:
     return ls
 
 
-def _merge_bucket(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Entries of several keys, agglomerated within each key: the merged entries (kind 1) and what became of the old ones (kind 2).
+def _agglomerate(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Ward agglomeration of the leaves of several components: ``component, leaf, cluster``, and per cluster its ``n`` and ``ls``, on the row of its least leaf.
 
-    All keys go through one agglomeration; entries alone under their key or in their cluster pass as they are.
+    All components of the frame go through one call; only leaves of one component are joined.
     """
-    cols = ["kind", "id", "leaf", "n", "ls", "rep"]
-    many = pdf["key"].duplicated(keep=False)
-    alone = pdf.loc[~many, cols]
-    pdf = pdf[many].sort_values(["key", "leaf"]).reset_index(drop=True)
-    if not len(pdf):
-        return alone.astype({"id": "Int64"})
+    pdf = pdf.sort_values(["component", "leaf"]).reset_index(drop=True)
     ls, n = _sums(pdf), pdf["n"].to_numpy(float)
-    ends = np.flatnonzero(np.diff(pdf["key"].to_numpy())) + 1
+    ends = np.flatnonzero(np.diff(pdf["component"].to_numpy())) + 1
     group = ward(n, ls, parts=np.split(np.arange(len(pdf)), ends))
-    order = np.argsort(group, kind="stable")
-    leaf, rep, out = pdf["leaf"].to_numpy(), pdf["rep"], []
-    kept = np.ones(len(pdf), bool)
-    for rows in np.split(order, np.flatnonzero(np.diff(group[order])) + 1):
-        if len(rows) > 1:
-            kept[rows] = False
-            head = leaf[rows].min()
-            most = rows[np.argmax(n[rows])]
-            out.append((1, None, head, int(n[rows].sum()), ls[rows].sum(0).astype(np.float32).tobytes(), rep.iat[most]))
-            out += [(2, v, head, 0, None, None) for v in leaf[rows] if v != head]
-    return pd.concat([alone.astype({"id": "Int64"}), pdf.loc[kept, cols].astype({"id": "Int64"}), pd.DataFrame(out, columns=cols).astype({"id": "Int64"})])
-
-
-def _keyed(leaves: DataFrame, turn: int, most: int) -> DataFrame:
-    """Adds ``key``: a hash of the lattice cell of least hash among the cells of an entry's points.
-
-    Equal patterns agree on it with a chance of at least their share of common points; lattice and hashes
-    change with every turn. Cells with more than ``most`` entries are told apart by their three least hashes.
-    """
-    rng = np.random.default_rng([turn, 77])
-    shift = [float(v) for v in rng.uniform(0, LATTICE, 3)]
-    k = F.sequence(F.lit(0), F.floor(F.size("rep") / 3).cast("int") - 1)
-    cell = F.transform(k, lambda i: F.xxhash64(F.lit(turn), *[F.floor((F.get("rep", i * 3 + a) + shift[a]) / LATTICE) for a in range(3)]))
-    three = F.slice(F.array_sort(F.array_distinct(cell)), 1, 3)
-    keyed = leaves.withColumn("three", three)
-    counts = keyed.groupBy(F.col("three")[0].alias("one")).agg(F.count("*").alias("many")).where(F.col("many") > most)
-    return keyed.join(counts, F.col("three")[0] == F.col("one"), "left").withColumn("key", F.when(F.col("many").isNull(), F.xxhash64(F.slice("three", 1, 1))).otherwise(F.xxhash64("three"))).drop("three", "one", "many")
+    first = np.full(group.max() + 1, len(pdf)) if len(pdf) else np.empty(0, int)
+    np.minimum.at(first, group, np.arange(len(pdf)))
+    total, sums = np.bincount(group, n), np.zeros((len(first), DIMS), np.float32)
+    np.add.at(sums, group, ls)
+    leaf = pdf["leaf"].to_numpy()
+    head = first[group] == np.arange(len(pdf))
+    return pd.DataFrame({"component": pdf["component"], "leaf": leaf, "cluster": leaf[first[group]], "n": np.where(head, total[group], 0).astype(np.int64), "ls": [sums[g].tobytes() if h else None for g, h in zip(group, head)]})
 
 
-def similar_sets(df: DataFrame, record: str = "event_id", points: str = "points", turns: int = 10, most: int = 4_000) -> DataFrame:
+def lattice_keys(sets: list[np.ndarray], turns: range, hashes: int) -> np.ndarray:
+    """``(len(sets), len(turns))`` keys: of each turn the ``hashes`` least of the hashes of the lattice cells of a set's points, in one.
+
+    Lattice and hashes change with every turn. Sets of one pattern agree on the least cell with a
+    chance of at least about their share of common points.
+    """
+    n = np.array([len(s) for s in sets])
+    pts = np.concatenate(sets).astype(float)
+    starts = np.concatenate([[0], np.cumsum(n)[:-1]])
+    owner = np.repeat(np.arange(len(sets)), n)
+    out = np.empty((len(sets), len(turns)), np.uint64)
+    mix = lambda v: ((v ^ (v >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)) ^ (v >> np.uint64(29))
+    for k, turn in enumerate(turns):
+        rng = np.random.default_rng([turn, 77])
+        cell = np.floor((pts + rng.uniform(0, LATTICE, 3)) / LATTICE).astype(np.int64).view(np.uint64)
+        h = np.full(len(pts), rng.integers(1 << 63), np.uint64)
+        for a in range(3):
+            h = mix(h + cell[:, a] * np.uint64(0xD6E8FEB86659FD93))
+        key = np.full(len(sets), turn, np.uint64)
+        for _ in range(hashes):
+            least = np.minimum.reduceat(h, starts)
+            key = mix(key * np.uint64(0xBF58476D1CE4E5B9) + least)
+            h = np.where(h == least[owner], np.uint64(0xFFFFFFFFFFFFFFFF), h)  # sets of fewer cells end with the largest number
+        out[:, k] = key
+    return out.view(np.int64)
+
+
+def _keyed(leaves: DataFrame, turns: range, hashes: int, keep: str) -> DataFrame:
+    """``keep`` and ``keys array<long>``, one per turn."""
+    kinds = dict(leaves.dtypes)
+    names = [c.strip() for c in keep.split(",")]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            if len(pdf):
+                yield pdf[names].assign(keys=list(lattice_keys(_sets(pdf["rep"]), turns, hashes)))
+
+    return leaves.select(*names).mapInPandas(run, ", ".join(f"{c} {kinds[c]}" for c in names) + ", keys array<long>")
+
+
+#: Dimensions in which the entries under one key are compared first, and the squared distance up to which all of them are.
+COARSE, LOOSE = 32, 7.0
+
+
+def _near(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Entries under several keys -> links of those that are near each other under one key, as stars (u, least of them v)."""
+    pdf = pdf[pdf["key"].duplicated(keep=False)].sort_values(["key", "leaf"])
+    if not len(pdf):
+        return pd.DataFrame({"u": np.empty(0, np.int64), "v": np.empty(0, np.int64)})
+    key = pdf["key"].to_numpy()
+    # An entry that comes under several keys here is embedded once.
+    leaf, one, inv = np.unique(pdf["leaf"].to_numpy(), return_index=True, return_inverse=True)
+    sets = _sets(pdf["rep"].iloc[one])
+    x = embed(sets, COARSE)
+    q = np.einsum("ij,ij->i", x, x)[inv]
+    x = x[inv]
+    us, vs = [], []
+    edges = np.flatnonzero(np.r_[True, np.diff(key) != 0, True])
+    size = np.diff(edges)
+    at = np.flatnonzero(np.repeat(size <= FEW, size))
+    for step in range(1, FEW):  # small groups all at once: each row against the ones after it
+        at = at[at + step < len(key)]
+        at = at[key[at] == key[at + step]]
+        near = q[at] + q[at + step] - 2 * np.einsum("ij,ij->i", x[at], x[at + step]) <= LOOSE
+        us.append(inv[at[near] + step])
+        vs.append(inv[at[near]])
+    for a, b in zip(edges[:-1][size > FEW].tolist(), edges[1:][size > FEW].tolist()):
+        for s in range(a, b, 2_048):
+            e = min(b, s + 2_048)
+            i, j = np.nonzero(q[s:e, None] + q[None, s:b] - 2 * (x[s:e] @ x[s:b].T) <= LOOSE)
+            up = j > i
+            us.append(inv[s + j[up]])
+            vs.append(inv[s + i[up]])
+    # What is near in few dimensions is measured in all, each pair and each entry once.
+    pair = np.unique(np.minimum(np.concatenate(us), np.concatenate(vs)) * len(leaf) + np.maximum(np.concatenate(us), np.concatenate(vs)))
+    i, j = pair // len(leaf), pair % len(leaf)
+    i, j = i[i != j], j[i != j]
+    some, at = np.unique(np.concatenate([i, j]), return_inverse=True)
+    full = embed([sets[k] for k in some.tolist()])
+    ok = np.zeros(len(i), bool)
+    for s in range(0, len(i), 50_000):
+        d = full[at[: len(i)][s : s + 50_000]] - full[at[len(i) :][s : s + 50_000]]
+        ok[s : s + 50_000] = np.einsum("ij,ij->i", d, d) <= EQUAL
+    ids, root = roots(leaf[j[ok]], leaf[i[ok]])
+    far = ids != root
+    return pd.DataFrame({"u": ids[far], "v": root[far]})
+
+
+#: Groups of up to so many entries under one key are compared together.
+FEW = 24
+
+
+def near_leaves(leaves: DataFrame, block: int = BLOCK, sharing: float = SHARING, agree: float = AGREE, miss: float = MISS) -> DataFrame:
+    """Links ``u, v`` that tie all entries ``(leaf, rep)`` of one pattern, over all entries, in one shuffle.
+
+    Entries meet under keys of the ``hashes`` least cells in ``turns`` lattices. How many hashes a key
+    takes follows from how crowded the cells are, so that an entry shares a key with about ``sharing`` others at most; more
+    hashes mean more turns, so that two entries of one pattern miss each other in all of them with a
+    chance below ``miss``, whatever the number of entries. A key with more than ``block`` entries is split into
+    blocks, and every block is compared with every other: crowded keys lose no link.
+    """
+    n = leaves.count()
+    first = _keyed(leaves, range(1), 1, "rep").groupBy(F.col("keys")[0].alias("key")).agg(F.count("*").alias("m")).agg(F.sum(F.col("m") * F.col("m"))).first()[0] or 0
+    meet = min(0.9, first / max(1, n) ** 2)  # chance that two entries share one cell
+    hashes = max(1, math.ceil(math.log(max(1.0, n / sharing)) / -math.log(max(meet, 1e-9))))
+    turns = math.ceil(math.log(miss) / math.log(1 - agree**hashes))
+    keyed = materialise(_keyed(leaves, range(1, turns + 1), hashes, "leaf, rep"), "keyed")
+    every = keyed.select("leaf", "rep", F.explode("keys").alias("key"))
+    crowded = keyed.select(F.explode("keys").alias("key")).groupBy("key").agg(F.count("*").alias("m")).where(F.col("m") > block).select("key", F.ceil(2 * F.col("m") / block).cast("int").alias("blocks"))
+    crowded = materialise(crowded, "crowded")
+    own = F.pmod(F.xxhash64("leaf"), F.col("blocks")).cast("int")
+    pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.xxhash64("key", F.least(own, j), F.greatest(own, j)))
+    split = every.join(crowded, "key", "left").select("leaf", "rep", F.explode(F.when(F.col("blocks").isNull(), F.array("key")).otherwise(pairs)).alias("key"))
+    buckets = F.lit(max(1, math.ceil(n * turns / (4 * block))))
+    return split.groupBy(F.pmod(F.xxhash64("key"), buckets).alias("bucket")).applyInPandas(_near, "u long, v long")
+
+
+def similar_sets(df: DataFrame, record: str = "event_id", points: str = "points", most: int = LEAVES, **kw) -> DataFrame:
     """``id, cluster, size, distance``: the members of every cluster of two or more and how far they are from its centre.
 
-    1. Each partition plants a cluster-feature tree of its records' embeddings; so copies collapse into one
-       entry wherever they lie, and a pattern that holds most of the rows moves as a few entries.
-    2. Entries of all partitions are reduced: in each of ``turns`` rounds those that share a lattice key (a
-       new one each round) are joined by Ward agglomeration. Two equal patterns that share a fraction s of their
-       points are missed by all rounds with a chance of about (1 - s) ** turns.
-    3. One pass assigns every record to its cluster's centre; the nearest is the most typical member. Records whose points don't
-       match those of that member one to one within 1.1 cm, but for two, aren't kept.
+    1. Each partition plants cluster-feature trees of its records' embeddings; so copies collapse into one
+       entry wherever they lie, and a pattern that holds most of the rows moves as a few entries. A tree holds at most ``most`` entries.
+    2. The trees are reduced: their entries move to the task of a lattice key and are inserted into a new tree
+       there, so that those of one pattern join over partitions.
+    3. Leaves of one pattern that are still apart are tied (:func:`near_leaves`), and the leaves of each tied set are
+       joined by Ward agglomeration as long as centres stay within ``EQUAL``.
+    4. One full pass assigns the records: each is measured against all centres of its tied set; the nearest member of a centre is the most
+       typical one. A record joins the nearest centre whose typical member its points match
+       one to one within 1.1 cm, but for two; one that matches none stays apart.
 
     Null records, and sets that are null, empty or without any full position belong to no cluster. Repeated rows of a
     record count once (the least of its point lists is taken). Ties in distance go to the smaller id.
@@ -287,22 +440,32 @@ def similar_sets(df: DataFrame, record: str = "event_id", points: str = "points"
     flat = F.flatten(F.transform(xyz, lambda p: F.array(p["x"].cast("float"), p["y"].cast("float"), p["z"].cast("float"))))
     sets = df.select(F.col(record).cast("long").alias("id"), flat.alias("pts")).where("id is not null and size(pts) > 0").groupBy("id").agg(F.min("pts").alias("pts"))
     sets = materialise(sets, "sets")
-    grown = materialise(sets.mapInPandas(_plant, _LEAF), "trees")
-    own = grown.where("kind = 0").select("id", "leaf")
-    links = []
-    leaves = grown.where("kind = 1")
-    for turn in range(turns):
-        buckets = F.lit(max(1, leaves.count() // BUCKET))
-        step = materialise(_keyed(leaves, turn, most).groupBy(F.pmod("key", buckets).alias("bucket")).applyInPandas(_merge_bucket, _LEAF), "ward")
-        links.append(step.where("kind = 2").select(F.col("id").alias("u"), F.col("leaf").alias("v")))
-        leaves = step.where("kind = 1")
-    tree = components(reduce(DataFrame.union, links))
-    centres = leaves.where("n > 1").select(F.col("leaf").alias("cluster"), "ls", F.col("n").alias("weight"))
-    member = own.join(tree, own["leaf"] == tree["u"], "left").select("id", F.coalesce("v", "leaf").alias("cluster"))
-    assigned = member.join(centres, "cluster").join(sets, "id").mapInPandas(_assign, "id long, cluster long, distance double, pts array<float>")
-    assigned = materialise(assigned, "assigned")
-    typical = assigned.groupBy("cluster").agg(F.min_by(F.struct("id", "pts"), F.struct("distance", "id")).alias("t"))
-    checked = materialise(assigned.join(typical.select("cluster", F.col("t.pts").alias("typical")), "cluster").mapInPandas(_check, "id long, cluster long, distance double"), "checked")
+    grown = materialise(sets.mapInPandas(_grow(most, False), _LEAF), "trees")
+    planted = grown.where("kind = 1")
+    # A key's entries go to one task, or to several where there are very many; what stays apart is tied below.
+    tasks = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(planted.count() / most))
+    salt = F.pmod(F.xxhash64("leaf"), F.lit(max(1, tasks // 64)))
+    by_key = _keyed(planted, range(1), 1, "leaf, n, ls, rep").repartition(tasks, F.col("keys")[0], salt).drop("keys")
+    merged = materialise(by_key.mapInPandas(_grow(most, True), _LEAF), "merged")
+    leaves = merged.where("kind = 1").select("leaf", "n", "ls", "rep")
+    tied = components(near_leaves(leaves, **kw))
+    in_set = tied.select("u", "v").unionByName(tied.select(F.col("v").alias("u"), "v").distinct())
+    parts = F.lit(max(1, math.ceil(in_set.count() / BLOCK)))
+    joined = leaves.join(in_set, F.col("leaf") == F.col("u")).select(F.col("v").alias("component"), "leaf", "n", "ls", "rep")
+    agglomerated = materialise(joined.groupBy(F.pmod(F.xxhash64("component"), parts).alias("part")).applyInPandas(_agglomerate, "component long, leaf long, cluster long, n long, ls binary"), "ward")
+    alone = leaves.where("n > 1").join(in_set, F.col("leaf") == F.col("u"), "left_anti").select(F.col("leaf").alias("component"), F.col("leaf").alias("cluster"), "n", "ls")
+    centres = agglomerated.where("ls is not null").select("component", "cluster", "n", "ls").unionByName(alone).select("component", "cluster", F.col("n").alias("weight"), "ls")
+    step = merged.where("kind = 2").select(F.col("id").alias("old"), F.col("leaf").alias("new"))
+    where = step.join(in_set, F.col("new") == F.col("u"), "left").select("old", F.coalesce("v", "new").alias("component"))
+    own = grown.where("kind = 0").select("id", "leaf").join(where, F.col("leaf") == F.col("old")).select("id", "component")
+    near = own.join(centres, "component").join(sets, "id").mapInPandas(_assign, "id long, cluster long, distance double, pts array<float>")
+    near = materialise(near, "assigned")
+    nearest = near.groupBy("id").agg(F.min(F.struct("distance", "cluster", "pts")).alias("a")).select("id", "a.*")
+    typical = nearest.groupBy("cluster").agg(F.min(F.struct("distance", "id", "pts")).alias("t")).select("cluster", F.col("t.pts").alias("typical"))
+    checked = near.join(typical, "cluster").mapInPandas(_check, "id long, cluster long, distance double").groupBy("id").agg(F.min(F.struct("distance", "cluster")).alias("a")).select("id", "a.*")
+    checked = materialise(checked, "checked")
+    for t in (sets, grown, merged, near):
+        drop_table(t)
     sizes = checked.groupBy("cluster").agg(F.count("*").alias("size"), F.min("id").alias("first")).where("size > 1")
     return checked.join(sizes, "cluster").select("id", F.col("first").alias("cluster"), "size", "distance")
 

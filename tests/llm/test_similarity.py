@@ -56,18 +56,41 @@ def test_tree_merges_and_ward():
     centres = rng.normal(size=(50, D.DIMS)).astype(np.float32) * 2
     x = (centres[rng.integers(0, 50, 2000)] + rng.normal(size=(2000, D.DIMS)) * 0.05).astype(np.float32)
     a, b = D.CFTree(), D.CFTree()
-    for v in x[:1000]:
-        a.insert(v)
-    for v in x[1000:]:
-        b.insert(v)
-    for n, ss, ls in b.leaves:
-        a.insert(ls / np.float32(n), n, ls, ss)
-    assert sum(e[0] for e in a.leaves) == 2000
-    n = np.array([e[0] for e in a.leaves])
-    groups = D.ward(n, np.stack([e[2] for e in a.leaves]))
+    ones = np.ones(1000)
+    at = np.concatenate([a.insert(x[:700], ones[:700]), a.insert(x[700:1000], ones[:300])])
+    assert (np.bincount(at, minlength=a.count) == a.n).all()
+    b.insert(x[1000:], ones)
+    assert b.count < 200
+    a.insert(b.ls, b.n)
+    assert a.n.sum() == 2000 and np.allclose(a.ls.sum(0), x.sum(0), atol=0.05)
+    groups = D.ward(a.n, a.ls)
     assert len(set(groups.tolist())) == 50
 
 
 def test_matched_is_one_to_one():
     a = np.array([[0.0, 0, 0], [0.5, 0, 0]])
     assert D.matched(a, a[:1]) == 1 and D.matched(a, a + 0.1) == 2 and D.matched(a, a + 5) == 0
+
+
+def test_crowded_keys_and_small_trees_lose_nothing(spark):
+    """Blocks of crowded keys, more hashes with more turns, and trees that overflow give the groups of one tree."""
+    rng = random.Random(11)
+    rows, want, i = [], set(), 1
+    for _ in range(60):
+        base, n = sphere(rng, rng.randint(4, 9)), rng.choice([1, 2, 5, 9])
+        rows += [(k, copy(rng, base), "", "") for k in range(i, i + n)]
+        want |= {(i, k) for k in range(i + 1, i + n)}
+        i += n
+    df = spark.createDataFrame(rows, SCHEMA).repartition(4)
+    for kw in ({"block": 10, "sharing": 1e9}, {"sharing": 2}, {"most": 7}):
+        assert {(r["cluster"], r["id"]) for r in D.similar_sets(df, **kw).where("id <> cluster").collect()} == want
+
+
+def test_lattice_keys_agree_on_equal_patterns():
+    rng = random.Random(5)
+    agree = []
+    for _ in range(200):
+        base = sphere(rng, 6)
+        a, b = ([np.array([q[:3] for q in copy(rng, base)])] for _ in range(2))
+        agree.append((D.lattice_keys(a, range(30), 1) == D.lattice_keys(b, range(30), 1)).mean())
+    assert np.mean(agree) > 0.65
