@@ -48,6 +48,7 @@ def calibrated(hits: DataFrame, combine: bool = True) -> DataFrame:
     a = hits.where("e > 0").select(
         "coincidence_ts", F.col("timestamp").alias("ts"), F.col("crystal_id").alias("crystal_no"), F.col("seg").alias("seg_no"),
         *[(F.col(c) / 10).alias(c) for c in "xyz"], (F.col("e") / 1000 * F.col("tot_e") / F.nullif(F.col("sum_e"), F.lit(0.0))).alias("e"), (F.ln("tot_e") - F.ln("sum_e")).alias("energy_factor"),
+        *(["pad"] if "pad" in hits.columns else []),
     ).where("e > 0")
     return merged_collisions(a, ["coincidence_ts"]) if combine else a
 

@@ -70,11 +70,19 @@ def packing_labels(hits: DataFrame, distance: float) -> DataFrame:
     return arrays.mapInPandas(run, "event_id long, point_idx int, pack int")
 
 
-def packed(hits: DataFrame, distance: float) -> DataFrame:
-    """Hits merged within ``distance``: energies added, place weighted by energy, largest type, the rest from the first hit."""
+def packed(hits: DataFrame, distance: float, clusters: DataFrame | None = None) -> DataFrame:
+    """Hits merged within ``distance``: energies added, place weighted by energy, largest type, the rest from the first hit.
+
+    With ``clusters(event_id, point_idx, cluster_id)`` only hits of one cluster are merged (hits in none form one as well); which hits
+    are linked is found over all of the event, as without.
+    """
     labels = packing_labels(hits, distance)
+    keys = ["event_id", "pack"]
+    if clusters is not None:
+        own = clusters.groupBy("event_id", "point_idx").agg(F.min("cluster_id").alias("_cluster"))
+        labels, keys = labels.join(own, ["event_id", "point_idx"], "left"), [*keys, "_cluster"]
     e = F.col("e")
-    a = hits.join(labels, ["event_id", "point_idx"]).groupBy("event_id", "pack")
+    a = hits.join(labels, ["event_id", "point_idx"]).groupBy(*keys)
     return a.agg(
         F.min("point_idx").alias("point_idx"),
         *[(F.sum(e * F.col(c)) / F.nullif(F.sum(e), F.lit(0.0))).alias(c) for c in "xyz"],
@@ -82,12 +90,15 @@ def packed(hits: DataFrame, distance: float) -> DataFrame:
         F.max("interaction_type").alias("interaction_type"),
         F.count(F.lit(1)).alias("n_packed"),
         *[F.min_by(c, "point_idx").alias(c) for c in ("ts", "crystal_no", "seg_no")],
-    ).drop("pack")
+        *([F.max("pad").alias("pad")] if "pad" in hits.columns else []),
+    ).drop("pack", "_cluster")
 
 
-def smeared(hits: DataFrame, seed: int = 1) -> DataFrame:
+def smeared(hits: DataFrame, seed: int = 1, model: str | None = None) -> DataFrame:
     """Positions and energies with Gaussian noise of the detector's resolution; energies not below 0.
 
+    The position's error is 0.5 cm (full width) at 0.1 MeV, falling with the root of the energy, or that of an error ``model`` of
+    :data:`geometry.POSITION_ERROR`.
     The noise is drawn from a hash of (seed, event, hit, axis), so it doesn't depend on how the data is split.
     """
 
@@ -97,6 +108,8 @@ def smeared(hits: DataFrame, seed: int = 1) -> DataFrame:
 
     e = F.col("e")
     sigma = 0.5 * F.sqrt(0.1 / F.nullif(F.greatest(e, F.lit(0.0)), F.lit(0.0))) / 2.3548
+    if model is not None:
+        sigma = G.position_error(F.coalesce(e, F.lit(0.0)), model)
     new = {c: F.col(c) + F.coalesce(sigma, F.lit(0.0)) * gauss(c) for c in "xyz"}
     return hits.withColumns(new | {"e": F.greatest(F.lit(0.0), e + P.energy_sigma(F.greatest(e, F.lit(0.0))) * gauss("e"))})
 

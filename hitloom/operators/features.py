@@ -102,8 +102,9 @@ def _families() -> dict[str, Column]:
     sigma = F.col("mu_compt") / P.RANGE
     for rel in (True, False):
         for by in ("sum", "geo"):
-            kn = P.klein_nishina(e, omc, after if by == "sum" else None, sigma, relative=rel, integrate=True)
-            kn = _turn(kn if rel else kn * P.RANGE)
+            ratio = (after if by == "sum" else P.outgoing(e, omc)) / e
+            kn = P.by_angle(P.klein_nishina(ratio, omc), omc)
+            kn = _turn(kn / sigma if rel else kn * P.RANGE)
             name = f"klein-nishina_{'rel_' if rel else ''}{by}"
             out |= _range(name, kn, "sum mean max min") | _range(f"-log_{name}", -F.ln(F.when(kn > 0, kn)), "sum mean max min")
     r = G.norm(G.point())

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import numpy as np
 
+from hitloom.functions.arrays import material_way
+
 #: What is added to the distance of hits that can't belong together.
 FAR = np.finfo(float).max / 4
 
@@ -30,15 +32,7 @@ def single_labels(near: np.ndarray) -> np.ndarray:
 
 def material_matrix(p: np.ndarray, inner: float) -> np.ndarray:
     """Material distances of all pairs around a hollow sphere."""
-    v = p[None] - p[:, None]
-    d = np.sqrt((v**2).sum(2))
-    u = v / np.maximum(d, 1e-10)[..., None]
-    before, after = -(p[:, None] * u).sum(2), (p[None] * u).sum(2)
-    sq = before**2 - (p**2).sum(1)[:, None] + inner**2
-    half = np.sqrt(np.maximum(sq, 0))
-    l1, l2 = before - half, after - half
-    i1, i2 = (l1 >= 0) & (l1 <= d), (l2 >= 0) & (l2 <= d)
-    return np.select([sq < 0, i1 & i2, i1 & (l2 < 0), (l1 < 0) & i2, (l1 < 0) & (l2 < 0)], [d, d - 2 * half, d - half - after, d - half - before, 0.0], d)
+    return material_way(p[:, None], p[None], inner)
 
 
 def distances(p: np.ndarray, metric: str, inner: float, centre_penalty: float = 0.0, centre_factor: float = 0.0, threshold: float = 1e-3) -> np.ndarray:
@@ -46,8 +40,13 @@ def distances(p: np.ndarray, metric: str, inner: float, centre_penalty: float =
     if metric == "euclidean":
         return euclid
     if metric in ("great_circle", "cosine"):
-        n = np.maximum(np.linalg.norm(p, axis=1), 1e-300)
-        return np.arccos(np.clip(p @ p.T / np.outer(n, n), -1, 1))
+        # A point at the origin has no direction: it is a right angle off every other, and at no distance from its like.
+        n = np.linalg.norm(p, axis=1)
+        u = p / np.where(n > 0, n, 1)[:, None]
+        d = np.arccos(np.clip(u @ u.T, -1, 1))
+        none = n == 0
+        d[none[:, None] & none] = 0
+        return d
     if metric == "germanium":
         d = material_matrix(p, inner)
         crossed = euclid - d > threshold

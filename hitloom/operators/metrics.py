@@ -83,3 +83,36 @@ def peak_to_total(rays: DataFrame, cuts: list[float], peak: tuple[float, float])
     a = r.select(inside.alias("inside"), F.explode(F.array(*[F.struct(F.lit(float(c)).alias("cut"), (f <= c).alias("ok")) for c in cuts])).alias("c"))
     g = a.groupBy("c.cut").agg(F.count_if(F.col("c.ok") & F.col("inside")).alias("n_peak"), F.count_if(F.col("c.ok")).alias("n_accepted"), F.count(F.lit(1)).alias("n_all"))
     return g.select("cut", "n_peak", "n_accepted", "n_all", (F.col("n_peak") / F.nullif(F.col("n_accepted"), F.lit(0))).alias("peak_to_total"), (F.col("n_accepted") / F.col("n_all")).alias("efficiency"))
+
+
+def join_validity(pairs: DataFrame, clusters: DataFrame, true: DataFrame) -> DataFrame:
+    """``event_id, cluster_a, cluster_b, join, end``: should two proposed clusters be one, and the second follow the first?
+
+    ``pairs(event_id, cluster_a, cluster_b)``. join: all hits of both lie in one true cluster. end: as well, the first hit of b comes right
+    after the last of a in that cluster's order. Order is that of ``track_pos``; a hit in no true cluster makes both false.
+    """
+    place = F.row_number().over(Window.partitionBy("event_id", "t").orderBy("track_pos", "point_idx"))
+    t = true.select("event_id", "point_idx", F.col("cluster_id").alias("t"), "track_pos").withColumn("place", place).drop("track_pos")
+    c = clusters.select("event_id", "cluster_id", "point_idx", "track_pos").join(t, ["event_id", "point_idx"], "left")
+    order = F.struct("track_pos", "point_idx")
+    own = c.groupBy("event_id", "cluster_id").agg(F.min("t").alias("t"), ((F.count_distinct("t") == 1) & (F.count("t") == F.count(F.lit(1)))).alias("pure"), F.min_by("place", order).alias("head"), F.max_by("place", order).alias("tail"))
+    side = lambda n: own.select("event_id", *[F.col(x).alias(y) for x, y in (("cluster_id", f"cluster_{n}"), ("t", f"t{n}"), ("pure", f"p{n}"), ("head", f"h{n}"), ("tail", f"l{n}"))])
+    j = pairs.select("event_id", "cluster_a", "cluster_b").join(side("a"), ["event_id", "cluster_a"]).join(side("b"), ["event_id", "cluster_b"])
+    join = F.coalesce(F.col("pa") & F.col("pb") & (F.col("ta") == F.col("tb")), F.lit(False))
+    return j.select("event_id", "cluster_a", "cluster_b", join.alias("join"), (join & F.coalesce(F.col("hb") == F.col("la") + 1, F.lit(False))).alias("end"))
+
+
+def resampled_cumulant(values: DataFrame, column: str, points: list[float], normalise: bool = True) -> DataFrame:
+    """``t, cumulant``: the share (or number) of values up to each of ``points``, those equal to it counted half."""
+    v = F.col(column)
+    ok = values.where(v.isNotNull() & ~F.isnan(v))
+    sums = ok.agg(F.count(F.lit(1)).alias("n"), F.array(*[F.struct(F.lit(float(t)).alias("t"), ((F.count_if(v < t) + F.count_if(v <= t)) / 2).alias("c")) for t in points]).alias("at"))
+    rows = sums.select("n", F.explode("at").alias("p"))
+    return rows.select("p.t", (F.col("p.c") / F.nullif(F.col("n"), F.lit(0)) if normalise else F.col("p.c")).alias("cumulant"))
+
+
+def energy_cost(rays: DataFrame, energies: list[float], width: float = 0.002) -> DataFrame:
+    """``event_id, n_rays, in_peak, cost``: rays of an event within ``width`` of a known energy, and how far the others are off in all."""
+    off = F.array_min(F.array(*[F.abs(F.col("esum") - v) for v in energies]))
+    a = rays.where("esum is not null and not isnan(esum)").withColumn("off", off)
+    return a.groupBy("event_id").agg(F.count(F.lit(1)).alias("n_rays"), F.count_if(F.col("off") < width).alias("in_peak"), F.sum(F.when(F.col("off") < width, 0.0).otherwise(F.col("off"))).alias("cost"))

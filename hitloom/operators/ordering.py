@@ -12,6 +12,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from hitloom.functions import geometry as G, physics as P
+from hitloom.functions.arrays import material_way
+from hitloom.operators.array_features import attenuations, weighted
 from hitloom.operators.events import per_event
 from hitloom.runtime import materialise
 
@@ -21,34 +23,26 @@ BLOCK = 1_500_000
 
 def _mu(e: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Attenuation by absorption, Compton scattering and in all."""
-    with np.errstate(all="ignore"):
-        x = np.log(e * 1e6)
-        a, b, c, d, f = P.ABSORPTION_FIT
-        ab = np.exp(a * np.log1p(np.exp(b * (x - c))) + d * x + f) / P.BARN
-        a, b, c, d, f = P.COMPTON_FIT
-        co = np.exp(a * np.exp(b * (x - c)) + d * x + f) / P.BARN
-        a, b, c = P.PAIR_FIT
-        ev = e * 1e6
-        pp = np.where(ev > P.PAIR_THRESHOLD_EV, np.exp(a * x**2 + b * x + c) * (ev * (ev - P.PAIR_THRESHOLD_EV)) ** 3 / P.BARN, 0.0)
-    return ab * P.RANGE, co * P.RANGE, (ab + co + pp) * P.RANGE
-
-
-def _shell(a: np.ndarray, b: np.ndarray, d: np.ndarray, inner: float) -> np.ndarray:
-    u = (b - a) / np.maximum(d, 1e-10)[..., None]
-    before, after = -(a * u).sum(-1), (b * u).sum(-1)
-    sq = before**2 - (a * a).sum(-1) + inner**2
-    half = np.sqrt(np.maximum(sq, 0))
-    l1, l2 = before - half, after - half
-    i1, i2 = (l1 >= 0) & (l1 <= d), (l2 >= 0) & (l2 <= d)
-    return np.select([sq < 0, i1 & i2, i1 & (l2 < 0), (l1 < 0) & i2, (l1 < 0) & (l2 < 0)], [d, d - 2 * half, d - half - after, d - half - before, 0.0], d)
-
-
-def scores(x: np.ndarray, e: np.ndarray, start: np.ndarray, method: str, inner: float, model: str = "default", eres: float = 1e-3) -> np.ndarray:
+    m = attenuations(e)
+    return m["abs"], m["compt"], m["total"]
+
+
+def scores(x: np.ndarray, e: np.ndarray, start: np.ndarray, method: str, inner: float, model: str = "default", eres: float = 1e-3, weights: dict[str, float] | None = None) -> np.ndarray:
     """Figure of merit of many orders: ``x`` (..., m, 3) and ``e`` (..., m) in order, ``start`` (...) energy of the ray.
 
-    Methods as in :mod:`hitloom.operators.tracks`: angle, cosine, oft, agata, local. NaN where it isn't defined.
+    Methods as in :mod:`hitloom.operators.tracks`: angle, cosine, oft, agata, local, selected, zeros, and model, by the ``weights`` of
+    ordering features. NaN where it isn't defined.
     """
     m = e.shape[-1]
+    if method == "zeros":
+        return np.zeros(e.shape[:-1])
+    if method in ("selected", "model", "feature"):
+        from hitloom.operators.tracks import SELECTED
+
+        w = dict(SELECTED) if method == "selected" else weights
+        if not w:
+            raise ValueError(f"{method!r} needs weights")
+        return weighted(x, e, start, w, inner, model, eres) if m > 1 else np.zeros(e.shape[:-1])
     before = np.concatenate([np.zeros_like(x[..., :1, :]), x[..., :-1, :]], -2)
     step = x - before
     d = np.sqrt((step**2).sum(-1))
@@ -89,7 +83,7 @@ def scores(x: np.ndarray, e: np.ndarray, start: np.ndarray, method: str, inner:
         v2 = v**2
         v2[..., 0] *= 2
         mu_a, mu_c, mu = _mu(left)
-        way = _shell(before, x, d, inner)
+        way = material_way(before, x, inner)
         out = v2.sum(-1) + (mu_c * way - np.log(mu_c / mu))[..., :-1].sum(-1) + mu_a[..., -1] * way[..., -1] - np.log(mu_a[..., -1] / mu[..., -1])
         out = out / (2 * m - 1)
         return np.exp(-out) if method == "oft" else out
@@ -104,7 +98,7 @@ def _perms(m: int, r: int) -> np.ndarray:
     return _PERMS[m, r]
 
 
-def search(x: np.ndarray, e: np.ndarray, width: int = 5, stride: int = 2, method: str = "oft", inner: float = G.SHELLS["gretina"][0], largest: bool | None = None, model: str = "default") -> tuple[np.ndarray, np.ndarray]:
+def search(x: np.ndarray, e: np.ndarray, width: int = 5, stride: int = 2, method: str = "oft", inner: float = G.SHELLS["gretina"][0], largest: bool | None = None, model: str = "default", weights: dict[str, float] | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Best orders of ``c`` rays of n hits each: places (c, n) in the given hits, and the figure of merit.
 
     A window of ``width`` hits is permuted after those already fixed; of the best permutation the first ``stride`` are fixed and
@@ -128,13 +122,13 @@ def search(x: np.ndarray, e: np.ndarray, width: int = 5, stride: int = 2, method
         r = min(width if width > 0 else m, m)
         perms = _perms(m, r)
         best, best_score = np.zeros(c, np.int64), np.full(c, -np.inf if largest else np.inf)
-        per = max(1, BLOCK // max(1, len(perms) * (fixed.shape[1] + r) * 8))
+        per = max(1, BLOCK // max(1, len(perms) * (fixed.shape[1] + r) * (8 if method not in ("selected", "model", "feature") else 24)))
         for s in range(0, c, per):
             b = slice(s, s + per)
             tried = rest[b][:, perms]
             order = np.concatenate([np.repeat(fixed[b][:, None, :], len(perms), 1), tried], 2)
             k = rows[: len(order), :, None]
-            sc = scores(x[b][k, order], e[b][k, order], np.repeat(total[b][:, None], len(perms), 1), method, inner, model)
+            sc = scores(x[b][k, order], e[b][k, order], np.repeat(total[b][:, None], len(perms), 1), method, inner, model, weights=weights)
             sc = np.where(np.isnan(sc), -np.inf if largest else np.inf, sc)
             best[b] = sc.argmax(1) if largest else sc.argmin(1)
             best_score[b] = sc[np.arange(len(sc)), best[b]]
@@ -144,13 +138,15 @@ def search(x: np.ndarray, e: np.ndarray, width: int = 5, stride: int = 2, method
         mask = np.ones((c, m), bool)
         mask[rows, chosen[:, :take]] = False
         rest = rest[mask].reshape(c, m - take)
-    final = scores(x[rows, fixed], e[rows, fixed], total, method, inner, model) if n > 1 else np.zeros(c)
+    final = scores(x[rows, fixed], e[rows, fixed], total, method, inner, model, weights=weights) if n > 1 else np.zeros(c)
     return fixed, final
 
 
-def order_rays(hits: DataFrame, clusters: DataFrame, method: str = "oft", width: int = 5, stride: int = 2, max_size: int = 8, inner: float = G.SHELLS["gretina"][0], model: str = "default") -> DataFrame:
+def order_rays(hits: DataFrame, clusters: DataFrame, method: str = "oft", width: int = 5, stride: int = 2, max_size: int = 8, inner: float = G.SHELLS["gretina"][0], model: str = "default", weights: dict[str, float] | None = None) -> DataFrame:
     """``event_id, cluster_id, track_pos, point_idx, score``: the best order found for each cluster.
 
+    ``method`` and ``weights`` as in :func:`scores`.
+
     Clusters of one hit get score 0; those above ``max_size`` keep the order of their hits and have a null score. Rays of one size in a
     batch are scored together. Hits without place or positive energy are left out; repeated rows count once.
     """
@@ -170,7 +166,7 @@ def order_rays(hits: DataFrame, clusters: DataFrame, method: str = "oft", width:
                 if n > max_size:
                     order, sc = np.tile(np.arange(n), (len(g), 1)), np.full(len(g), np.nan)
                 else:
-                    order, sc = search(x, e, width, stride, method, inner, model=model)
+                    order, sc = search(x, e, width, stride, method, inner, model=model, weights=weights)
                 rows = np.arange(len(g))[:, None]
                 out.append(pd.DataFrame({"event_id": np.repeat(g["event_id"].to_numpy(), n), "cluster_id": np.repeat(g["cluster_id"].to_numpy(), n), "track_pos": np.tile(np.arange(n), len(g)).astype(np.int32), "point_idx": idx[rows, order].ravel(), "score": np.repeat(sc, n)}))
             if out:
@@ -214,54 +210,72 @@ def tried_orders(hits: DataFrame, clusters: DataFrame, width: int = 5, max_size:
     return t.select("event_id", F.col("cluster_id").cast("int").alias("cluster_id"), "order_no", (F.col("order_no") == 0).cast("int").alias("ordered"), "track_pos", F.col("point_idx").cast("int").alias("point_idx"))
 
 
+def _reverse_values(pts: np.ndarray, en: np.ndarray, paths: np.ndarray, method: str, inner: float) -> np.ndarray:
+    """Figures of merit of paths (c, m) of points; the first point of a path is where its ray comes from. Infinite where none is defined."""
+    if paths.shape[1] < 3:
+        return np.full(len(paths), np.inf)
+    place, deposit = pts[paths], en[paths[:, 1:]]
+    v = scores(place[:, 1:] - place[:, :1], deposit, deposit.sum(1), method, inner)
+    return np.where(np.isnan(v), np.inf, v)
+
+
+def _fronts(free: list[int], size: int) -> np.ndarray:
+    """All sequences of ``size`` free hits, and those of one less behind the origin (0)."""
+    plain, led = (np.array(p, int).reshape(len(p), k) for k in (size, size - 1) for p in [list(permutations(free, k))])
+    return np.concatenate([plain, np.concatenate([np.zeros((len(led), 1), int), led], 1)])
+
+
 def backward_tracks(x: np.ndarray, e: np.ndarray, width: int = 3, stride: int = 1, e_min: float = 0.09, e_max: float = 0.25, method: str = "angle", inner: float = G.SHELLS["gretina"][0]) -> tuple[list[list[int]], list[int]]:
-    """Tracks of one event grown backward from hits of low energy, and the hits that are left.
+    """Tracks of one event grown backward from hits that look like last ones (energy between ``e_min`` and ``e_max``), and the hits left.
 
-    From each seed, hits (or the origin) are put in front while the figure of merit improves; of all tracks, the best
-    that share no hit are kept. Bounded by the window: sizes below ``width`` are permuted.
+    A growing path takes the ``stride`` nearest points of the best front: of all sequences of up to ``width`` - 1
+    free hits, which the origin may lead, the one whose figure of merit is lowest, as long as it is lower than the path's own. It ends at the origin or
+    when no front is better. All fronts of a size are scored at once. Of the finished paths, the best that share no hit are tracks.
     """
     n = len(e)
-    pts = np.concatenate([np.zeros((1, 3)), x])
-    en = np.concatenate([[0.0], e])
-
-    def value(path: list[int]) -> float:
-        body = path[1:] if path[0] == 0 else path
-        if len(body) < 2:
-            return math.inf
-        rel = pts[body] - (0 if path[0] == 0 else pts[path[0]])
-        if path[0] != 0:
-            rel, body = rel[1:], body[1:]
-            if len(body) < 2:
-                return math.inf
-        v = float(scores(rel[None], en[body][None], np.array([en[body].sum()]), method, inner)[0])
-        return math.inf if math.isnan(v) else v
-
-    records: dict[tuple[int, ...], float] = {}
-    for seed in range(1, n + 1):
-        if not e_min < en[seed] < e_max:
-            continue
-        path, left, best = [seed], [0, *(i for i in range(1, n + 1) if i != seed)], math.inf
+    pts, en = np.concatenate([np.zeros((1, 3)), x]), np.concatenate([[0.0], e])
+
+    def grown(seed: int) -> tuple[float, list[int]]:
+        path, free, value = [seed], [i for i in range(1, n + 1) if i != seed], np.inf
         while path[0] != 0:
-            found = None
-            for w in range(1, width):
-                for p in permutations(left, min(w, len(left))):
-                    if 0 in p and p[0] != 0 or p[0] == 0 and len(p) + len(path) == 2:
-                        continue
-                    v = value([*p, *path])
-                    if v < best:
-                        best, found = v, p
-            if found is None:
+            best, front = value, None
+            for size in range(1, min(width - 1, len(free) + 1) + 1):
+                fronts = _fronts(free, size)
+                v = _reverse_values(pts, en, np.concatenate([fronts, np.tile(path, (len(fronts), 1))], 1), method, inner)
+                if v.min() < best:
+                    best, front = v.min(), fronts[v.argmin()]
+            if front is None:
                 break
-            add = list(found)[-stride:]
-            path = add + path
-            left = [i for i in left if i not in add]
-            best = value(path)
-        v = value(path)
-        if v < math.inf:
-            records[tuple(i for i in path if i)] = v
+            near = front[-stride:].tolist()
+            path, free = near + path, [i for i in free if i not in near]
+            value = _reverse_values(pts, en, np.array([path]), method, inner)[0]
+        return value, [i - 1 for i in path if i]
+
+    paths = sorted((v, tuple(p)) for v, p in map(grown, np.flatnonzero((en > e_min) & (en < e_max)).tolist()) if v < np.inf)
     tracks, used = [], set()
-    for path, _ in sorted(records.items(), key=lambda r: (r[1], r[0])):
+    for _, path in paths:
         if used.isdisjoint(path):
-            tracks.append([i - 1 for i in path])
-            used |= set(path)
-    return tracks, [i - 1 for i in range(1, n + 1) if i not in used]
+            tracks.append(list(path))
+            used.update(path)
+    return tracks, [i for i in range(n) if i not in used]
+
+
+def backward_rays(hits: DataFrame, width: int = 3, stride: int = 1, e_min: float = 0.09, e_max: float = 0.25, method: str = "angle", inner: float = G.SHELLS["gretina"][0]) -> DataFrame:
+    """``event_id, cluster_id, track_pos, point_idx``: every event by :func:`backward_tracks`; hits in no track have no cluster and place.
+
+    The work of an event grows with the square of its hits times its seeds (at ``width`` 3), and holds one front's scores.
+    Hits without place or positive energy are left out; repeated rows count once; an empty table gives an empty result.
+    """
+    h = hits.select("event_id", "point_idx", "x", "y", "z", "e").where("x is not null and y is not null and z is not null and e > 0 and not isnan(e)").dropDuplicates(["event_id", "point_idx"])
+    events = per_event(h, ["event_id"], ["point_idx", "x", "y", "z", "e"], ["point_idx"])
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in parts:
+            rows = []
+            for r in pdf.itertuples(index=False):
+                tracks, left = backward_tracks(np.stack([r.x, r.y, r.z], 1).astype(float), np.asarray(r.e, float), width, stride, e_min, e_max, method, inner)
+                rows += [(r.event_id, c, k, r.point_idx[i]) for c, t in enumerate(tracks) for k, i in enumerate(t)]
+                rows += [(r.event_id, None, None, r.point_idx[i]) for i in left]
+            yield pd.DataFrame(rows, columns=["event_id", "cluster_id", "track_pos", "point_idx"]).astype({"cluster_id": "Int32", "track_pos": "Int32"})
+
+    return events.mapInPandas(run, "event_id long, cluster_id int, track_pos int, point_idx int")

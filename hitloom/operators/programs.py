@@ -1,7 +1,7 @@
 """Exact searches over the hits of small events: subset sums, set packing, dendrogram peaks, trajectories.
 
-They take the place of mathematical programs: with at most ``MOST`` hits all subsets are bit masks, and
-dynamic programming over them is exact. Above that, subset sums are met in the middle, which is exact too.
+They take the place of mathematical programs. Subset sums of at most ``MOST`` hits are taken over all bit masks and
+above that met in the middle; set packing goes over the states that its candidates lead to. All are exact at any size.
 """
 
 from __future__ import annotations
@@ -135,22 +135,24 @@ def _masked_stack(e: np.ndarray, energies: list[float], tolerance: float, larges
 def set_packing(n: int, candidates: dict[tuple[int, ...], float], single: float = 0.5) -> list[tuple[int, ...]]:
     """Disjoint candidate clusters that cover every hit at the least total figure of merit; [] if none do.
 
-    Clusters of one hit weigh ``single``.
+    Clusters of one hit weigh ``single``. Every step covers the first hit that isn't, so only states that candidates
+    lead to are held, for any number of hits.
     """
+    by_first: dict[int, list] = {}
+    for mask, f, c in sorted((sum(1 << i for i in c), single if len(c) == 1 else f, tuple(c)) for c, f in candidates.items()):
+        by_first.setdefault((mask & -mask).bit_length() - 1, []).append((mask, f, c))
     best: dict[int, tuple[float, tuple]] = {0: (0.0, ())}
-    sets = sorted((sum(1 << i for i in c), single if len(c) == 1 else f, tuple(c)) for c, f in candidates.items())
-    for covered in range(1 << n):
-        if covered not in best:
-            continue
-        v, chosen = best[covered]
-        if covered == (1 << n) - 1:
-            break
-        first = next(i for i in range(n) if not covered >> i & 1)
-        for mask, f, c in sets:
-            if mask >> first & 1 and not mask & covered:
-                new = (v + f, (*chosen, c))
-                if covered | mask not in best or new < best[covered | mask]:
-                    best[covered | mask] = new
+    for first in range(n):
+        # States whose first uncovered hit is this one; all sets that hold it and no earlier one may follow.
+        here = {m: v for m, v in best.items() if m & ((1 << first) - 1) == (1 << first) - 1}
+        best = {}
+        for covered, (v, chosen) in here.items():
+            steps = [(0, 0.0, None)] if covered >> first & 1 else by_first.get(first, [])
+            for mask, f, c in steps:
+                if not mask & covered:
+                    new = (v + f, chosen if c is None else (*chosen, c))
+                    if covered | mask not in best or new < best[covered | mask]:
+                        best[covered | mask] = new
     return list(best.get((1 << n) - 1, (0.0, ()))[1])
 
 
@@ -198,34 +200,32 @@ def dendrogram_peaks(p: np.ndarray, e: np.ndarray, energies: list[float], tolera
 
 def trajectories(p: np.ndarray, e: np.ndarray, first: int, energy: float, angle: float, longest: float, tolerance: float = 0.01, inner: float = G.SHELLS["gretina"][0]) -> list[list[int]]:
     """Paths from the origin over hit ``first`` that use up ``energy``, each turn within ``angle`` of the Compton formula
-    and all ways in material within ``longest``."""
-    pts = np.concatenate([np.zeros((1, 3)), p])
-    dep = np.concatenate([[0.0], e])
+    and all ways in material within ``longest``.
+
+    All open paths of one length are carried on together: a table of paths against hits says which steps are allowed.
+    """
+    pts, dep = np.concatenate([np.zeros((1, 3)), p]), np.concatenate([[0.0], e])
     way = L.material_matrix(pts, inner)
+    paths, left, room = np.array([[0, first + 1]]), np.array([energy], float), np.array([longest], float)
+    if e[first] > energy + tolerance:
+        return []
     out: list[list[int]] = []
-
-    def go(path: list[int], left: float, room: float) -> None:
-        i = path[-1]
-        if abs(left - dep[i]) < tolerance:
-            out.append([k - 1 for k in path[1:]])
-            return
-        after = left - dep[i]
-        if after <= 0:
-            return
-        c = 1 - P.MEC2 * (1 / after - 1 / left)
-        if abs(c) > 1:
-            return
-        for j in range(1, len(pts)):
-            if j in path or way[i, j] > room or dep[i] + dep[j] > left + tolerance:
-                continue
-            a, b = pts[i] - pts[path[-2]], pts[j] - pts[i]
-            turn = np.arccos(np.clip(a @ b / max(np.linalg.norm(a) * np.linalg.norm(b), 1e-300), -1, 1))
-            if abs(np.arccos(c) - turn) <= angle:
-                go([*path, j], after, room - way[i, j])
-
-    if e[first] <= energy + tolerance:
-        go([0, first + 1], energy, longest)
-    return out
+    while len(paths):
+        here, before = paths[:, -1], paths[:, -2]
+        after = left - dep[here]
+        ends = np.abs(after) < tolerance
+        out += [[k - 1 for k in q[1:]] for q in paths[ends].tolist()]
+        with np.errstate(all="ignore"):
+            theory = 1 + P.MEC2 / left - P.MEC2 / after
+            u, v = pts[here] - pts[before], pts[None] - pts[here][:, None]
+            turn = np.arccos(np.clip(np.einsum("ci,cni->cn", u, v) / np.maximum(np.linalg.norm(u, axis=1)[:, None] * np.linalg.norm(v, axis=2), 1e-300), -1, 1))
+            near = np.abs(np.arccos(theory)[:, None] - turn) <= angle  # false where no angle has that cosine
+        ok = near & (~ends & (after > 0))[:, None] & (way[here] <= room[:, None]) & (dep[None] <= after[:, None] + tolerance)
+        ok[:, 0] = False
+        ok[np.repeat(np.arange(len(paths)), paths.shape[1]), paths.ravel()] = False
+        c, j = np.nonzero(ok)
+        paths, left, room = np.concatenate([paths[c], j[:, None]], 1), after[c], room[c] - way[here[c], j]
+    return sorted(out)
 
 
 def predicted_clusters(n: int, features: Callable[[list[int], list[int]], np.ndarray], predict: Callable[[np.ndarray], np.ndarray], cutoff: float = 1.0) -> list[list[int]]:
@@ -325,3 +325,65 @@ def energy_clusters(hits: DataFrame, energies: list[float], tolerance: float = 0
 def peak_clusters(hits: DataFrame, energies: list[float], tolerance: float = 0.005, cut: float = 0.4) -> DataFrame:
     """``event_id, cluster_id, point_idx``: every event by :func:`dendrogram_peaks`."""
     return _labelled(hits, lambda p, e: dendrogram_peaks(p, e, energies, tolerance, cut))
+
+
+def energy_paths(hits: DataFrame, energies: list[float], angle: float, longest: float, tolerance: float = 0.01, inner: float = G.SHELLS["gretina"][0]) -> DataFrame:
+    """``event_id, energy, path_no, track_pos, point_idx``: all :func:`trajectories` of every event, over every first hit and energy."""
+    ok = hits.where("x is not null and y is not null and z is not null and e > 0 and not isnan(e)").dropDuplicates(["event_id", "point_idx"])
+    arrays = per_event(ok, ["event_id"], ["point_idx", "x", "y", "z", "e"], ["point_idx"])
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in parts:
+            rows = []
+            for r in pdf.itertuples(index=False):
+                p, e = np.stack([r.x, r.y, r.z], 1).astype(float), np.asarray(r.e, float)
+                for v in energies:
+                    found = [t for first in range(len(e)) for t in trajectories(p, e, first, v, angle, longest, tolerance, inner)]
+                    rows += [(r.event_id, v, k, i, r.point_idx[h]) for k, t in enumerate(found) for i, h in enumerate(t)]
+            yield pd.DataFrame(rows, columns=["event_id", "energy", "path_no", "track_pos", "point_idx"])
+
+    return arrays.mapInPandas(run, "event_id long, energy double, path_no int, track_pos int, point_idx int")
+
+
+def cheapest_clusters(hits: DataFrame, method: str = "angle", single: float = 0.5, inner: float = G.SHELLS["gretina"][0]) -> DataFrame:
+    """``event_id, cluster_id, point_idx``: of the clusters of each event's angular dendrogram, the disjoint ones that cover
+    it at the least total figure of merit (:func:`set_packing`). A cluster's figure is that of its hits by rising radius."""
+    from hitloom.operators.ordering import scores
+
+    def run(p: np.ndarray, e: np.ndarray) -> np.ndarray:
+        n = len(e)
+        merges = L.agglomerate(L.distances(p, "great_circle", 0.0), "single") if n > 1 else []
+        foms: dict[tuple[int, ...], float] = {}
+        for c in all_clusters(merges, n):
+            o = sorted(c, key=lambda i: (float(p[i] @ p[i]), i))
+            v = float(scores(p[o][None], e[o][None], np.array([e[o].sum()]), method, inner)[0]) if len(c) > 1 else single
+            foms[c] = 1e9 if np.isnan(v) else v
+        lab = np.zeros(n, np.int32)
+        for k, c in enumerate(sorted(set_packing(n, foms, single))):
+            lab[list(c)] = k
+        return lab
+
+    return _labelled(hits, run)
+
+
+def transition_costs(hits: DataFrame, inner: float = G.SHELLS["gretina"][0]) -> DataFrame:
+    """``event_id, i, j, k`` and ``TRANSITIONS``: the cost of every scatter of an event, a row per way i -> j -> k (0 is the origin).
+
+    There are n cubed rows for n hits; they leave in batches of one start i each.
+    """
+    ok = hits.where("x is not null and y is not null and z is not null and e > 0 and not isnan(e)").dropDuplicates(["event_id", "point_idx"])
+    arrays = per_event(ok, ["event_id"], ["point_idx", "x", "y", "z", "e"], ["point_idx"])
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in parts:
+            for r in pdf.itertuples(index=False):
+                p, e = np.stack([r.x, r.y, r.z], 1).astype(float), np.asarray(r.e, float)
+                t, idx = transition_tensor(p, e, inner), np.concatenate([[0], r.point_idx])
+                n = len(idx)
+                for i in range(n):
+                    j, k = (a.ravel() for a in np.meshgrid(np.arange(1, n), np.arange(1, n), indexing="ij"))
+                    keep = (j != i) & (k != i) & (j != k)
+                    j, k = j[keep], k[keep]
+                    yield pd.DataFrame({"event_id": r.event_id, "i": idx[i], "j": idx[j], "k": idx[k]} | {c: t[i, j, k, m] for m, c in enumerate(TRANSITIONS)})
+
+    return arrays.mapInPandas(run, "event_id long, i int, j int, k int, " + ", ".join(f"{c} double" for c in TRANSITIONS))

@@ -31,14 +31,15 @@ def window() -> Window:
     return Window.partitionBy(*KEY).orderBy("track_pos", "point_idx")
 
 
-def steps(ordered: DataFrame, start: str = "sum", inner: float = G.SHELLS["gretina"][0], error_model: str = "default", eres: float = 1e-3) -> DataFrame:
+def steps(ordered: DataFrame, start: str = "sum", inner: float = G.SHELLS["gretina"][0], error_model: str = "default", eres: float = 1e-3, excess: tuple[float, float] | None = None) -> DataFrame:
     """Per hit of a track: order, ways, turns, energies and local estimates.
 
     Columns besides the key: ``n, k`` (1-based), ``x, y, z, e``, ``way, shell_way`` from the hit before, ``cos, cos_err``
     of the turn, ``esum``, ``energy`` arriving at the hit and ``energy_after`` it, ``local`` estimate with ``local_sigma, d_e, d_cos``.
 
     ``start``: energy of the ray: 'sum' of its deposits, 'local' mean of the local estimates, 'weighted' by
-    their errors; 'tango' is the larger of the weighted estimate and the sum.
+    their errors; 'tango' is the larger of the weighted estimate and the sum. ``excess``: an estimate (of a track of three or more
+    hits) is taken only where it lies above the sum by more than the first and less than the second.
     """
     w = window()
     whole = Window.partitionBy(*KEY)
@@ -69,6 +70,9 @@ def steps(ordered: DataFrame, start: str = "sum", inner: float = G.SHELLS["greti
             first = F.greatest(first, F.col("esum"))
     elif start != "sum":
         raise ValueError(f"unknown start energy {start!r}")
+    if excess is not None:
+        over = first - F.col("esum")
+        first = F.when((F.col("n") > 2) & (over > excess[0]) & (over < excess[1]), first).otherwise(F.col("esum"))
     a = a.withColumn("start", first).withColumn("energy", F.col("start") - F.col("before"))
     a = a.withColumn("energy_after", F.when(turn, F.col("energy") - F.col("e")))
     return a.select(*KEY, "n", "k", "point_idx", "x", "y", "z", "e", "way", "shell_way", "cos", "omc", "cos_err", "esum", "start", "before", "energy", "energy_after", "local", "local_sigma", "d_e", "d_cos")
@@ -104,15 +108,20 @@ def residuals(steps_: DataFrame, extra: int = 0, eres: float = 1e-3) -> DataFram
     return a.withColumn("mu", F.col("mu_abs") + F.col("mu_compt") + F.col("mu_pair"))
 
 
-METHODS = ("angle", "cosine", "oft", "agata", "local", "selected")
+METHODS = ("angle", "cosine", "oft", "agata", "local", "selected", "feature", "zeros")
+#: By how much a start-energy estimate may lie above the energy sum to be taken, in MeV.
+EXCESS = (0.1, P.MEC2)
 
 
 def _last(c: Column) -> Column:
     return F.max(F.when(F.col("k") == F.col("n"), c))
 
 
-def fom_columns(method: str) -> Column:
-    """The figure of merit of a track of two or more hits, as an aggregate over :func:`residuals`."""
+def fom_columns(method: str, variance: bool = False, power: float = 2) -> Column:
+    """The figure of merit of a track of two or more hits, as an aggregate over :func:`residuals`.
+
+    local: ``variance`` divides the residuals by their errors, ``power`` is the exponent they are summed with.
+    """
     n = F.max("n")
     turn = F.col("k") < F.col("n")
     if method in ("angle", "aft"):
@@ -126,7 +135,10 @@ def fom_columns(method: str) -> Column:
         out = (F.sum(F.when(turn, v2)) + F.sum(ways) + end) / (2 * n - 1)
         return F.exp(-out) if method == "oft" else out
     if method == "local":
-        return F.sum(F.col("rsl") ** 2)
+        r = F.col("rsl") / F.col("rsl_sigma") if variance else F.col("rsl")
+        return F.sum(r**power)
+    if method == "zeros":
+        return F.lit(0.0)
     raise ValueError(f"unknown figure of merit {method!r}")
 
 
@@ -138,19 +150,26 @@ SELECTED = (
 )
 
 
-def figures_of_merit(ordered: DataFrame, method: str = "oft", singles: str | None = "depth", inner: float = G.SHELLS["gretina"][0], share: float = 0.95, error_model: str = "default", start: str = "sum") -> DataFrame:
+def figures_of_merit(
+    ordered: DataFrame, method: str = "oft", singles: str | None = "depth", inner: float = G.SHELLS["gretina"][0], share: float = 0.95, error_model: str = "default", start: str = "sum",
+    excess: tuple[float, float] | None = None, weights: dict[str, float] | None = None, variance: bool = False, power: float = 2,
+) -> DataFrame:
     """``event_id, cluster_id, n, esum, fom`` of every track; single hits by the ``singles`` method.
 
-    Singles: depth, continuous, probability, range, or None for 0. ``start``: the energy a ray begins with, as in :func:`steps`.
+    Methods: angle, cosine, oft, agata, local (with ``variance`` and ``power`` as in :func:`fom_columns`), selected, feature (the ``weights`` of
+    ordering features) and zeros. Singles: depth, continuous, probability, range, or None for 0. ``start``, ``excess``: the energy a ray
+    begins with, as in :func:`steps`; ``EXCESS`` is the usual window.
     """
-    if method == "selected":
+    if method in ("selected", "feature"):
         from hitloom.operators.features import weighted_features
 
-        return weighted_features(ordered, dict(SELECTED), singles, inner, share, error_model)
-    s = steps(ordered, start, inner, error_model)
+        if method == "feature" and not weights:
+            raise ValueError("'feature' needs weights")
+        return weighted_features(ordered, dict(SELECTED) if method == "selected" else weights, singles, inner, share, error_model)
+    s = steps(ordered, start, inner, error_model, excess=excess)
     r = residuals(s, extra=1)
-    one = _single(singles, inner, share)
-    return r.groupBy(*KEY).agg(F.max("n").alias("n"), F.max("esum").alias("esum"), F.when(F.max("n") == 1, F.max(one)).otherwise(fom_columns(method)).alias("fom"))
+    one = F.lit(0.0) if method == "zeros" else _single(singles, inner, share)
+    return r.groupBy(*KEY).agg(F.max("n").alias("n"), F.max("esum").alias("esum"), F.when(F.max("n") == 1, F.max(one)).otherwise(fom_columns(method, variance, power)).alias("fom"))
 
 
 def _single(singles: str | None, inner: float, share: float) -> Column:

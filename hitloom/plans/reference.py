@@ -24,6 +24,10 @@ def _hits(spark: SparkSession, sf: str) -> DataFrame:
     return E.distinct_hits(h)
 
 
+def _with_pads(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "interactions").select("event_id", "point_idx", "x", "y", "z", "e", "ts", "crystal_no", "seg_no", "interaction_type", "pad").where("not isnan(e) and not isnan(x) and not isnan(y) and not isnan(z)")
+
+
 def _clusters(spark: SparkSession, sf: str) -> DataFrame:
     c = table(spark, sf, "clusters").where("track_pos is not null")
     return c.groupBy("event_id", "cluster_id", "point_idx").agg(F.min("track_pos").alias("track_pos"))
@@ -68,11 +72,31 @@ def coincidences(anchored: str):
     return run
 
 
-def fom(method: str):
-    def run(spark: SparkSession, sf: str) -> DataFrame:
-        return _rounded(T.figures_of_merit(_tracks(spark, sf), method).where("n > 1").select("event_id", "cluster_id", "n", "fom"))
+def fom(method: str, **kw):
+    return lambda spark, sf: _rounded(T.figures_of_merit(_tracks(spark, sf), method, **kw).select("event_id", "cluster_id", "n", "fom"))
 
-    return run
+
+def q_known_turns(spark: SparkSession, sf: str) -> DataFrame:
+    """Turns, centred cosines and angles from energies of the textbook triangles."""
+    pt = lambda *v: tuple(F.lit(float(x)) for x in v)
+    a, b, c = pt(0, 0, 0), pt(3, 0, 0), pt(0, 4, 0)
+    d, e, f = pt(0, 0, 0), pt(1, 0, 0), pt(0.5, 3**0.5 / 2, 0)
+    theta = lambda x, y: P.theta_theory(F.lit(float(x)), F.lit(float(y)), -12.0)
+    cases = [
+        ("right 012", G.cos_turn(a, b, c)), ("right 201", G.cos_turn(c, a, b)), ("right 120", G.cos_turn(b, c, a)), ("equal 012", G.cos_turn(d, e, f)), ("equal 120", G.cos_turn(e, f, d)), ("equal 201", G.cos_turn(f, d, e)),
+        ("centred 0", F.coalesce(G.cos_between(G.minus(b, a), G.minus(c, a)), F.lit(0.0))), ("centred 1", G.cos_between(G.minus(a, b), G.minus(c, b))),
+        *[(f"theta {x} {y}", theta(x, y)) for x, y in ((4, 3.5), (3, 2.5), (2, 1.5), (1, 0.5), (4, 0.1))],
+    ]
+    rows = F.explode(F.array(*[F.struct(F.lit(n).alias("case"), v.alias("value")) for n, v in cases])).alias("r")
+    return _rounded(spark.range(1).select(rows).select("r.case", "r.value"))
+
+
+def q_validity(spark: SparkSession, sf: str) -> DataFrame:
+    """Whether two clusters of hits of one crystal should be joined, by the known rays."""
+    p = _predicted(spark, sf)
+    ids = p.select("event_id", "cluster_id").distinct()
+    pairs = ids.withColumnRenamed("cluster_id", "cluster_a").join(ids.withColumnRenamed("cluster_id", "cluster_b"), "event_id").where("cluster_a <> cluster_b")
+    return M.join_validity(pairs, p, _clusters(spark, sf))
 
 
 def selection(rule: str):
@@ -107,7 +131,8 @@ def q_track_features(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def q_all_features(spark: SparkSession, sf: str) -> DataFrame:
-    return X.track_features(_tracks(spark, sf), X.names(tango=False))
+    """Every ordering feature at the energy sum and at the start-energy estimate."""
+    return X.track_features(_tracks(spark, sf), X.names())
 
 
 def q_simple_features(spark: SparkSession, sf: str) -> DataFrame:
@@ -143,6 +168,21 @@ QUERIES = {
     "fom_agata": fom("agata"),
     "fom_oft": fom("oft"),
     "fom_selected": fom("selected"),
+    "fom_zeros": fom("zeros"),
+    "fom_local_scaled": fom("local", variance=True, power=1),
+    "fom_angle_estimated": fom("angle", start="local", excess=T.EXCESS),
+    "known_turns": q_known_turns,
+    "join_validity": q_validity,
+    "cumulant": lambda s, d: _rounded(M.resampled_cumulant(_rays(s, d), "fom", [0.0, 0.1, 0.25, 0.5, 1.0, 1.85, 5.0])),
+    "energy_cost": lambda s, d: _rounded(M.energy_cost(_rays(s, d).where("esum < 1e6"), [0.5, 0.662, 1.173, 1.332], 0.01)),
+    "energy_paths": lambda s, d: S.energy_paths(_hits(s, d), [0.5, 0.662, 1.173, 1.332], 0.3, 8.0),
+    "backward_rays": lambda s, d: O.backward_rays(_hits(s, d)),
+    "cheapest_clusters": lambda s, d: S.cheapest_clusters(_hits(s, d)),
+    "transition_costs": lambda s, d: S.transition_costs(_hits(s, d)),
+    "clusters_to_track": lambda s, d: PL.found_clusters(E.distinct_hits(PL.clean(_with_pads(s, d), PL.Options())))[1],
+    "run_statistics": lambda s, d: PL.run_statistics(_with_pads(s, d)),
+    "packed_within_clusters": lambda s, d: _rounded(E.packed(_hits(s, d).where("e > 0 and e < 1e6 and not isnan(e)"), 0.5, _predicted(s, d)).select("event_id", "point_idx", "x", "y", "z", "e", "n_packed")),
+    "twice_ordered_rays": lambda s, d: _rounded(PL.track(_with_pads(s, d).where("e < 1000"), PL.Options(order_method="oft", second_order=True)).select("event_id", "cluster_id", "n", "esum", "fom", "tracked", "ts")),
     "hit_attenuation": q_attenuation,
     "single_features": q_singles,
     "track_features": q_track_features,
@@ -160,10 +200,10 @@ QUERIES = {
     "linkage_average": lambda s, d: E.linkage_clusters(_hits(s, d), alpha=8.0, metric="euclidean", method="average"),
     "linkage_germanium": lambda s, d: E.linkage_clusters(_hits(s, d), alpha=4.0, metric="germanium", method="complete", time_gap=40),
     "linkage_directional": lambda s, d: E.linkage_clusters(_hits(s, d), alpha=8.0, metric="euclidean", method="directional", max_length=8),
-    "packed_hits": lambda s, d: E.packed(_hits(s, d).where("e > 0"), 0.5),
+    "packed_hits": lambda s, d: _rounded(E.packed(_hits(s, d).where("e > 0 and e < 1e6 and not isnan(e)"), 0.5).select("event_id", "point_idx", "x", "y", "z", "e", "interaction_type", "n_packed", "ts", "crystal_no", "seg_no")),
     "smeared_hits": lambda s, d: E.smeared(_hits(s, d)),
     "rotated_hits": lambda s, d: E.rotated(_hits(s, d), ["event_id"]),
-    "flattened_tracks": lambda s, d: E.flattened(_tracks(s, d)),
+    "flattened_tracks": lambda s, d: _rounded(E.flattened(_tracks(s, d))),
     "hits_outside_peaks": lambda s, d: E.without_peak_events(_hits(s, d), _clusters(s, d), peak=0.5, width=0.1).select("event_id", "point_idx"),
     "hits_of_long_rays": lambda s, d: E.of_rays(_hits(s, d), _clusters(s, d), _clusters(s, d).groupBy("event_id", "cluster_id").agg(F.count(F.lit(1)).alias("n")).where("n > 3")).select("event_id", "point_idx"),
     "event_feature_statistics": lambda s, d: _rounded(X.event_statistics(T.track_energies(_tracks(s, d)), ["esum", "n"]), 9),
@@ -201,7 +241,7 @@ QUERIES = {
     "energy_clusters": lambda s, d: S.energy_clusters(_hits(s, d), [0.5, 0.662, 1.173, 1.332]),
     "dendrogram_peaks": lambda s, d: S.peak_clusters(_hits(s, d), [0.5, 0.662, 1.173, 1.332], 0.01),
     "training_orders": lambda s, d: N.order_rows(_hits(s, d), _clusters(s, d), ["rsg_mean_1", "c_penalty_sum_1", "rc_sum_1", "rth_cap_mean_1_tango"]),
-    "tracked_rays": lambda s, d: PL.track(table(s, d, "interactions").where("e < 1000")).select("event_id", "cluster_id", "n", "esum", "fom", "tracked", "ts"),
+    "tracked_rays": lambda s, d: PL.track(_with_pads(s, d).where("e < 1000")).select("event_id", "cluster_id", "n", "esum", "fom", "tracked", "ts"),
 }
 
 # --- SQL ---------------------------------------------------------------------------------------
@@ -221,13 +261,11 @@ t1 as (select *, row_number() over w as k, count(*) over p as n, sum(e) over p a
 t2 as (select *, sqrt((x-px)**2 + (y-py)**2 + (z-pz)**2) as way, sqrt((nx-x)**2 + (ny-y)**2 + (nz-z)**2) as nway,
          (x-px)*(nx-x) + (y-py)*(ny-y) + (z-pz)*(nz-z) as dots, esum - bef as energy, case when k < n then esum - bef - e end as after from t1),
 t3 as (select *, case when k < n then case when way * nway = 0 then -1.0 else greatest(-1.0, least(1.0, dots / (way * nway))) end end as cs,
-         -(px*(x-px) + py*(y-py) + pz*(z-pz)) / greatest(way, 1e-10) as b1, (x*(x-px) + y*(y-py) + z*(z-pz)) / greatest(way, 1e-10) as b2 from t2),
-t4 as (select *, b1**2 - (px**2 + py**2 + pz**2) + {INNER}**2 as sq, 1 - cs as omc,
+         -(px*(x-px) + py*(y-py) + pz*(z-pz)) / greatest(way, 1e-10) as b1 from t2),
+t4 as (select *, b1 * b1 - (px*px + py*py + pz*pz) + {INNER**2!r} as sq, 1 - cs as omc,
          sqrt((1 - cs**2) * ((sa**2 + sb**2) / (case when way <= 0 then 1 else way end)**2 + 2 * sb**2 * cs / ((case when way <= 0 then 1 else way end) * (case when nway <= 0 then 1 else nway end)) + (sb**2 + sc**2) / (case when nway <= 0 then 1 else nway end)**2)) as cerr from t3),
 t5 as (select *, sqrt(greatest(sq, 0)) as hf from t4),
-t6 as (select *, case when sq < 0 then way when b1-hf >= 0 and b1-hf <= way and b2-hf >= 0 and b2-hf <= way then way - 2*hf
-         when b1-hf >= 0 and b1-hf <= way and b2-hf < 0 then way - hf - b2 when b1-hf < 0 and b2-hf >= 0 and b2-hf <= way then way - hf - b1
-         when b1-hf < 0 and b2-hf < 0 then 0.0 else way end as shell,
+t6 as (select *, way - greatest(0, least(way, b1 + hf) - greatest(0, b1 - hf)) as shell,
          case when omc <= 0 then 123456789.0 else 0.5*e + sqrt(e**2/4 + e*{P.MEC2}/nullif(omc, 0)) end as loc,
          case when k < n then energy / (1 + energy/{P.MEC2}*omc) end as geo,
          1 - {P.MEC2} * (1/case when after > 0 then after end - 1/energy) as ct from t5)"""
@@ -246,6 +284,29 @@ def _mu(kind: str, e: str) -> str:
     return f"(case when {e} * 1e6 <= {t} then 0.0 else exp({a} * {x}**2 + {b} * {x} + {c}) * ({e}*1e6 * ({e}*1e6 - {t}))**3 / {P.BARN} * {P.RANGE!r} end)"
 
 
+_PTS = "(values " + ", ".join(f"({a}, {fa}, {b}, {fb})" for (a, fa), (b, fb) in zip(P.SINGLES_DEPTH, P.SINGLES_DEPTH[1:])) + ") as pts(a, fa, b, fb)"
+#: Single hits in a figure of merit: 1.85 where they lie deeper than their energy allows.
+_ONE = f""" union all select event_id, cluster_id, n, case when sqrt(x*x + y*y + z*z) - {INNER} > coalesce((select fa + (e - a) * ((fb - fa) / (b - a)) from {_PTS} where e > a and e <= b), {P.SINGLES_DEPTH[-1][1]}) then 1.85::double else 0.0::double end as fom from t6 where n = 1"""
+
+
+def _linked(where: str, near: str) -> str:
+    """CTEs l(event_id, point_idx, low): hits ``o`` of an event with the least hit of their chain of pairs that are ``near``."""
+    return f"""o as (select * from h where x is not null and y is not null and z is not null and ({where})),
+pr as (select a.event_id, a.point_idx as i, b.point_idx as j from o a join o b on a.event_id = b.event_id and a.point_idx <> b.point_idx and {near}),
+rc(event_id, i, j) as (select event_id, i, j from pr union select rc.event_id, rc.i, pr.j from rc join pr on rc.event_id = pr.event_id and rc.j = pr.i),
+l as (select o.event_id, o.point_idx, min(least(o.point_idx, coalesce(rc.j, o.point_idx))) as low from o left join rc on rc.event_id = o.event_id and rc.i = o.point_idx group by o.event_id, o.point_idx)"""
+
+
+#: The angle between two hits as seen from the origin: 0 for two hits there, null for one.
+_NA, _NB = "sqrt(a.x*a.x + a.y*a.y + a.z*a.z)", "sqrt(b.x*b.x + b.y*b.y + b.z*b.z)"
+_ANGLE = f"case when {_NA} * {_NB} > 0 then acos(greatest(-1, least(1, (a.x*b.x + a.y*b.y + a.z*b.z) / ({_NA} * {_NB})))) when {_NA} + {_NB} = 0 then 0 end"
+_PADS = """h as (select event_id, point_idx, h.x as x, h.y as y, h.z as z, h.e as e, h.ts as ts, h.crystal_no as crystal_no, h.pad as pad from
+  (select event_id, point_idx, min({'x': x, 'y': y, 'z': z, 'e': e, 'ts': ts, 'crystal_no': crystal_no, 'seg_no': seg_no, 'interaction_type': interaction_type, 'pad': pad}) as h
+   from interactions where e > 0 and not isnan(e) and (x is null or not isnan(x)) and (y is null or not isnan(y)) and (z is null or not isnan(z)) group by event_id, point_idx))"""
+_CONE = f"{_PADS}, " + _linked("true", f"{_ANGLE} <= 20.0 * pi() / 180 and abs(a.ts - b.ts) < 40")
+_PACKED = _H.replace("min(seg_no) as seg_no", "min(seg_no) as seg_no, min(interaction_type) as interaction_type") + ", " + _linked("e > 0 and e < 1e6 and not isnan(e)", "sqrt((a.x-b.x)**2 + (a.y-b.y)**2 + (a.z-b.z)**2) <= 0.5")
+
+
 _AGATA = f"""with {_T},
 m as (select *, {_mu("abs", "energy")} as ma, {_mu("compt", "energy")} as mc, {_mu("pair", "energy")} as mp from t6 where n > 1),
 v as (select *, ma + mc + mp as mt, (after - geo)**2 / (1e-6 * ((geo/energy)**4 + (n + 1 - (k - 1)) * (1 - (geo/energy)**2)**2) + (cerr * geo**2 / {P.MEC2})**2) * case when k = 1 then 2 else 1 end as v2 from m),
@@ -266,6 +327,12 @@ d as (select row_id, ray_event_id, ray_cluster_id, energy_sums - e0 as energy_su
 _Q = "partition by ray_event_id, ray_cluster_id"
 
 
+_PEAKS = f"""with {_H}, {_C}, j as (select c.*, x, y, z, e from c join h using (event_id, point_idx)),
+r as (select event_id, cluster_id, sum(e) as esum, arg_min(x, track_pos) as x, arg_min(y, track_pos) as y, arg_min(z, track_pos) as z from j where x is not null and y is not null and z is not null group by all),
+k as (select event_id, cluster_id, sum(e) as esum from j group by all)
+select event_id, coalesce(bool_or(abs(k.esum * (1 - 0.0845 * (z / nullif(sqrt(x*x + y*y + z*z), 0))) / sqrt(1 - 0.0845**2) - 0.5) < 0.1), false) as in_peak from k left join r using (event_id, cluster_id) group by event_id"""
+
+
 def _select(where: str) -> str:
     return _S + f""", k as (select *, row_number() over ({_Q} order by s, row_id) as r1, row_number() over ({_Q} order by s desc, row_id) as r2, min(s) over ({_Q}) as lo from s0)
 select row_id, ray_event_id, ray_cluster_id, s from k where {where}"""
@@ -288,11 +355,11 @@ g as (select h.*, max(a.ts) over (order by h.ts) as anchor from h left join a on
 select anchor as coincidence_ts, count(*) as n_hits, max(ts) as last_ts, count(distinct crystal_no) as n_crystals, round(sum(e) filter (e < 1e6), 6) as esum from g group by anchor""",
     "track_energies": f"with {_T} select event_id, cluster_id, n, round(max(esum), 6) as esum, round(max(x) filter (k = 1), 6) as x1, round(max(e) filter (k = 1), 6) as e1, round(max(e) filter (k = 2), 6) as e2 from t6 group by event_id, cluster_id, n",
     "track_turns": f"with {_T} select event_id, cluster_id, k, n, point_idx, {_r('way', 'shell as shell_way', 'cs as cos', 'cerr as cos_err', 'esum', 'energy', 'after as energy_after')}, round(case when loc < 1e6 then loc end, 6) as local from t6",
-    "fom_angle": f"with {_T}, a as (select *, acos(cs) - acos(greatest(case when ct <= 1 then ct end, -1)) as r from t6 where n > 1 and k < n) select event_id, cluster_id, n, round(sqrt(sum(coalesce(case when ct <= 1 then r end, 2*pi())**2) + 0.4 * sum(greatest(0, -1 - ct))) / (n - 1), 6) as fom from a group by event_id, cluster_id, n",
-    "fom_cosine": f"with {_T} select event_id, cluster_id, n, round(sqrt(sum((cs - greatest(ct, -1))**2)) / (n - 1) + 0.4 * sum(case when ct < -1 then 1 else 0 end), 6) as fom from t6 where n > 1 and k < n group by event_id, cluster_id, n",
-    "fom_local": f"with {_T} select event_id, cluster_id, n, round(sum((energy - loc)**2), 6) as fom from t6 where n > 1 and k < n group by event_id, cluster_id, n",
-    "fom_agata": _AGATA + "select event_id, cluster_id, n, round(a, 6) as fom from s",
-    "fom_oft": _AGATA + "select event_id, cluster_id, n, round(exp(-a), 6) as fom from s",
+    "fom_angle": f"with {_T}, a as (select *, acos(cs) - acos(greatest(case when ct <= 1 then ct end, -1)) as r from t6 where n > 1 and k < n) select event_id, cluster_id, n, round(sqrt(sum(coalesce(case when ct <= 1 then r end, 2*pi())**2) + 0.4 * sum(greatest(0, -1 - ct))) / (n - 1), 6) as fom from a group by event_id, cluster_id, n" + _ONE,
+    "fom_cosine": f"with {_T} select event_id, cluster_id, n, round(sqrt(sum((cs - greatest(ct, -1))**2)) / (n - 1) + 0.4 * sum(case when ct < -1 then 1 else 0 end), 6) as fom from t6 where n > 1 and k < n group by event_id, cluster_id, n" + _ONE,
+    "fom_local": f"with {_T} select event_id, cluster_id, n, round(sum((energy - loc)**2), 6) as fom from t6 where n > 1 and k < n group by event_id, cluster_id, n" + _ONE,
+    "fom_agata": _AGATA + "select event_id, cluster_id, n, round(a, 6) as fom from s" + _ONE,
+    "fom_oft": _AGATA + "select event_id, cluster_id, n, round(exp(-a), 6) as fom from s" + _ONE,
     "hit_attenuation": f"""with {_H}, pts(a, fa, b, fb) as (values {", ".join(f"({a}, {fa}, {b}, {fb})" for (a, fa), (b, fb) in zip(P.SINGLES_DEPTH, P.SINGLES_DEPTH[1:]))}),
 q as (select *, {_mu("abs", "e")} as ma, {_mu("compt", "e")} as mc, {_mu("pair", "e")} as mp from h where e > 0 and e < 100)
 select event_id, point_idx, {_r("ma as absorption", "mc as compton", "mp as pair")}, round(ma + mc + mp, 6) as total, round(e / (1 + 2 * e / {P.MEC2}), 6) as edge, round(sqrt(1 + 3.7 * e) / 2.3548 / 1000, 6) as sigma,
@@ -330,10 +397,34 @@ select *, round(n_peak / nullif(n_accepted, 0), 6) as peak_to_total, round(n_acc
 t as (select a.event_id, a.point_idx as i, b.point_idx as j, c.point_idx as k, b.x-a.x as ux, b.y-a.y as uy, b.z-a.z as uz, c.x-b.x as vx, c.y-b.y as vy, c.z-b.z as vz from o a join g b on a.event_id = b.event_id and a.point_idx <> b.point_idx join g c on c.event_id = b.event_id and c.point_idx <> b.point_idx and c.point_idx <> a.point_idx),
 q as (select *, sqrt(ux*ux+uy*uy+uz*uz) as way, sqrt(vx*vx+vy*vy+vz*vz) as nway from t)
 select event_id, i, j, k, round(way, 6) as way, round(case when way * nway = 0 then -1.0::double else greatest(-1, least(1, (ux*vx+uy*vy+uz*vz) / (way * nway))) end, 6) as cos from q""",
-    "peak_events": f"""with {_H}, {_C}, j as (select c.*, x, y, z, e from c join h using (event_id, point_idx)),
-r as (select event_id, cluster_id, sum(e) as esum, arg_min(x, track_pos) as x, arg_min(y, track_pos) as y, arg_min(z, track_pos) as z from j where x is not null and y is not null and z is not null group by all),
-k as (select event_id, cluster_id, sum(e) as esum from j group by all)
-select event_id, coalesce(bool_or(abs(k.esum * (1 - 0.0845 * (z / nullif(sqrt(x*x + y*y + z*z), 0))) / sqrt(1 - 0.0845**2) - 0.5) < 0.1), false) as in_peak from k left join r using (event_id, cluster_id) group by event_id""",
+    "peak_events": _PEAKS,
+    "fom_zeros": f"with {_T} select event_id, cluster_id, n, 0.0::double as fom from t6 group by event_id, cluster_id, n",
+    "known_turns": """select "case", v0::double as "value" from (values ('right 012', -0.6), ('right 201', 0.0), ('right 120', -0.8), ('equal 012', -0.5), ('equal 120', -0.5), ('equal 201', -0.5), ('centred 0', 0.0), ('centred 1', 0.6),
+ ('theta 4 3.5', round(0.19134129, 6)), ('theta 3 2.5', round(0.26177011, 6)), ('theta 2 1.5', round(0.41570088, 6)), ('theta 1 0.5', round(1.05985215, 6)), ('theta 4 0.1', -12.0)) as t("case", v0)""",
+    "pair_distances": f"""with {_H}, q as (select a.event_id, a.point_idx as i, b.point_idx as j, a.x as ax, a.y as ay, a.z as az, sqrt((a.x-b.x)*(a.x-b.x) + (a.y-b.y)*(a.y-b.y) + (a.z-b.z)*(a.z-b.z)) as d, {_ANGLE} as angle,
+ -(a.x*(b.x-a.x) + a.y*(b.y-a.y) + a.z*(b.z-a.z)) as m0 from h a join h b on a.event_id = b.event_id and a.point_idx < b.point_idx where a.x is not null and a.y is not null and a.z is not null and b.x is not null and b.y is not null and b.z is not null),
+w as (select *, m0 / greatest(d, 1e-10) as m from q), v as (select *, sqrt(greatest(m*m - (ax*ax + ay*ay + az*az) + {INNER**2!r}, 0)) as hf from w)
+select event_id, i, j, round(d, 6) as euclidean, round(angle, 6) as angle, round(d - greatest(0, least(d, m + hf) - greatest(0, m - hf)), 6) as material from v""",
+    "hits_outside_peaks": f"with {_H}, pk as ({_PEAKS}) select event_id, point_idx from h where event_id not in (select event_id from pk where in_peak)",
+    "clusters_in_order": _OV.split(", p as (")[0] + """, p as (select event_id, point_idx, crystal_no as p, row_number() over (partition by event_id, crystal_no order by point_idx) as rp from h where crystal_no is not null),
+t as (select event_id, point_idx, cluster_id as t, row_number() over (partition by event_id, cluster_id order by track_pos, point_idx) as rt from c)
+select t.event_id, t.t, bool_and(coalesce(rt = rp, false)) and count(distinct p) = 1 as ordered from t left join p using (event_id, point_idx) group by t.event_id, t.t""",
+    "flattened_tracks": f"""with {_T}, f as (select event_id, cluster_id, k, point_idx, e, sum(case when k = 1 then {INNER} + shell else shell end) over w as along, first_value(x / nullif(sqrt(x*x + y*y + z*z), 0)) over w as ux,
+ first_value(y / nullif(sqrt(x*x + y*y + z*z), 0)) over w as uy, first_value(z / nullif(sqrt(x*x + y*y + z*z), 0)) over w as uz from t6 window w as (partition by event_id, cluster_id order by k rows between unbounded preceding and current row))
+select event_id, cluster_id, k, point_idx, round(e, 6) as e, round(ux * along, 6) as x, round(uy * along, 6) as y, round(uz * along, 6) as z from f""",
+    "join_validity": _OV.split(", p as (")[0] + """, p as (select event_id, point_idx, crystal_no as p from h where crystal_no is not null), t as (select event_id, point_idx, cluster_id as t, row_number() over (partition by event_id, cluster_id order by track_pos, point_idx) as place from c),
+o as (select event_id, p, min(t) as t, count(distinct t) = 1 and count(t) = count(*) as pure, arg_min(place, point_idx) as head, arg_max(place, point_idx) as tail from p left join t using (event_id, point_idx) group by all),
+j as (select a.event_id, a.p as cluster_a, b.p as cluster_b, coalesce(a.pure and b.pure and a.t = b.t, false) as "join", coalesce(b.head = a.tail + 1, false) as follows from o a join o b on a.event_id = b.event_id and a.p <> b.p)
+select event_id, cluster_a, cluster_b, "join", "join" and follows as "end" from j""",
+    "cumulant": """with r as (select distinct event_id, cluster_id, n, esum, fom, tracked from rays where fom is not null and not isnan(fom)), k(t) as (values (0.0), (0.1), (0.25), (0.5), (1.0), (1.85), (5.0))
+select t::double as t, round((count(*) filter (fom < t) + count(*) filter (fom <= t)) / 2.0 / count(*), 6)::double as cumulant from r, k group by t""",
+    "energy_cost": """with r as (select distinct event_id, cluster_id, n, esum, fom, tracked from rays where esum < 1e6 and not isnan(esum)), o as (select event_id, least(abs(esum - 0.5), abs(esum - 0.662), abs(esum - 1.173), abs(esum - 1.332)) as f from r)
+select event_id, count(*) as n_rays, count(*) filter (f < 0.01) as in_peak, round(sum(case when f < 0.01 then 0 else f end), 6)::double as cost from o group by event_id""",
+    "cone_clusters": f"with recursive {_H}, " + _linked("true", f"{_ANGLE} <= 10.0 * pi() / 180") + " select event_id, (dense_rank() over (partition by event_id order by low) - 1)::int as cluster_id, point_idx from l",
+    "packed_hits": f"with recursive {_PACKED}, j as (select * from o join l using (event_id, point_idx)) select event_id, min(point_idx) as point_idx, {', '.join(f'round(sum(e*{c})/sum(e), 6) as {c}' for c in 'xyz')}, round(sum(e), 6) as e, max(j.interaction_type) as interaction_type, count(*) as n_packed, {', '.join(f'arg_min_null({c}, point_idx) as {c}' for c in ('ts', 'crystal_no', 'seg_no'))} from j group by event_id, low",
+    "packed_within_clusters": f"with recursive {_PACKED}, p as (select event_id, point_idx, crystal_no as cl from h where crystal_no is not null), j as (select * from o join l using (event_id, point_idx) left join p using (event_id, point_idx)) select event_id, min(point_idx) as point_idx, {', '.join(f'round(sum(e*{c})/sum(e), 6) as {c}' for c in 'xyz')}, round(sum(e), 6) as e, count(*) as n_packed from j group by event_id, low, cl",
+    "clusters_to_track": f"with recursive {_CONE}, k as (select event_id, point_idx, (dense_rank() over (partition by event_id order by low) - 1)::int as cluster_id from l) select event_id, cluster_id, count(*) as n, count(*) filter (pad > 0) as bad_pads, count(*) <= 8 and count(*) filter (pad > 0) = 0 as tracked from k join h using (event_id, point_idx) group by event_id, cluster_id",
+    "run_statistics": f"with recursive {_CONE}, k as (select event_id, low, count(*) as n, count(*) filter (pad > 0) as bad from l join h using (event_id, point_idx) group by all) select 'pad' as what, pad::varchar as value, count(*) as n from h group by pad union all select 'crystal', crystal_no::varchar, count(*) from h group by crystal_no union all select 'clusters', null, count(*) from k union all select 'tracked clusters', null, count(*) filter (n <= 8 and bad = 0) from k union all select 'clusters with bad pads', null, count(*) filter (bad > 0) from k",
     "hits_of_long_rays": f"with {_H}, {_C}, l as (select event_id, cluster_id from c group by all having count(*) > 3) select distinct event_id, point_idx from h join c using (event_id, point_idx) join l using (event_id, cluster_id)",
     "event_feature_statistics": f"with {_T}, r as (select event_id, cluster_id, n, max(esum) as esum from t6 group by event_id, cluster_id, n) select event_id, count(*) as n_rays, round(sum(esum), 9) as esum_sum, round(avg(esum), 9) as esum_mean, round(min(esum), 9) as esum_min, round(max(esum), 9) as esum_max, sum(n)::bigint as n_sum, round(avg(n), 9) as n_mean, min(n) as n_min, max(n) as n_max from r group by event_id",
     "relative_energies": f"with {_T}, r as (select event_id, cluster_id, n, max(esum) as esum from t6 group by event_id, cluster_id, n) select event_id, cluster_id, round(esum - avg(esum) over (partition by event_id), 9) as esum from r",

@@ -126,7 +126,7 @@ def filtered(lines: Iterable[str]) -> Iterator[Row]:
             event, i = int(p[1]), 0
         elif p[0][0].isdigit() and event is not None:
             i += 1
-            yield _row(event, p[0][0], i, p[3], p[4], p[5], p[2])
+            yield _row(event, int(p[0].rstrip(":")), i, p[3], p[4], p[5], p[2])
 
 
 def raw_steps(lines: Iterable[str]) -> Iterator[Row]:
@@ -150,30 +150,38 @@ GRAMMARS: dict[str, Callable[[Iterable[str]], Iterator[Row]]] = {
 }
 
 
-def _parsed(spark: SparkSession, path: str, parse, schema: str) -> DataFrame:
+#: Words that begin a block of lines which means the same wherever it stands; such files are cut into blocks and read by many tasks.
+BLOCKS = {"crystals": "D", "filtered": "event_id", "raw_steps": "event_id", "emitted": "D"}
+
+
+def _parsed(spark: SparkSession, path: str, parse, schema: str, block: str | None = None) -> DataFrame:
+    """Rows of a grammar. Without a ``block`` word a grammar counts from line to line over its file, so a file is one task's."""
     ship(spark)
     names = [c.split()[0] for c in schema.split(", ")]
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows: list = []
         for pdf in parts:
             for text in pdf["value"]:
-                rows = []
+                if block and text[:1].isspace():  # the separator took the block's first word
+                    text = block + text
                 for r in parse(text.splitlines()):
                     rows.append(r)
                     if len(rows) == 20_000:
                         yield pd.DataFrame(rows, columns=names)
                         rows = []
-                yield pd.DataFrame(rows, columns=names)
+        yield pd.DataFrame(rows, columns=names)
 
-    return spark.read.text(path, wholetext=True).mapInPandas(run, schema)
+    text = spark.read.text(path, lineSep=f"\n{block}") if block else spark.read.text(path, wholetext=True)
+    return text.mapInPandas(run, schema)
 
 
 def read_hits(spark: SparkSession, path: str, grammar: str) -> DataFrame:
-    return _parsed(spark, path, GRAMMARS[grammar], SCHEMA)
+    return _parsed(spark, path, GRAMMARS[grammar], SCHEMA, BLOCKS.get(grammar))
 
 
 def read_emitted(spark: SparkSession, path: str) -> DataFrame:
-    return _parsed(spark, path, emitted, RAYS)
+    return _parsed(spark, path, emitted, RAYS, BLOCKS["emitted"])
 
 
 def read_true_energies(spark: SparkSession, path: str) -> DataFrame:
