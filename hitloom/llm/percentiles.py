@@ -17,17 +17,35 @@ def _rank(n, p):
     return F.greatest(F.lit(1), F.ceil(F.col(p) * F.col(n))).cast("long")
 
 
+def _scale(v):
+    """A rising function of a value inside [lo, hi] that makes it about as fine near 0 as far out."""
+    far = F.signum(v) * F.log1p(F.abs(v))
+    return F.when(F.col("lo") > 0, F.ln(v)).when(F.col("hi") < 0, -F.ln(-v)).otherwise(far)
+
+
+def _section(sections: int):
+    """Which of the sections of [lo, hi] holds ``_v``: by :func:`_scale` if that tells the ends well apart, else by value. lo is in
+    the first and hi in the last, so every pass shrinks an interval."""
+    lo, hi, v = F.col("lo"), F.col("hi"), F.col("_v")
+    wide = _scale(hi) - _scale(lo)
+    # Halved before subtracting, so that the full range of doubles doesn't overflow.
+    share = F.when(wide > 1e-6, (_scale(v) - _scale(lo)) / wide).otherwise((v / 2 - lo / 2) / (hi / 2 - lo / 2))
+    return F.greatest(F.lit(0), F.least(F.lit(sections - 1), F.floor(share * sections))).cast("int")
+
+
 def bisect_percentiles(df: DataFrame, keys: list[str], value: str, percentiles=DEFAULT, sections: int = 256, tolerance: float = 0.0, max_passes: int = 64) -> DataFrame:
     """Percentiles of ``value`` per group: ``keys, p, n, lo, hi``; the true percentile lies in [lo, hi].
 
     For each group and percentile an interval of values is held that contains the target rank. A
     pass cuts every open interval at ``sections - 1`` inner points (2 sections: plain bisection), counts the
     rows below them, and keeps the section that holds the rank, shrunk to the smallest and largest value
-    counted in it. An interval is resolved when it holds one value, or is no wider than ``tolerance``.
+    counted in it. The points are equally far apart in the logarithm (:func:`_scale`) while the interval is wide, so that a few
+    extreme values cost no passes, then in the value. An interval is resolved when it holds one value, or is no wider than ``tolerance``.
     With tolerance 0 ``lo = hi`` is the exact discrete percentile (the value at rank ceil(p n)).
 
     The counts are sums, so partitions combine before the shuffle and a group with most of the rows is
-    never gathered. Each pass after the first reads only the rows inside open intervals. Intervals of
+    never gathered. A pass joins the rows once with the open intervals, of which there are at most as many as groups times percentiles,
+    however many the rows; later passes read only the rows that the pass before found inside. Intervals of
     a group are equal or disjoint, so a row counts in at most one.
 
     Defined cases: null and NaN values are left out; infinities count as values; null keys form
@@ -46,7 +64,7 @@ def bisect_percentiles(df: DataFrame, keys: list[str], value: str, percentiles=D
     state = materialise(state, "state")
     live = rows
     done: list[DataFrame] = []
-    for _ in range(max_passes):
+    for passes in range(max_passes):
         closed = (F.col("lo") == F.col("hi")) | (F.col("hi") - F.col("lo") <= tolerance)
         done.append(state.where(closed).select(*k, "p", "n", "lo", "hi"))
         state = state.where(~closed)
@@ -54,10 +72,12 @@ def bisect_percentiles(df: DataFrame, keys: list[str], value: str, percentiles=D
             break
         cuts = state.select(*k, "lo", "hi").distinct()
         inside = live.alias("r").join(cuts.alias("c"), same("r", "c") & (F.col("_v") >= F.col("lo")) & (F.col("_v") <= F.col("hi"))).select(*[F.col(f"r.{c}") for c in k], "_v", "lo", "hi")
-        # Halved before subtracting, so that the full range of doubles doesn't overflow; monotone in _v.
-        section = F.least(F.lit(sections - 1), F.floor((F.col("_v") / 2 - F.col("lo") / 2) / (F.col("hi") / 2 - F.col("lo") / 2) * sections)).cast("int")
-        inside = inside.withColumn("s", section)
-        counts = inside.groupBy(*k, "lo", "hi", "s").agg(F.count("*").alias("m"), F.min("_v").alias("a"), F.max("_v").alias("b"))
+        if passes:  # all rows are inside in the first pass
+            inside = materialise(inside, "inside")
+            if live is not rows:
+                drop_table(live)
+            live = inside.select(*k, "_v")
+        counts = inside.withColumn("s", _section(sections)).groupBy(*k, "lo", "hi", "s").agg(F.count("*").alias("m"), F.min("_v").alias("a"), F.max("_v").alias("b"))
         w = Window.partitionBy(*k, "lo", "hi").orderBy("s").rowsBetween(Window.unboundedPreceding, Window.currentRow)
         below = counts.withColumn("upto", F.sum("m").over(w)).alias("c")
         held = state.alias("t")
@@ -65,12 +85,6 @@ def bisect_percentiles(df: DataFrame, keys: list[str], value: str, percentiles=D
             below, same("t", "c") & (F.col("t.lo") == F.col("c.lo")) & (F.col("t.hi") == F.col("c.hi")) & (F.col("want") <= F.col("upto")) & (F.col("want") > F.col("upto") - F.col("m"))
         ).select(*[F.col(f"t.{c}") for c in k], "p", "n", (F.col("want") - F.col("upto") + F.col("m")).alias("want"), F.col("a").alias("lo"), F.col("b").alias("hi"))
         state = materialise(state_next, "state")
-        open_ = state.where((F.col("lo") != F.col("hi")) & (F.col("hi") - F.col("lo") > tolerance)).select(*k, "lo", "hi").distinct()
-        nxt = live.alias("r").join(open_.alias("c"), same("r", "c") & (F.col("_v") >= F.col("lo")) & (F.col("_v") <= F.col("hi"))).select(*[F.col(f"r.{c}") for c in k], "_v")
-        nxt = materialise(nxt, "live")
-        if live is not rows:
-            drop_table(live)
-        live = nxt
     else:
         done.append(state.select(*k, "p", "n", "lo", "hi"))
     out = reduce(DataFrame.union, done)
