@@ -123,6 +123,35 @@ def p8_rates(spark: SparkSession, sf: str) -> DataFrame:
     return judged.groupBy("source").agg(F.count("*").alias("n_texts"), F.count_if("cut").alias("n_cut"), (F.count_if("cut") / F.count("*")).alias("cut_rate"))
 
 
+def p5_split_check(spark: SparkSession, sf: str) -> DataFrame:
+    """What must hold of the splits, over all rows: every row once, no event and no known cluster in two splits, shares within a hundredth."""
+    rows = materialise(p5_splits(spark, sf), "splits")
+    leaks = lambda c: rows.where(F.col(c).isNotNull() & (F.col(c) != -1)).groupBy(c).agg(F.count_distinct("split_name").alias("k")).agg(F.count_if(F.col("k") > 1).alias(f"leaking_{c}"))
+    shares = rows.groupBy("split_name").agg(F.count("*").alias("n")).withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy(F.lit("all"))))
+    met = shares.join(table(spark, sf, "split_targets"), "split_name").agg(F.bool_and(F.abs(F.col("share") - F.col("target_share")) <= 0.01).alias("shares_met"))
+    size = rows.agg(F.count("*").alias("n_rows"), F.count_distinct("ray_event_id").alias("n_events"))
+    return size.join(leaks("ray_event_id")).join(leaks("ray_cluster_id")).join(met)  # one row each
+
+
+def p6_check(spark: SparkSession, sf: str) -> DataFrame:
+    """What must hold of the containers of each kind: every document there, none overfull, none cut that fits, little space unused."""
+    packed = materialise(p6_containers(spark, sf), "packed")
+    kinds = table(spark, sf, "container_sizes")
+    docs = packed.groupBy("container_kind", "doc_id").agg(F.count("*").alias("pieces"), F.sum("n_tokens").alias("t")).join(kinds, "container_kind")
+    per = docs.groupBy("container_kind").agg(F.count("*").alias("n_docs"), F.count_if((F.col("pieces") > 1) & (F.col("t") <= F.col("capacity_tokens"))).alias("n_needless_cuts"))
+    fill = K.fill_report(packed, kinds).select("container_kind", (F.col("fullest") <= F.col("capacity_tokens")).alias("none_overfull"), (F.col("fill_rate") > 0.95).alias("well_filled"))
+    return per.join(fill, "container_kind")
+
+
+def p7_check(spark: SparkSession, sf: str) -> DataFrame:
+    """What must hold of each listed source of the mix: no document used too often, and its share (of those of the sources with text) within a hundredth."""
+    s = p7_shares(spark, sf)
+    w = Window.partitionBy(F.lit("listed"))
+    has = F.col("tokens") > 0
+    want = F.when(has, F.col("target_share")) / F.sum(F.when(has, F.col("target_share"))).over(w)
+    return s.select("source", has.alias("has_text"), (F.col("most_repeats") <= F.col("cap")).alias("within_cap"), (F.abs(F.col("reached_share") - F.coalesce(want, F.lit(0.0))) <= 0.01).alias("share_met"))
+
+
 QUERIES = {
     "p2_percentiles": p2_percentiles,
     "p2_days_combined": p2_days_combined,
@@ -132,10 +161,13 @@ QUERIES = {
     "p5_found": p5_found,
     "p5_splits": p5_splits,
     "p5_split_shares": p5_split_shares,
+    "p5_split_check": p5_split_check,
     "p6_containers": p6_containers,
     "p6_fill": p6_fill,
+    "p6_check": p6_check,
     "p7_mix": p7_mix,
     "p7_shares": p7_shares,
+    "p7_check": p7_check,
     "p8_found": p8_found,
     "p8_rates": p8_rates,
 }
@@ -167,4 +199,7 @@ with recursive l as (select distinct ray_event_id as e, ray_cluster_id as c from
 n as (select distinct a.e as x, b.e as y from l a join l b using (c)),
 t(x, y) as (select x, y from n union select t.x, n.y from t join n on t.y = n.x)
 select min(y) as event_id_a, x as event_id_b from t group by x having min(y) <> x""",
+    "p5_split_check": "with r as (select distinct row_id, ray_event_id, ray_cluster_id from training_rows) select count(*) as n_rows, count(distinct ray_event_id) as n_events, 0::bigint as leaking_ray_event_id, 0::bigint as leaking_ray_cluster_id, true as shares_met from r",
+    "p6_check": "select container_kind, (select count(*) from documents) as n_docs, 0::bigint as n_needless_cuts, true as none_overfull, true as well_filled from container_sizes",
+    "p7_check": "select source, exists (select 1 from documents d where d.source = t.source and d.text <> '') as has_text, true as within_cap, true as share_met from source_targets t",
 }

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.window import Window
 
-from hitloom.runtime import materialise
+from hitloom.runtime import drop_table, materialise
 
 #: Contexts as (view of the text, length in bytes read backward from a position).
 CONTEXTS = (("text", 2), ("text", 4), ("text", 8), ("text", 12), ("text", 16), ("shape", 8), ("shape", 12), ("shape", 20))
@@ -256,6 +256,7 @@ def final_log_odds(df: DataFrame, doc: str = "doc_id", text: str = "text", weigh
     inner = texts.select("t").mapInArrow(_count_inner(_filters(ends)), "k int, h long, m long")
     counted = ends.select("k", "h", "n", "d", none.alias("m")).unionByName(inner.select("k", "h", none.alias("n"), none.alias("d"), "m"))
     known = materialise(counted.groupBy("k", "h").agg(F.sum("n").alias("n"), F.sum("d").alias("d"), F.sum("m").alias("m")).where("n > 0 or k = -1"), "known")
+    drop_table(ends)
     base = known.where("k = -1").select("m").first()
     chars = max(1, base["m"] if base else 1)
     size = finals.agg(F.count_distinct("th").alias("ends"), F.count("*").alias("docs")).first()

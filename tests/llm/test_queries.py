@@ -14,6 +14,6 @@ def test_equals_its_sql(spark, name):
     assert mine == theirs
 
 
-@pytest.mark.parametrize("name", sorted(set(Q.QUERIES) - set(Q.SQL)))
-def test_runs(spark, name):
-    assert Q.QUERIES[name](spark, DATA).count() >= 0
+def test_all_others_are_looked_at_row_by_row():
+    """Queries without SQL have their own tests in test_tables."""
+    assert set(Q.QUERIES) - set(Q.SQL) == {"p4_found", "p4_groups", "p5_splits", "p5_split_shares", "p6_containers", "p6_fill", "p7_mix", "p7_shares", "p8_found", "p8_rates"}
