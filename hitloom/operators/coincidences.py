@@ -2,11 +2,41 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from hitloom.operators.sessions import session_starts
 
 
+def _anchored(gap: int):
+    """Rows (shard, start of the chain, time) in order to (shard, time, time of the first hit of its coincidence).
+
+    Within ``gap`` of the chain's start that is the start; only the hits beyond it are folded, one after the other. What a batch
+    hands to the next is one chain and its last anchor, so chains may be of any length.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at: tuple | None = None
+        anchor = 0
+        for b in batches:
+            shard, start, t = b.column(0), b.column(1).to_numpy(), b.column(2).to_numpy()
+            out = start.copy()
+            beyond = np.flatnonzero(t - start >= gap)
+            names = shard.take(pa.array(beyond)).to_pylist()
+            for i, name, s, u in zip(beyond.tolist(), names, start[beyond].tolist(), t[beyond].tolist()):
+                if (name, s) != at:
+                    at, anchor = (name, s), s
+                if u - anchor >= gap:
+                    anchor = u
+                out[i] = anchor
+            yield pa.RecordBatch.from_arrays([shard, b.column(2), pa.array(out)], names=["_shard", b.schema.names[2], "coincidence_ts"])
+
+    return run
+
+
 def coincidences(hits: DataFrame, ts: str = "ts", gap: int = 40, anchored: str = "first", shard: str | None = None) -> DataFrame:
     """Adds ``coincidence_ts``: the time of the first hit of each hit's coincidence.
 
@@ -22,18 +52,10 @@ def coincidences(hits: DataFrame, ts: str = "ts", gap: int = 40, anchored: str =
     if anchored == "last":
         marks = chains.withColumnRenamed("start_ts", "coincidence_ts")
     elif anchored == "first":
-        # Times of a chain in order, folded into pairs (time, time of the first hit).
-        zero = F.struct(F.lit(None).cast("long").alias("a"), F.array().cast("array<struct<t:bigint,a:bigint>>").alias("out"))
-        fold = F.aggregate(
-            F.array_sort(F.collect_list(ts)),
-            zero,
-            lambda acc, t: F.struct(
-                F.when(acc["a"].isNull() | (t - acc["a"] >= gap), t).otherwise(acc["a"]).alias("a"),
-                F.concat(acc["out"], F.array(F.struct(t.alias("t"), F.when(acc["a"].isNull() | (t - acc["a"] >= gap), t).otherwise(acc["a"]).alias("a")))).alias("out"),
-            ),
-            lambda acc: acc["out"],
-        )
-        marks = chains.groupBy("_shard", "start_ts").agg(fold.alias("o")).select("_shard", F.explode("o").alias("o")).select("_shard", F.col("o.t").alias(ts), F.col("o.a").alias("coincidence_ts"))
+        order = ["_shard", "start_ts", ts]
+        kinds = dict(chains.dtypes)
+        schema = f"_shard {kinds['_shard']}, {ts} long, coincidence_ts long"
+        marks = chains.select(*order).repartition("_shard", "start_ts").sortWithinPartitions(*order).mapInArrow(_anchored(gap), schema)
     else:
         raise ValueError(f"unknown anchor {anchored!r}")
     return keyed.join(marks, ["_shard", ts]).drop("_shard")

@@ -132,16 +132,16 @@ def track_features(ordered: DataFrame, wanted: list[str] | None = None, inner: f
     unknown = [w for w in wanted if w.removesuffix("_tango") not in families]
     if unknown:
         raise ValueError(f"unknown features {unknown[:5]}")
-    out = None
-    for start, suffix in (("sum", ""), ("tango", "_tango")):
-        own = [w for w in wanted if w.endswith("_tango") == bool(suffix)]
-        if not own:
-            continue
-        r = T.residuals(T.steps(ordered, start, inner, error_model)).where("n > 1")
-        head = [F.max("n").alias("n"), F.max("esum").alias("esum")] if out is None else []
-        part = r.groupBy(*T.KEY).agg(*head, *[families[w.removesuffix("_tango")].alias(w) for w in own])
-        out = part if out is None else out.join(part, T.KEY)
-    return out
+    own = {x: [w for w in wanted if w.endswith("_tango") == bool(x)] for x in ("", "_tango")}
+    if not own["_tango"]:
+        r = T.residuals(T.steps(ordered, "sum", inner, error_model)).where("n > 1")
+        return r.groupBy(*T.KEY).agg(F.max("n").alias("n"), F.max("esum").alias("esum"), *[families[w].alias(w) for w in wanted])
+    # Both start energies come from the same windows, and both aggregates keep the tracks where they are: one shuffle.
+    r = T.residuals(T.steps(ordered, "both", inner, error_model)).where("n > 1")
+    base = list(dict.fromkeys(w.removesuffix("_tango") for w in wanted))
+    per = r.groupBy(*T.KEY, "suffix").agg(F.max("n").alias("n"), F.max("esum").alias("esum"), *[families[b].alias(b) for b in base])
+    side = lambda w, x: F.max(F.when(F.col("suffix") == x, F.col(f"`{w.removesuffix('_tango')}`"))).alias(w)
+    return per.groupBy(*T.KEY).agg(F.max("n").alias("n"), F.max("esum").alias("esum"), *[side(w, x) for x in ("", "_tango") for w in own[x]])
 
 
 def weighted_features(ordered: DataFrame, weights: dict[str, float], singles: str | None, inner: float, share: float, error_model: str = "default") -> DataFrame:
@@ -149,7 +149,10 @@ def weighted_features(ordered: DataFrame, weights: dict[str, float], singles: st
     f = track_features(ordered, list(weights), inner, error_model)
     score = sum((F.coalesce(F.col(f"`{k}`"), F.lit(0.0)) * w for k, w in weights.items()), F.lit(0.0))
     many = f.select(*T.KEY, "n", "esum", score.alias("fom"))
-    ones = T.steps(ordered, "sum", inner, error_model).where("n = 1").select(*T.KEY, "n", "esum", T._single(singles, inner, share).alias("fom"))
+    # A single hit needs no windows: its way begins at the origin.
+    one = ordered.groupBy(*T.KEY).agg(F.count(F.lit(1)).alias("n"), F.max(F.struct("x", "y", "z", "e")).alias("h")).where("n = 1").select(*T.KEY, "n", "h.*")
+    zero = (F.lit(0.0), F.lit(0.0), F.lit(0.0))
+    ones = one.withColumn("shell_way", G.shell_distance(zero, G.point(), inner)).select(*T.KEY, "n", F.col("e").alias("esum"), T._single(singles, inner, share).alias("fom"))
     return many.unionByName(ones)
 
 

@@ -12,7 +12,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.window import Window
 
-from hitloom.runtime import materialise
+from hitloom.runtime import drop_table, materialise
 
 #: Ticks of 10 ns in a day.
 DAY = 8_640_000_000_000
@@ -44,7 +44,6 @@ def _levels(cells: DataFrame) -> DataFrame:
     crystal and one of many its own gain. ``day`` is null in the crystal's own row. ``sigma`` is the spread of what is left
     after the days' medians. All steps are windows over counts; their size grows with the days, not with the hits.
     """
-    cells = materialise(cells, "cells")
     mid = lambda c: (F.col(c) + 0.5) * CELL
     whole = _middle(cells.groupBy("crystal_no", "cell").agg(F.sum("n").alias("n")), ["crystal_no"], "cell", "m").select("crystal_no", mid("m").alias("med_all"), F.col("n").alias("n_all"))
     daily = _middle(cells.where("day is not null"), ["crystal_no", "day"], "cell", "m").join(whole, "crystal_no").select("crystal_no", "day", ((F.col("n") * mid("m") + PULL * F.col("med_all")) / (F.col("n") + PULL)).alias("med"))
@@ -351,7 +350,9 @@ def scored_readings(
     le = F.when(~impossible, F.ln(F.when(F.col("e") > 0, F.col("e"))))
     day = F.expr(f"ts div {DAY}").alias("day")
     cells = placed.where(~F.col("away") & ~impossible & F.col("e").isNotNull()).groupBy("crystal_no", day, F.floor(le / CELL).alias("cell")).agg(F.count("*").alias("n"))
+    cells = materialise(cells, "cells")
     levels = materialise(_levels(cells), "levels")
+    drop_table(cells)
 
     whole = levels.where("day is null").drop("day", "med")
     daily = levels.where("day is not null").select("crystal_no", "day", "med")
@@ -384,13 +385,16 @@ def scored_readings(
     h = F.pmod(F.xxhash64(F.lit(seed), "event_id", "point_idx"), F.lit(1 << 32))
     drawn = own.where("level is not null").withColumn("h", h).join(whole.select("crystal_no", "n"), "crystal_no").where(F.col("h") * F.col("n") < F.lit(2.0 * train_rows * (1 << 32))).drop("n")
     models = materialise(drawn.groupBy("crystal_no").applyInPandas(_train(trees, sample, train_rows, stuck, seed), _MODEL), "forests")
-    wanted = materialise(own.select("crystal_no", "blk").distinct(), "blocks").join(models, "crystal_no").toDF("source", "block", *[c.split()[0] for c in _MODEL.split(", ")[1:]])
+    blocks = materialise(own.select("crystal_no", "blk").distinct(), "blocks")
+    wanted = blocks.join(models, "crystal_no").toDF("source", "block", *[c.split()[0] for c in _MODEL.split(", ")[1:]])
     scored = (
         full.groupBy("crystal_no", "blk")
         .cogroup(wanted.groupBy("source", "block"))
         .applyInPandas(_score(trees, stuck), "event_id long, point_idx int, crystal_no int, flag tinyint, run_e long, run_x long, score float, plain float, top float, judged boolean")
     )
     scored = materialise(scored, "scored")
+    for t in (levels, feats, models, blocks):
+        drop_table(t)
     return scored.join(score_bars(scored), "crystal_no", "left").drop("top")
 
 

@@ -39,7 +39,8 @@ def steps(ordered: DataFrame, start: str = "sum", inner: float = G.SHELLS["greti
 
     ``start``: energy of the ray: 'sum' of its deposits, 'local' mean of the local estimates, 'weighted' by
     their errors; 'tango' is the larger of the weighted estimate and the sum. ``excess``: an estimate (of a track of three or more
-    hits) is taken only where it lies above the sum by more than the first and less than the second.
+    hits) is taken only where it lies above the sum by more than the first and less than the second. 'both' gives every hit twice, at the sum and
+    at the tango start, with ``suffix`` '' and '_tango', from the same windows.
     """
     w = window()
     whole = Window.partitionBy(*KEY)
@@ -63,19 +64,24 @@ def steps(ordered: DataFrame, start: str = "sum", inner: float = G.SHELLS["greti
     turn = F.col("k") < F.col("n")
     if start == "local":
         first = F.coalesce(F.avg(F.when(turn, F.col("before") + F.col("local"))).over(whole), F.col("esum"))
-    elif start in ("weighted", "tango"):
+    elif start in ("weighted", "tango", "both"):
         weight = F.when(turn, 1 / (F.col("local_sigma") + eres * F.sqrt(F.col("k").cast("double"))))
         first = F.coalesce(F.sum((F.col("before") + F.col("local")) * weight).over(whole) / F.sum(weight).over(whole), F.col("esum"))
-        if start == "tango":
+        if start != "weighted":
             first = F.greatest(first, F.col("esum"))
     elif start != "sum":
         raise ValueError(f"unknown start energy {start!r}")
     if excess is not None:
         over = first - F.col("esum")
         first = F.when((F.col("n") > 2) & (over > excess[0]) & (over < excess[1]), first).otherwise(F.col("esum"))
-    a = a.withColumn("start", first).withColumn("energy", F.col("start") - F.col("before"))
+    if start == "both":
+        modes = F.array(F.struct(F.lit("").alias("suffix"), F.col("esum").alias("start")), F.struct(F.lit("_tango").alias("suffix"), F.col("_first").alias("start")))
+        a = a.withColumn("_first", first).withColumn("_mode", F.explode(modes)).withColumns({"suffix": F.col("_mode.suffix"), "start": F.col("_mode.start")})
+    else:
+        a = a.withColumn("start", first)
+    a = a.withColumn("energy", F.col("start") - F.col("before"))
     a = a.withColumn("energy_after", F.when(turn, F.col("energy") - F.col("e")))
-    return a.select(*KEY, "n", "k", "point_idx", "x", "y", "z", "e", "way", "shell_way", "cos", "omc", "cos_err", "esum", "start", "before", "energy", "energy_after", "local", "local_sigma", "d_e", "d_cos")
+    return a.select(*KEY, "n", "k", "point_idx", "x", "y", "z", "e", "way", "shell_way", "cos", "omc", "cos_err", "esum", "start", "before", "energy", "energy_after", "local", "local_sigma", "d_e", "d_cos", *(["suffix"] if start == "both" else []))
 
 
 def residuals(steps_: DataFrame, extra: int = 0, eres: float = 1e-3) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from hitloom.functions import geometry as G, physics as P
@@ -127,7 +129,7 @@ def q_singles(spark: SparkSession, sf: str) -> DataFrame:
 
 def q_track_features(spark: SparkSession, sf: str) -> DataFrame:
     wanted = ["rsg_mean_1", "rsg_sum_2v", "rsl_norm_2", "rlg_wmean_1v", "c_penalty_sum_1", "rc_sum_1_penalty_removed", "rth_cap_mean_1", "cross_compt_ge_dist_sum", "-log_p_abs_final", "klein-nishina_rel_sum_sum", "first_energy_ratio", "tango_sigma", "rth_cap_mean_1_tango", "-log_klein-nishina_geo_sum_tango"]
-    return X.track_features(_tracks(spark, sf), wanted)
+    return _rounded(X.track_features(_tracks(spark, sf), wanted))
 
 
 def q_all_features(spark: SparkSession, sf: str) -> DataFrame:
@@ -327,6 +329,27 @@ d as (select row_id, ray_event_id, ray_cluster_id, energy_sums - e0 as energy_su
 _Q = "partition by ray_event_id, ray_cluster_id"
 
 
+def _features_sql(start: str) -> str:
+    """CTEs over t6 with the residuals of every turn at a start energy; ``r{suffix}`` has a row per hit of tracks of two or more."""
+    x = "fs" if start == "sum" else "ft"
+    first = "esum" if start == "sum" else "greatest(esum, coalesce(sum(case when k < n then (bef + loc) / (ls + 0.001 * sqrt(k)) end) over q / sum(case when k < n then 1 / (ls + 0.001 * sqrt(k)) end) over q, esum))"
+    return f"""{x}1 as (select *, case when omc <= 0 or e <= 0 then 123456789.0 else 0.5 + 0.5 / nullif(sqrt(greatest(e*e/4 + e*{P.MEC2}/nullif(omc, 0), 0)), 0) * (e/2 + {P.MEC2}/nullif(omc, 0)) end as de,
+ case when omc <= 0 or e <= 0 then 123456789.0 else 0.5 / nullif(sqrt(greatest(e*e/4 + e*{P.MEC2}/nullif(omc, 0), 0)), 0) * (e*{P.MEC2}) / (nullif(omc, 0) * nullif(omc, 0)) end as dc from t6 where n > 1),
+{x}2 as (select *, sqrt((0.001*de)**2 + (cerr*dc)**2) as ls from {x}1),
+{x}3 as (select *, {first} as st from {x}2 window q as (partition by event_id, cluster_id)),
+{x}4 as (select *, st - bef as en, case when k < n then st - bef - e end as af, n - (k - 1) as lft from {x}3),
+{x}5 as (select *, case when k < n then en / (1 + en/{P.MEC2}*omc) end as gm, 1 + {P.MEC2}/en - {P.MEC2}/case when af > 0 then af end as th, {_mu("abs", "en")} as ma, {_mu("compt", "en")} as mc, {_mu("pair", "en")} as mp from {x}4),
+r{x} as (select *, ma + mc + mp as mt, abs(af - gm) as rsg, sqrt(1e-6 * ((gm/en)**4 + lft * (1 - (gm/en)**2)**2) + (cerr * gm**2 / {P.MEC2})**2) as rsg_s, abs(en - loc) as rsl, abs(loc - e - gm) as rlg,
+ sqrt(1e-6 * ((de - 1 - (gm/nullif(af, 0))**2)**2 + lft * (gm/nullif(af, 0))**4) + cerr**2 * (dc - gm**2/{P.MEC2})**2) as rlg_s, abs(cs - th) as rc, case when th < -1 then 1.0::double when th is not null then 0.0::double end as pen,
+ case when k < n then coalesce(abs(acos(cs) - acos(case when th is not null then greatest(th, -1) end)), 2 * pi()) end as rtc,
+ {_kn("af/en")} as kns, {_kn("gm/en")} as kng from {x}5)"""
+
+
+def _kn(ratio: str) -> str:
+    """Klein-Nishina cross-section by polar angle, of a turn."""
+    return f"case when k < n then {math.pi * P.R_0**2!r} * ({ratio}) * (1 + ({ratio}) * (({ratio}) - omc * (2 - omc))) * sqrt(greatest(omc * (2 - omc), 0)) end"
+
+
 _PEAKS = f"""with {_H}, {_C}, j as (select c.*, x, y, z, e from c join h using (event_id, point_idx)),
 r as (select event_id, cluster_id, sum(e) as esum, arg_min(x, track_pos) as x, arg_min(y, track_pos) as y, arg_min(z, track_pos) as z from j where x is not null and y is not null and z is not null group by all),
 k as (select event_id, cluster_id, sum(e) as esum from j group by all)
@@ -425,6 +448,17 @@ select event_id, count(*) as n_rays, count(*) filter (f < 0.01) as in_peak, roun
     "packed_within_clusters": f"with recursive {_PACKED}, p as (select event_id, point_idx, crystal_no as cl from h where crystal_no is not null), j as (select * from o join l using (event_id, point_idx) left join p using (event_id, point_idx)) select event_id, min(point_idx) as point_idx, {', '.join(f'round(sum(e*{c})/sum(e), 6) as {c}' for c in 'xyz')}, round(sum(e), 6) as e, count(*) as n_packed from j group by event_id, low, cl",
     "clusters_to_track": f"with recursive {_CONE}, k as (select event_id, point_idx, (dense_rank() over (partition by event_id order by low) - 1)::int as cluster_id from l) select event_id, cluster_id, count(*) as n, count(*) filter (pad > 0) as bad_pads, count(*) <= 8 and count(*) filter (pad > 0) = 0 as tracked from k join h using (event_id, point_idx) group by event_id, cluster_id",
     "run_statistics": f"with recursive {_CONE}, k as (select event_id, low, count(*) as n, count(*) filter (pad > 0) as bad from l join h using (event_id, point_idx) group by all) select 'pad' as what, pad::varchar as value, count(*) as n from h group by pad union all select 'crystal', crystal_no::varchar, count(*) from h group by crystal_no union all select 'clusters', null, count(*) from k union all select 'tracked clusters', null, count(*) filter (n <= 8 and bad = 0) from k union all select 'clusters with bad pads', null, count(*) filter (bad > 0) from k",
+    "track_features": f"""with {_T}, {_features_sql("sum")}, {_features_sql("tango")},
+a as (select event_id, cluster_id, n, max(esum) as esum, sum(rsg) / (n - 1) as rsg_mean_1, sum((rsg/rsg_s)**2) as rsg_sum_2v, sqrt(sum(case when k < n then rsl**2 end)) / n as rsl_norm_2, sum(rlg/rlg_s) / sum(case when k < n then 1/rlg_s end) as rlg_wmean_1v,
+ sum(case when k < n then pen end) as c_penalty_sum_1, sum(rc * (1 - pen)) as rc_sum_1_penalty_removed, sum(rtc) / (n - 1) as rth_cap_mean_1, sum(mc * shell) as cross_compt_ge_dist_sum, max(-ln(ma/mt)) filter (k = n) as pf, sum(kns / (mc / {P.RANGE!r})) as kn,
+ max(e) filter (k = 1) / max(esum) as first_energy_ratio, stddev_pop(loc) as tango_sigma from rfs group by event_id, cluster_id, n),
+b as (select event_id, cluster_id, sum(rtc) / (n - 1) as rt, sum(-ln(case when kng > 0 then kng * {P.RANGE!r} end)) as kg from rft group by event_id, cluster_id, n)
+select event_id, cluster_id, n, {_r("esum", "rsg_mean_1", "rsg_sum_2v", "rsl_norm_2", "rlg_wmean_1v", "c_penalty_sum_1", "rc_sum_1_penalty_removed", "rth_cap_mean_1", "cross_compt_ge_dist_sum", "first_energy_ratio", "tango_sigma", "rt as rth_cap_mean_1_tango")},
+ round(pf, 6) as "-log_p_abs_final", round(kn, 6) as "klein-nishina_rel_sum_sum", round(kg, 6) as "-log_klein-nishina_geo_sum_tango" from a join b using (event_id, cluster_id)""",
+    "fom_selected": f"""with {_T}, {_features_sql("sum")}, {_features_sql("tango")}, w(a1, a2, a3, a4, a5, a6, a7, b1, b2, b3, b4) as (values ({", ".join(repr(w) for _, w in T.SELECTED)})),
+a as (select event_id, cluster_id, n, sum(rsg) / (n - 1) as f1, sum(case when k < n then pen end) as f2, sum(rc * (1 - pen)) as f3, max(-ln(ma/mt)) filter (k = n) as f4, sum(mc * shell) as f5, max(-ln(mc/mt)) as f6, sum(kns / (mc / {P.RANGE!r})) as f7 from rfs group by event_id, cluster_id, n),
+b as (select event_id, cluster_id, sum(rtc) / (n - 1) as g1, avg(mc * shell) as g2, sum(-ln(case when kng > 0 then kng / (mc / {P.RANGE!r}) end)) as g3, sum(-ln(case when kng > 0 then kng * {P.RANGE!r} end)) as g4 from rft group by event_id, cluster_id, n)
+select event_id, cluster_id, n, round(0.0 + coalesce(f1*a1, 0) + coalesce(f2*a2, 0) + coalesce(f3*a3, 0) + coalesce(f4*a4, 0) + coalesce(f5*a5, 0) + coalesce(f6*a6, 0) + coalesce(f7*a7, 0) + coalesce(g1*b1, 0) + coalesce(g2*b2, 0) + coalesce(g3*b3, 0) + coalesce(g4*b4, 0), 6) as fom from a join b using (event_id, cluster_id), w""" + _ONE,
     "hits_of_long_rays": f"with {_H}, {_C}, l as (select event_id, cluster_id from c group by all having count(*) > 3) select distinct event_id, point_idx from h join c using (event_id, point_idx) join l using (event_id, cluster_id)",
     "event_feature_statistics": f"with {_T}, r as (select event_id, cluster_id, n, max(esum) as esum from t6 group by event_id, cluster_id, n) select event_id, count(*) as n_rays, round(sum(esum), 9) as esum_sum, round(avg(esum), 9) as esum_mean, round(min(esum), 9) as esum_min, round(max(esum), 9) as esum_max, sum(n)::bigint as n_sum, round(avg(n), 9) as n_mean, min(n) as n_min, max(n) as n_max from r group by event_id",
     "relative_energies": f"with {_T}, r as (select event_id, cluster_id, n, max(esum) as esum from t6 group by event_id, cluster_id, n) select event_id, cluster_id, round(esum - avg(esum) over (partition by event_id), 9) as esum from r",
