@@ -201,7 +201,7 @@ def pair_distances(hits: DataFrame, inner: float = G.SHELLS["gretina"][0]) -> Da
     return a.join(b, "event_id").where("i < j").select("event_id", "i", "j", G.distance(p, q).alias("euclidean"), G.angle_distance(p, q).alias("angle"), G.shell_distance(p, q, inner).alias("material"))
 
 
-def triple_angles(hits: DataFrame, inner: float = G.SHELLS["gretina"][0], error_model: str = "default", eres: float = 1e-3, max_hits: int = 60) -> DataFrame:
+def triple_angles(hits: DataFrame, inner: float = G.SHELLS["gretina"][0], error_model: str = "default", eres: float = 1e-3, max_hits: int = 300) -> DataFrame:
     """For every way i -> j -> k over the origin (0) and the hits of an event: turn, its error, and the local energy estimate at j.
 
     ``event_id, i, j, k, way, shell_way, cos, cos_err, local, d_e, d_cos, local_sigma``. There are n cubed of them, so events of more

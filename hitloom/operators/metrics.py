@@ -116,3 +116,22 @@ def energy_cost(rays: DataFrame, energies: list[float], width: float = 0.002) ->
     off = F.array_min(F.array(*[F.abs(F.col("esum") - v) for v in energies]))
     a = rays.where("esum is not null and not isnan(esum)").withColumn("off", off)
     return a.groupBy("event_id").agg(F.count(F.lit(1)).alias("n_rays"), F.count_if(F.col("off") < width).alias("in_peak"), F.sum(F.when(F.col("off") < width, 0.0).otherwise(F.col("off"))).alias("cost"))
+
+
+def transitions(ordered: DataFrame, length: int = 2) -> DataFrame:
+    """``event_id, cluster_id, step, p0, p1, ...``: the hits that follow each other in every track, ``length`` at a time, from the origin (0)."""
+    w = Window.partitionBy("event_id", "cluster_id").orderBy("track_pos", "point_idx")
+    zero = ordered.select("event_id", "cluster_id").distinct().select("event_id", "cluster_id", F.lit(-(2**31)).cast("long").alias("track_pos"), F.lit(0).alias("point_idx"))
+    path = ordered.select("event_id", "cluster_id", F.col("track_pos").cast("long").alias("track_pos"), "point_idx").unionByName(zero)
+    rows = path.select("event_id", "cluster_id", (F.row_number().over(w) - 1).alias("step"), *[F.lead("point_idx", k).over(w).alias(f"p{k}") if k else F.col("point_idx").alias("p0") for k in range(length)])
+    return rows.where(F.col(f"p{length - 1}").isNotNull())
+
+
+def hit_relations(true: DataFrame) -> DataFrame:
+    """``event_id, i, j, same, follows``: for each two hits of an event whether they share a true cluster and whether j comes right after i in it."""
+    place = F.row_number().over(Window.partitionBy("event_id", "cluster_id").orderBy("track_pos", "point_idx"))
+    t = true.select("event_id", "cluster_id", "point_idx", "track_pos").withColumn("place", place)
+    side = lambda n, h: t.select("event_id", F.col("cluster_id").alias(f"c{n}"), F.col("point_idx").alias(h), F.col("place").alias(f"k{n}"))
+    j = side("a", "i").join(side("b", "j"), "event_id").where("i <> j")
+    same = F.col("ca") == F.col("cb")
+    return j.groupBy("event_id", "i", "j").agg(F.bool_or(same).alias("same"), F.bool_or(same & (F.col("kb") == F.col("ka") + 1)).alias("follows"))

@@ -279,3 +279,51 @@ def backward_rays(hits: DataFrame, width: int = 3, stride: int = 1, e_min: float
             yield pd.DataFrame(rows, columns=["event_id", "cluster_id", "track_pos", "point_idx"]).astype({"cluster_id": "Int32", "track_pos": "Int32"})
 
     return events.mapInPandas(run, "event_id long, cluster_id int, track_pos int, point_idx int")
+
+
+def ordered_partitions(items: list[int]) -> Iterator[list[list[int]]]:
+    """Every way to part items into lists: the clusterings of an event with an order in each cluster; clusters in no order.
+
+    Each item in turn is put at every place of every list there is, or begins a list. There are 4,596,553 for nine items; they come one
+    by one.
+    """
+    if not items:
+        yield []
+        return
+    last = items[-1]
+    for lists in ordered_partitions(items[:-1]):
+        for k, one in enumerate(lists):
+            for at in range(len(one) + 1):
+                yield [*lists[:k], [*one[:at], last, *one[at:]], *lists[k + 1 :]]
+        yield [*lists, [last]]
+
+
+def best_partition(hits: DataFrame, method: str = "angle", single: float = 0.5, max_hits: int = 6, inner: float = G.SHELLS["gretina"][0]) -> DataFrame:
+    """``event_id, cluster_id, track_pos, point_idx``: of all ordered partitions of an event the one of least total figure of merit.
+
+    A cluster of one hit weighs ``single``. Events of more than ``max_hits`` hits give a row without cluster, place and hit, so that none is
+    passed over in silence.
+    """
+    h = hits.select("event_id", "point_idx", "x", "y", "z", "e").where("x is not null and y is not null and z is not null and e > 0 and not isnan(e)").dropDuplicates(["event_id", "point_idx"])
+    events = per_event(h, ["event_id"], ["point_idx", "x", "y", "z", "e"], ["point_idx"])
+
+    def best(x: np.ndarray, e: np.ndarray) -> list[list[int]]:
+        value = {}
+        for m in range(1, len(e) + 1):  # figures of all lists of one length at once
+            lists = _perms(len(e), m)
+            v = np.full(len(lists), single) if m == 1 else scores(x[lists], e[lists], e[lists].sum(1), method, inner)
+            value |= dict(zip(map(tuple, lists.tolist()), np.where(np.isnan(v), 1e9, v).tolist()))
+        return min(ordered_partitions(list(range(len(e)))), key=lambda p: (sum(value[tuple(c)] for c in p), len(p)))
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in parts:
+            rows = []
+            for r in pdf.itertuples(index=False):
+                if len(r.e) > max_hits:
+                    rows.append((r.event_id, None, None, None))
+                    continue
+                found = sorted(best(np.stack([r.x, r.y, r.z], 1).astype(float), np.asarray(r.e, float)), key=min)
+                rows += [(r.event_id, c, k, r.point_idx[i]) for c, one in enumerate(found) for k, i in enumerate(one)]
+            yield pd.DataFrame(rows, columns=["event_id", "cluster_id", "track_pos", "point_idx"]).astype({"cluster_id": "Int32", "track_pos": "Int32", "point_idx": "Int32"})
+
+    return events.mapInPandas(run, "event_id long, cluster_id int, track_pos int, point_idx int")

@@ -387,3 +387,29 @@ def transition_costs(hits: DataFrame, inner: float = G.SHELLS["gretina"][0]) ->
                     yield pd.DataFrame({"event_id": r.event_id, "i": idx[i], "j": idx[j], "k": idx[k]} | {c: t[i, j, k, m] for m, c in enumerate(TRANSITIONS)})
 
     return arrays.mapInPandas(run, "event_id long, i int, j int, k int, " + ", ".join(f"{c} double" for c in TRANSITIONS))
+
+
+def classified_clusters(hits: DataFrame, weights: tuple[float, ...], bias: float, cutoff: float = 0.5, inner: float = G.SHELLS["gretina"][0]) -> DataFrame:
+    """``event_id, cluster_id, point_idx``: :func:`predicted_clusters` of every event by a logistic score of two clusters, the first's end
+    against the second's start.
+
+    ``weights`` of the least, largest and mean material way between their hits, the way from end to start, the angle between their centres and
+    their energies' sum.
+    """
+
+    def run(p: np.ndarray, e: np.ndarray) -> np.ndarray:
+        way, angle = L.material_matrix(p, inner), L.distances(p, "great_circle", 0.0)
+
+        def features(a: list[int], b: list[int]) -> np.ndarray:
+            w = way[np.ix_(a, b)]
+            return np.array([w.min(), w.max(), w.mean(), way[a[-1], b[0]], angle[np.ix_(a, b)].mean(), e[a + b].sum()])
+
+        def score(x: np.ndarray) -> np.ndarray:
+            return 1 / (1 + np.exp(-(x @ np.asarray(weights) + bias)))
+
+        lab = np.zeros(len(e), np.int32)
+        for k, c in enumerate(sorted(predicted_clusters(len(e), features, score, cutoff), key=min)):
+            lab[c] = k
+        return lab
+
+    return _labelled(hits, run)

@@ -201,12 +201,28 @@ def convert_file(spark: SparkSession, source: str, target: str) -> None:
     B.write_frames(B.encode_tracked(rays, cm=False), target, "overwrite")
 
 
+def _rays_of(full: DataFrame) -> DataFrame:
+    """Hits of decoded rays in order, in cm and MeV."""
+    p = full.select(F.col("offset").alias("event_id"), F.col("ray_no").alias("cluster_id"), F.posexplode("points").alias("track_pos", "p"))
+    return p.select("event_id", "cluster_id", "track_pos", F.col("track_pos").alias("point_idx"), *[(F.col(f"p.{c}") / 10.0).alias(c) for c in "xyz"], (F.col("p.e") / 1000.0).alias("e"))
+
+
 def rescored_file(spark: SparkSession, source: str, method: str = "oft", singles: str | None = "depth", detector: str = "gretina") -> DataFrame:
     """``event_id, cluster_id, n, esum, fom`` of the rays of a tracked file with all hits, scored anew."""
     full = B.decode_tracked_full(B.frames(spark, source, B.TYPE_TRACKED_FULL))
-    p = full.select(F.col("offset").alias("event_id"), F.col("ray_no").alias("cluster_id"), F.posexplode("points").alias("track_pos", "p"))
-    o = p.select("event_id", "cluster_id", "track_pos", F.col("track_pos").alias("point_idx"), *[(F.col(f"p.{c}") / 10.0).alias(c) for c in "xyz"], (F.col("p.e") / 1000.0).alias("e"))
-    return T.figures_of_merit(o, method, singles, SHELLS[detector][0])
+    return T.figures_of_merit(_rays_of(full), method, singles, SHELLS[detector][0])
+
+
+def rescore_file(spark: SparkSession, source: str, target: str, options: Options | None = None) -> None:
+    """A tracked file with all hits to one with the figures of merit of ``options``; order, hits and marks stay."""
+    o = options or Options()
+    full = B.decode_tracked_full(B.frames(spark, source, B.TYPE_TRACKED_FULL))
+    weights = _weights(o.score_method, o.score_model)
+    new = T.figures_of_merit(_rays_of(full), "feature" if weights else o.score_method, o.singles, SHELLS[o.detector][0], weights=weights).select("event_id", "cluster_id", F.col("fom").alias("new"))
+    pts = F.transform("points", lambda p: F.struct(p["x"].alias("x"), p["y"].alias("y"), p["z"].alias("z"), p["e"].alias("e"), (F.col("timestamp") + p["dt"]).alias("ts"), p["crystal_no"].alias("crystal_no"), p["energy_factor"].alias("energy_factor")))
+    rays = full.select(F.col("offset").alias("event_id"), F.col("ray_no").alias("cluster_id"), "esum", "fom", "tracked", F.col("timestamp").alias("ts"), "crystal_no", pts.alias("points"))
+    rays = rays.join(new, ["event_id", "cluster_id"], "left").withColumn("fom", F.coalesce("new", "fom"))
+    B.write_frames(B.encode_tracked(rays, full=o.full_output, cm=False, untracked=o.untracked), target, "overwrite")
 
 
 def statistics(rays: DataFrame) -> DataFrame:
@@ -216,14 +232,17 @@ def statistics(rays: DataFrame) -> DataFrame:
 
 def main(argv: list[str] | None = None) -> None:
     p = argparse.ArgumentParser(prog="hitloom")
-    p.add_argument("command", choices=["track", "convert"])
+    p.add_argument("command", choices=["track", "convert", "rescore"])
     p.add_argument("source")
     p.add_argument("target")
     p.add_argument("options", nargs="?")
     a = p.parse_args(argv)
     spark = SparkSession.builder.appName("hitloom").getOrCreate()
+    options = Options.load(a.options) if a.options else None
     if a.command == "track":
-        track_file(spark, a.source, a.target, Options.load(a.options) if a.options else None)
+        track_file(spark, a.source, a.target, options)
+    elif a.command == "rescore":
+        rescore_file(spark, a.source, a.target, options)
     else:
         convert_file(spark, a.source, a.target)
 

@@ -69,7 +69,7 @@ def coincidences(anchored: str):
     def run(spark: SparkSession, sf: str) -> DataFrame:
         h = _hits(spark, sf).where("ts is not null")
         c = C.coincidences(h, gap=40, anchored=anchored)
-        return _rounded(c.groupBy("coincidence_ts").agg(F.count(F.lit(1)).alias("n_hits"), F.max("ts").alias("last_ts"), F.count_distinct("crystal_no").alias("n_crystals"), F.sum(F.when(F.col("e") < 1e6, F.col("e"))).alias("esum")))
+        return _rounded(c.groupBy("coincidence_ts").agg(F.count(F.lit(1)).alias("n_hits"), F.max("ts").alias("last_ts"), F.count_distinct("crystal_no").alias("n_crystals"), F.sum("e").alias("esum")))
 
     return run
 
@@ -114,12 +114,12 @@ def metric(f):
 
 def q_turns(spark: SparkSession, sf: str) -> DataFrame:
     s = T.steps(_tracks(spark, sf), "sum", INNER)
-    return _rounded(s.select("event_id", "cluster_id", "k", "n", "point_idx", "way", "shell_way", "cos", "cos_err", "esum", "energy", "energy_after", F.when(F.col("local") < 1e6, F.col("local")).alias("local")))
+    return _rounded(s.select("event_id", "cluster_id", "k", "n", "point_idx", "way", "shell_way", "cos", "cos_err", "esum", "energy", "energy_after", "local"))
 
 
 def q_attenuation(spark: SparkSession, sf: str) -> DataFrame:
     e = F.col("e")
-    h = _hits(spark, sf).where("e > 0 and e < 100")
+    h = _hits(spark, sf).where("e > 0")
     return _rounded(h.select("event_id", "point_idx", P.mu_absorption(e).alias("absorption"), P.mu_compton(e).alias("compton"), P.mu_pair(e).alias("pair"), P.mu_total(e).alias("total"), P.edge_outgoing(e).alias("edge"), P.energy_sigma(e).alias("sigma"), P.single_depth(G.norm(G.point()), e, INNER).alias("depth_fom")))
 
 
@@ -159,7 +159,7 @@ def q_lost(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES = {
     "clean_hits": lambda s, d: _rounded(E.without_low_energy(_hits(s, d), 0.01).select("event_id", "point_idx", "new_idx", "e")),
     "removed_reindexed": q_lost,
-    "merged_collisions": lambda s, d: _rounded(C.merged_collisions(_hits(s, d).where("x is not null and e is not null and e < 1e6").select("event_id", "x", "y", "z", "e", "point_idx"), ["event_id"])),
+    "merged_collisions": lambda s, d: _rounded(C.merged_collisions(_hits(s, d).where("x is not null and e is not null").select("event_id", "x", "y", "z", "e", "point_idx"), ["event_id"])),
     "coincidences_first": coincidences("first"),
     "coincidences_last": coincidences("last"),
     "track_energies": lambda s, d: _rounded(T.track_energies(_tracks(s, d)).select("event_id", "cluster_id", "n", "esum", F.col("first_hit.x").alias("x1"), F.col("first_hit.e").alias("e1"), F.col("second_hit.e").alias("e2"))),
@@ -175,16 +175,23 @@ QUERIES = {
     "fom_angle_estimated": fom("angle", start="local", excess=T.EXCESS),
     "known_turns": q_known_turns,
     "join_validity": q_validity,
+    "track_transitions": lambda s, d: M.transitions(_clusters(s, d), 2),
+    "track_triples": lambda s, d: M.transitions(_clusters(s, d), 3),
+    "hit_relations": lambda s, d: M.hit_relations(_clusters(s, d)),
+    "best_partition": lambda s, d: O.best_partition(_hits(s, d)),
+    "classified_clusters": lambda s, d: S.classified_clusters(_hits(s, d), (-0.4, -0.05, -0.1, -0.2, -3.0, 0.1), 2.5),
+    "margin_weights": lambda s, d: s.createDataFrame([{k: float(v) for k, v in R.margin_weights(_relative(s, d), FEATURES).items()}]),
+    "hits_in_detector": lambda s, d: _hits(s, d).where("x is not null").select("event_id", "point_idx", G.Detector.of("GRETINA").holds(G.point()).alias("inside")),
     "cumulant": lambda s, d: _rounded(M.resampled_cumulant(_rays(s, d), "fom", [0.0, 0.1, 0.25, 0.5, 1.0, 1.85, 5.0])),
-    "energy_cost": lambda s, d: _rounded(M.energy_cost(_rays(s, d).where("esum < 1e6"), [0.5, 0.662, 1.173, 1.332], 0.01)),
+    "energy_cost": lambda s, d: _rounded(M.energy_cost(_rays(s, d), [0.5, 0.662, 1.173, 1.332], 0.01)),
     "energy_paths": lambda s, d: S.energy_paths(_hits(s, d), [0.5, 0.662, 1.173, 1.332], 0.3, 8.0),
     "backward_rays": lambda s, d: O.backward_rays(_hits(s, d)),
     "cheapest_clusters": lambda s, d: S.cheapest_clusters(_hits(s, d)),
     "transition_costs": lambda s, d: S.transition_costs(_hits(s, d)),
     "clusters_to_track": lambda s, d: PL.found_clusters(E.distinct_hits(PL.clean(_with_pads(s, d), PL.Options())))[1],
     "run_statistics": lambda s, d: PL.run_statistics(_with_pads(s, d)),
-    "packed_within_clusters": lambda s, d: _rounded(E.packed(_hits(s, d).where("e > 0 and e < 1e6 and not isnan(e)"), 0.5, _predicted(s, d)).select("event_id", "point_idx", "x", "y", "z", "e", "n_packed")),
-    "twice_ordered_rays": lambda s, d: _rounded(PL.track(_with_pads(s, d).where("e < 1000"), PL.Options(order_method="oft", second_order=True)).select("event_id", "cluster_id", "n", "esum", "fom", "tracked", "ts")),
+    "packed_within_clusters": lambda s, d: _rounded(E.packed(_hits(s, d).where("e > 0 and not isnan(e)"), 0.5, _predicted(s, d)).select("event_id", "point_idx", "x", "y", "z", "e", "n_packed")),
+    "twice_ordered_rays": lambda s, d: _rounded(PL.track(_with_pads(s, d), PL.Options(order_method="oft", second_order=True)).select("event_id", "cluster_id", "n", "esum", "fom", "tracked", "ts")),
     "hit_attenuation": q_attenuation,
     "single_features": q_singles,
     "track_features": q_track_features,
@@ -202,7 +209,7 @@ QUERIES = {
     "linkage_average": lambda s, d: E.linkage_clusters(_hits(s, d), alpha=8.0, metric="euclidean", method="average"),
     "linkage_germanium": lambda s, d: E.linkage_clusters(_hits(s, d), alpha=4.0, metric="germanium", method="complete", time_gap=40),
     "linkage_directional": lambda s, d: E.linkage_clusters(_hits(s, d), alpha=8.0, metric="euclidean", method="directional", max_length=8),
-    "packed_hits": lambda s, d: _rounded(E.packed(_hits(s, d).where("e > 0 and e < 1e6 and not isnan(e)"), 0.5).select("event_id", "point_idx", "x", "y", "z", "e", "interaction_type", "n_packed", "ts", "crystal_no", "seg_no")),
+    "packed_hits": lambda s, d: _rounded(E.packed(_hits(s, d).where("e > 0 and not isnan(e)"), 0.5).select("event_id", "point_idx", "x", "y", "z", "e", "interaction_type", "n_packed", "ts", "crystal_no", "seg_no")),
     "smeared_hits": lambda s, d: E.smeared(_hits(s, d)),
     "rotated_hits": lambda s, d: E.rotated(_hits(s, d), ["event_id"]),
     "flattened_tracks": lambda s, d: _rounded(E.flattened(_tracks(s, d))),
@@ -222,7 +229,7 @@ QUERIES = {
     "captured_clusters": metric(M.captured),
     "recovered_clusters": metric(M.recovered),
     "clusters_in_order": lambda s, d: M.in_order(_predicted(s, d), _clusters(s, d)),
-    "spectrum": lambda s, d: _rounded(M.spectrum(_rays(s, d).where("esum < 1e6"), 0.01)),
+    "spectrum": lambda s, d: _rounded(M.spectrum(_rays(s, d), 0.01)),
     "peak_to_total": lambda s, d: _rounded(M.peak_to_total(_rays(s, d), [0.25, 0.5, 1.0, 1.85], (0.4, 0.6))),
     "rank_relative": lambda s, d: _rounded(_relative(s, d)),
     "rank_relative_unit": q_relative_normal,
@@ -243,7 +250,7 @@ QUERIES = {
     "energy_clusters": lambda s, d: S.energy_clusters(_hits(s, d), [0.5, 0.662, 1.173, 1.332]),
     "dendrogram_peaks": lambda s, d: S.peak_clusters(_hits(s, d), [0.5, 0.662, 1.173, 1.332], 0.01),
     "training_orders": lambda s, d: N.order_rows(_hits(s, d), _clusters(s, d), ["rsg_mean_1", "c_penalty_sum_1", "rc_sum_1", "rth_cap_mean_1_tango"]),
-    "tracked_rays": lambda s, d: PL.track(_with_pads(s, d).where("e < 1000")).select("event_id", "cluster_id", "n", "esum", "fom", "tracked", "ts"),
+    "tracked_rays": lambda s, d: PL.track(_with_pads(s, d)).select("event_id", "cluster_id", "n", "esum", "fom", "tracked", "ts"),
 }
 
 # --- SQL ---------------------------------------------------------------------------------------
@@ -306,7 +313,7 @@ _PADS = """h as (select event_id, point_idx, h.x as x, h.y as y, h.z as z, h.e a
   (select event_id, point_idx, min({'x': x, 'y': y, 'z': z, 'e': e, 'ts': ts, 'crystal_no': crystal_no, 'seg_no': seg_no, 'interaction_type': interaction_type, 'pad': pad}) as h
    from interactions where e > 0 and not isnan(e) and (x is null or not isnan(x)) and (y is null or not isnan(y)) and (z is null or not isnan(z)) group by event_id, point_idx))"""
 _CONE = f"{_PADS}, " + _linked("true", f"{_ANGLE} <= 20.0 * pi() / 180 and abs(a.ts - b.ts) < 40")
-_PACKED = _H.replace("min(seg_no) as seg_no", "min(seg_no) as seg_no, min(interaction_type) as interaction_type") + ", " + _linked("e > 0 and e < 1e6 and not isnan(e)", "sqrt((a.x-b.x)**2 + (a.y-b.y)**2 + (a.z-b.z)**2) <= 0.5")
+_PACKED = _H.replace("min(seg_no) as seg_no", "min(seg_no) as seg_no, min(interaction_type) as interaction_type") + ", " + _linked("e > 0 and not isnan(e)", "sqrt((a.x-b.x)**2 + (a.y-b.y)**2 + (a.z-b.z)**2) <= 0.5")
 
 
 _AGATA = f"""with {_T},
@@ -368,23 +375,23 @@ def _r(*cols: str) -> str:
 SQL = {
     "clean_hits": f"with {_H} select event_id, point_idx, row_number() over (partition by event_id order by point_idx) as new_idx, {_r('e')} from h where e > 0.01",
     "removed_reindexed": f"with {_H}, {_C}, w as (select event_id, point_idx, row_number() over (partition by event_id order by point_idx) as new_idx from h where e > 0.05) select event_id, cluster_id, track_pos, new_idx as point_idx from c join w using (event_id, point_idx)",
-    "merged_collisions": f"with {_H} select event_id, {_r('x', 'y', 'z')}, round(sum(e), 6) as e, min(point_idx) as point_idx from h where x is not null and e is not null and e < 1e6 group by event_id, h.x, h.y, h.z",
-    "coincidences_last": f"with {_H}, d as (select *, case when ts - lag(ts) over (order by ts) < 40 then 0 else 1 end as b from h where ts is not null), g as (select *, sum(b) over (order by ts) as g from d) select min(ts) as coincidence_ts, count(*) as n_hits, max(ts) as last_ts, count(distinct crystal_no) as n_crystals, round(sum(e) filter (e < 1e6), 6) as esum from g group by g",
+    "merged_collisions": f"with {_H} select event_id, {_r('x', 'y', 'z')}, round(sum(e), 6) as e, min(point_idx) as point_idx from h where x is not null and e is not null group by event_id, h.x, h.y, h.z",
+    "coincidences_last": f"with {_H}, d as (select *, case when ts - lag(ts) over (order by ts) < 40 then 0 else 1 end as b from h where ts is not null), g as (select *, sum(b) over (order by ts) as g from d) select min(ts) as coincidence_ts, count(*) as n_hits, max(ts) as last_ts, count(distinct crystal_no) as n_crystals, round(sum(e), 6) as esum from g group by g",
     "coincidences_first": f"""with recursive {_H}, d as (select distinct ts from h where ts is not null),
 n as (select ts, min(ts) over (order by ts range between 40 following and unbounded following) as nxt from d),
 b as (select ts from (select ts, lag(ts) over (order by ts) as p from d) where p is null or ts - p >= 40),
 a(ts) as (select ts from b union select n.nxt from a join n using (ts) where n.nxt is not null),
 g as (select h.*, max(a.ts) over (order by h.ts) as anchor from h left join a on a.ts = h.ts where h.ts is not null)
-select anchor as coincidence_ts, count(*) as n_hits, max(ts) as last_ts, count(distinct crystal_no) as n_crystals, round(sum(e) filter (e < 1e6), 6) as esum from g group by anchor""",
+select anchor as coincidence_ts, count(*) as n_hits, max(ts) as last_ts, count(distinct crystal_no) as n_crystals, round(sum(e), 6) as esum from g group by anchor""",
     "track_energies": f"with {_T} select event_id, cluster_id, n, round(max(esum), 6) as esum, round(max(x) filter (k = 1), 6) as x1, round(max(e) filter (k = 1), 6) as e1, round(max(e) filter (k = 2), 6) as e2 from t6 group by event_id, cluster_id, n",
-    "track_turns": f"with {_T} select event_id, cluster_id, k, n, point_idx, {_r('way', 'shell as shell_way', 'cs as cos', 'cerr as cos_err', 'esum', 'energy', 'after as energy_after')}, round(case when loc < 1e6 then loc end, 6) as local from t6",
+    "track_turns": f"with {_T} select event_id, cluster_id, k, n, point_idx, {_r('way', 'shell as shell_way', 'cs as cos', 'cerr as cos_err', 'esum', 'energy', 'after as energy_after')}, round(loc, 6) as local from t6",
     "fom_angle": f"with {_T}, a as (select *, acos(cs) - acos(greatest(case when ct <= 1 then ct end, -1)) as r from t6 where n > 1 and k < n) select event_id, cluster_id, n, round(sqrt(sum(coalesce(case when ct <= 1 then r end, 2*pi())**2) + 0.4 * sum(greatest(0, -1 - ct))) / (n - 1), 6) as fom from a group by event_id, cluster_id, n" + _ONE,
     "fom_cosine": f"with {_T} select event_id, cluster_id, n, round(sqrt(sum((cs - greatest(ct, -1))**2)) / (n - 1) + 0.4 * sum(case when ct < -1 then 1 else 0 end), 6) as fom from t6 where n > 1 and k < n group by event_id, cluster_id, n" + _ONE,
     "fom_local": f"with {_T} select event_id, cluster_id, n, round(sum((energy - loc)**2), 6) as fom from t6 where n > 1 and k < n group by event_id, cluster_id, n" + _ONE,
     "fom_agata": _AGATA + "select event_id, cluster_id, n, round(a, 6) as fom from s" + _ONE,
     "fom_oft": _AGATA + "select event_id, cluster_id, n, round(exp(-a), 6) as fom from s" + _ONE,
     "hit_attenuation": f"""with {_H}, pts(a, fa, b, fb) as (values {", ".join(f"({a}, {fa}, {b}, {fb})" for (a, fa), (b, fb) in zip(P.SINGLES_DEPTH, P.SINGLES_DEPTH[1:]))}),
-q as (select *, {_mu("abs", "e")} as ma, {_mu("compt", "e")} as mc, {_mu("pair", "e")} as mp from h where e > 0 and e < 100)
+q as (select *, {_mu("abs", "e")} as ma, {_mu("compt", "e")} as mc, {_mu("pair", "e")} as mp from h where e > 0)
 select event_id, point_idx, {_r("ma as absorption", "mc as compton", "mp as pair")}, round(ma + mc + mp, 6) as total, round(e / (1 + 2 * e / {P.MEC2}), 6) as edge, round(sqrt(1 + 3.7 * e) / 2.3548 / 1000, 6) as sigma,
 case when sqrt(x*x + y*y + z*z) - {INNER} > coalesce((select fa + (e - a) * ((fb - fa) / (b - a)) from pts where e > a and e <= b), {P.SINGLES_DEPTH[-1][1]}) then 1.85::double else 0.0::double end as depth_fom from q""",
     "single_features": f"""with {_T}, pts(a, fa, b, fb) as (values {", ".join(f"({a}, {fa}, {b}, {fb})" for (a, fa), (b, fb) in zip(P.SINGLES_DEPTH, P.SINGLES_DEPTH[1:]))}),
@@ -412,7 +419,7 @@ select event_id, p, arg_min(t, (cost, t)) as best_t, min(cost) as mismatch from
 select event_id, t, sum(n)::bigint as n, count(*) > 1 as split_up, bool_or(mixed) as joined, not (count(*) > 1) and not bool_or(mixed) as correct from o join x using (event_id, p) group by event_id, t""",
     "recovered_clusters": _OV + """, x as (select event_id, p, count(*) > 1 as mixed from o group by all), y as (select event_id, t, not (count(*) > 1) and not bool_or(mixed) as correct from o join x using (event_id, p) group by event_id, t)
 select event_id, count(*) as n_true, count(*) filter (correct) as n_recovered, bool_and(correct) as all_match from y group by event_id""",
-    "spectrum": "with r as (select distinct event_id, cluster_id, n, esum, fom, tracked from rays where esum < 1e6 and not (not isfinite(esum))) select floor(esum / 0.01)::bigint as bin, round(floor(esum / 0.01)::bigint * 0.01::double, 6) as low, count(*) as n from r group by 1",
+    "spectrum": "with r as (select distinct event_id, cluster_id, n, esum, fom, tracked from rays where esum is not null and not isnan(esum)) select floor(esum / 0.01)::bigint as bin, round(floor(esum / 0.01)::bigint * 0.01::double, 6) as low, count(*) as n from r group by 1",
     "peak_to_total": """with r as (select distinct event_id, cluster_id, n, esum, fom, tracked from rays where fom is not null and not (not isfinite(fom)) and esum is not null), k(cut) as (values (0.25), (0.5), (1.0), (1.85)),
 g as (select cut::double as cut, count(*) filter (fom <= cut and esum >= 0.4 and esum <= 0.6) as n_peak, count(*) filter (fom <= cut) as n_accepted, count(*) as n_all from r, k group by cut)
 select *, round(n_peak / nullif(n_accepted, 0), 6) as peak_to_total, round(n_accepted / n_all, 6) as efficiency from g""",
@@ -441,7 +448,7 @@ j as (select a.event_id, a.p as cluster_a, b.p as cluster_b, coalesce(a.pure and
 select event_id, cluster_a, cluster_b, "join", "join" and follows as "end" from j""",
     "cumulant": """with r as (select distinct event_id, cluster_id, n, esum, fom, tracked from rays where fom is not null and not isnan(fom)), k(t) as (values (0.0), (0.1), (0.25), (0.5), (1.0), (1.85), (5.0))
 select t::double as t, round((count(*) filter (fom < t) + count(*) filter (fom <= t)) / 2.0 / count(*), 6)::double as cumulant from r, k group by t""",
-    "energy_cost": """with r as (select distinct event_id, cluster_id, n, esum, fom, tracked from rays where esum < 1e6 and not isnan(esum)), o as (select event_id, least(abs(esum - 0.5), abs(esum - 0.662), abs(esum - 1.173), abs(esum - 1.332)) as f from r)
+    "energy_cost": """with r as (select distinct event_id, cluster_id, n, esum, fom, tracked from rays where esum is not null and not isnan(esum)), o as (select event_id, least(abs(esum - 0.5), abs(esum - 0.662), abs(esum - 1.173), abs(esum - 1.332)) as f from r)
 select event_id, count(*) as n_rays, count(*) filter (f < 0.01) as in_peak, round(sum(case when f < 0.01 then 0 else f end), 6)::double as cost from o group by event_id""",
     "cone_clusters": f"with recursive {_H}, " + _linked("true", f"{_ANGLE} <= 10.0 * pi() / 180") + " select event_id, (dense_rank() over (partition by event_id order by low) - 1)::int as cluster_id, point_idx from l",
     "packed_hits": f"with recursive {_PACKED}, j as (select * from o join l using (event_id, point_idx)) select event_id, min(point_idx) as point_idx, {', '.join(f'round(sum(e*{c})/sum(e), 6) as {c}' for c in 'xyz')}, round(sum(e), 6) as e, max(j.interaction_type) as interaction_type, count(*) as n_packed, {', '.join(f'arg_min_null({c}, point_idx) as {c}' for c in ('ts', 'crystal_no', 'seg_no'))} from j group by event_id, low",
@@ -459,6 +466,10 @@ select event_id, cluster_id, n, {_r("esum", "rsg_mean_1", "rsg_sum_2v", "rsl_nor
 a as (select event_id, cluster_id, n, sum(rsg) / (n - 1) as f1, sum(case when k < n then pen end) as f2, sum(rc * (1 - pen)) as f3, max(-ln(ma/mt)) filter (k = n) as f4, sum(mc * shell) as f5, max(-ln(mc/mt)) as f6, sum(kns / (mc / {P.RANGE!r})) as f7 from rfs group by event_id, cluster_id, n),
 b as (select event_id, cluster_id, sum(rtc) / (n - 1) as g1, avg(mc * shell) as g2, sum(-ln(case when kng > 0 then kng / (mc / {P.RANGE!r}) end)) as g3, sum(-ln(case when kng > 0 then kng * {P.RANGE!r} end)) as g4 from rft group by event_id, cluster_id, n)
 select event_id, cluster_id, n, round(0.0 + coalesce(f1*a1, 0) + coalesce(f2*a2, 0) + coalesce(f3*a3, 0) + coalesce(f4*a4, 0) + coalesce(f5*a5, 0) + coalesce(f6*a6, 0) + coalesce(f7*a7, 0) + coalesce(g1*b1, 0) + coalesce(g2*b2, 0) + coalesce(g3*b3, 0) + coalesce(g4*b4, 0), 6) as fom from a join b using (event_id, cluster_id), w""" + _ONE,
+    "track_transitions": f"with {_C}, p as (select event_id, cluster_id, track_pos, point_idx from c union all select distinct event_id, cluster_id, -2147483648, 0 from c), q as (select event_id, cluster_id, row_number() over w - 1 as step, point_idx as p0, lead(point_idx) over w as p1 from p window w as (partition by event_id, cluster_id order by track_pos, point_idx)) select * from q where p1 is not null",
+    "track_triples": f"with {_C}, p as (select event_id, cluster_id, track_pos, point_idx from c union all select distinct event_id, cluster_id, -2147483648, 0 from c), q as (select event_id, cluster_id, row_number() over w - 1 as step, point_idx as p0, lead(point_idx) over w as p1, lead(point_idx, 2) over w as p2 from p window w as (partition by event_id, cluster_id order by track_pos, point_idx)) select * from q where p2 is not null",
+    "hit_relations": f"with {_C}, t as (select *, row_number() over (partition by event_id, cluster_id order by track_pos, point_idx) as k from c) select a.event_id, a.point_idx as i, b.point_idx as j, bool_or(a.cluster_id = b.cluster_id) as same, bool_or(a.cluster_id = b.cluster_id and b.k = a.k + 1) as follows from t a join t b on a.event_id = b.event_id and a.point_idx <> b.point_idx group by all",
+    "hits_in_detector": f"with {_H} select event_id, point_idx, sqrt(x*x + y*y + z*z) between {G.SHELLS['gretina'][0]} and {G.SHELLS['gretina'][1]} as inside from h where x is not null",
     "hits_of_long_rays": f"with {_H}, {_C}, l as (select event_id, cluster_id from c group by all having count(*) > 3) select distinct event_id, point_idx from h join c using (event_id, point_idx) join l using (event_id, cluster_id)",
     "event_feature_statistics": f"with {_T}, r as (select event_id, cluster_id, n, max(esum) as esum from t6 group by event_id, cluster_id, n) select event_id, count(*) as n_rays, round(sum(esum), 9) as esum_sum, round(avg(esum), 9) as esum_mean, round(min(esum), 9) as esum_min, round(max(esum), 9) as esum_max, sum(n)::bigint as n_sum, round(avg(n), 9) as n_mean, min(n) as n_min, max(n) as n_max from r group by event_id",
     "relative_energies": f"with {_T}, r as (select event_id, cluster_id, n, max(esum) as esum from t6 group by event_id, cluster_id, n) select event_id, cluster_id, round(esum - avg(esum) over (partition by event_id), 9) as esum from r",

@@ -138,3 +138,46 @@ def test_large_events_are_clustered(spark):
     h = spark.createDataFrame(rows, HITS)
     for df in (S.energy_clusters(h, [0.5, 1.332]), S.peak_clusters(h, [0.5, 1.332])):
         assert {r["event_id"]: r["count"] for r in df.groupBy("event_id").count().collect()} == {1: 10, 2: 17, 3: 55}
+
+
+def test_ordered_partitions_are_all_there():
+    for n, count in ((0, 1), (1, 1), (2, 3), (3, 13), (4, 73), (5, 501), (6, 4051)):
+        every = [tuple(sorted(map(tuple, p))) for p in O.ordered_partitions(list(range(n)))]
+        assert len(every) == len(set(every)) == count and all(sorted(i for c in p for i in c) == list(range(n)) for p in every)
+
+
+def test_best_partition_against_all_and_large_events_are_told(spark):
+    rng = np.random.default_rng(3)
+    rows = [(ev, i, *(rng.normal(size=3) * 2 + [20, 0, 0]).tolist(), float(rng.uniform(0.1, 0.5)), 0, 1, 1, 1) for ev, n in ((1, 4), (2, 7)) for i in range(1, n + 1)]
+    got = O.best_partition(spark.createDataFrame(rows, HITS)).collect()
+    assert [(r["cluster_id"], r["point_idx"]) for r in got if r["event_id"] == 2] == [(None, None)]
+    x, e = np.array([r[2:5] for r in rows[:4]]), np.array([r[5] for r in rows[:4]])
+    fom = lambda c: 0.5 if len(c) == 1 else float(O.scores(x[None, c], e[None, c], np.array([e[c].sum()]), "angle", 18.5)[0])
+    mine = {}
+    for r in sorted((r for r in got if r["event_id"] == 1), key=lambda r: r["track_pos"]):
+        mine.setdefault(r["cluster_id"], []).append(r["point_idx"] - 1)
+    assert sum(map(fom, mine.values())) == pytest.approx(min(sum(map(fom, p)) for p in O.ordered_partitions([0, 1, 2, 3])))
+
+
+def test_paths_packings_and_backward_rays_of_events(spark):
+    e0, e1 = 0.8, 0.35
+    cos = 1 - 0.51099895 * (1 / (e0 - e1) - 1 / e0)
+    b = np.array([20.0, 0, 0]) + 2 * np.array([cos, np.sqrt(1 - cos**2), 0])
+    rows = [(1, 3, 20.0, 0.0, 0.0, e1, 0, 1, 1, 1), (1, 5, *map(float, b), e0 - e1, 0, 1, 1, 1), (1, 9, 0.0, 0.0, 25.0, 0.1, 0, 1, 1, 1), (2, 1, None, 0.0, 0.0, 0.2, 0, 1, 1, 1)]
+    h = spark.createDataFrame(rows + rows[:1], HITS)
+    got = [tuple(r) for r in S.energy_paths(h, [e0, 0.1], 0.01, 10.0).orderBy("energy", "path_no", "track_pos").collect()]
+    assert got == [(1, 0.1, 0, 0, 9), (1, 0.8, 0, 0, 3), (1, 0.8, 0, 1, 5)]
+    lab = {r["point_idx"]: r["cluster_id"] for r in S.cheapest_clusters(h).collect()}
+    assert set(lab) == {3, 5, 9} and lab[3] == lab[5] != lab[9]
+    back = S.transition_costs(h).collect()
+    assert len(back) == 3 * 2 + 3 * 2 * 1 and {r["i"] for r in back} == {0, 3, 5, 9} and all(r["j"] not in (0, r["i"], r["k"]) for r in back)
+    rays = O.backward_rays(h, e_min=0.05, e_max=0.5).collect()
+    assert sorted(r["point_idx"] for r in rays) == [3, 5, 9]
+    near = S.classified_clusters(h, (-1.0, 0, 0, 0, 0, 0), 5.0).collect()
+    assert {r["point_idx"]: r["cluster_id"] for r in near} == {3: 0, 5: 0, 9: 1}
+
+
+def test_set_packing_of_many_hits():
+    n = 40
+    cand = {(i,): 1.0 for i in range(n)} | {(i, i + 1): 0.3 for i in range(0, n, 2)} | {(i, i + 1): 0.9 for i in range(1, n - 1, 2)}
+    assert S.set_packing(n, cand) == [(i, i + 1) for i in range(0, n, 2)]

@@ -246,3 +246,23 @@ def test_column_generation_ends_with_no_new_row(spark, monkeypatch):
     w = R.column_generation(rel, list("abcd"), iterations=20)
     last = {r["row_id"] for r in R.selected_rows(rel.withColumn("s", R.score(w)), "neg").collect()}
     assert last <= fits[-1] and len(fits) > 2 and all(x < y for x, y in zip(fits, fits[1:]))
+
+
+def test_margin_weights_separate_and_prefer_what_tells(spark):
+    rng = np.random.default_rng(1)
+    rows = [(float(abs(rng.normal()) + 1), float(rng.normal()), float(rng.normal() * 5)) for _ in range(400)]
+    w = R.margin_weights(spark.createDataFrame(rows, "a double, b double, c double"), ["a", "b", "c"], iterations=40)
+    assert w["a"] > 0.5 and w["a"] > 5 * w["b"] and min(w.values()) >= 0
+    assert R.margin_weights(spark.createDataFrame([], "a double"), ["a"]) == {"a": 0.0}
+
+
+def test_tables_of_cross_sections(spark):
+    e = F.lit(0.5)
+    assert value(spark, P.edge_interpolated(e, [(0.1, 1.0), (1.0, 10.0)], [(0.1, 2.0), (1.0, 20.0)], 0.4)) == pytest.approx(10.0)
+    assert value(spark, P.edge_interpolated(F.lit(0.2), [(0.1, 1.0), (1.0, 10.0)], [(0.1, 2.0), (1.0, 20.0)], 0.4)) == pytest.approx(2.0)
+    pair = [(x, (1 - 1.022007 / x) ** 3 * x) for x in (1.5, 2.0, 4.0)]
+    assert value(spark, P.pair_interpolated(F.lit(1.0), pair)) == 0 and value(spark, P.pair_interpolated(F.lit(3.0), pair)) == pytest.approx((1 - 1.022007 / 3) ** 3 * 3, rel=1e-6)
+    d = G.Detector.of("AGATA", "soederstroem")
+    assert (d.inner, d.outer) == (23.5, 32.5) and value(spark, d.position_error(F.lit(0.1))) == pytest.approx(0.89)
+    with pytest.raises(ValueError):
+        G.Detector.of("none")

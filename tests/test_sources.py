@@ -59,6 +59,10 @@ def test_raw_to_tracked_and_back(spark, tmp_path):
     PL.convert_file(spark, out, short)
     t = B.decode_tracked(B.frames(spark, short, 3)).collect()
     assert len(t) == 100 and sum(r["second_hit"] is not None for r in t) == 50
+    PL.rescore_file(spark, out, str(tmp_path / "new"), PL.Options(full_output=True, score_method="zeros"))
+    new = B.decode_tracked_full(B.frames(spark, str(tmp_path / "new"), 33)).collect()
+    strip = lambda r: (r["esum"], r["ndet"], r["timestamp"], r["crystal_no"], [tuple(p) for p in r["points"]])
+    assert {r["fom"] for r in new} == {0.0} and sorted(map(strip, new)) == sorted(map(strip, full))
     again = {(r["event_id"], r["cluster_id"]): r["fom"] for r in PL.rescored_file(spark, out).collect()}
     for r in full:
         assert again[r["offset"], r["ray_no"]] == pytest.approx(r["fom"], rel=1e-3, abs=1e-6)
