@@ -157,11 +157,14 @@ def track(hits: DataFrame, options: Options | None = None) -> DataFrame:
 
 
 def run_statistics(hits: DataFrame, options: Options | None = None) -> DataFrame:
-    """``what, value, n``: hits by pad and by crystal, and clusters found, as counted while tracking; rare values have rows of their own."""
+    """``what, value, n``: hits by pad and by crystal, clusters found, and events left out for their size, as counted while tracking."""
     h = E.distinct_hits(clean(hits, options or Options()))
     _, kinds = found_clusters(h, options)
     by = lambda what: h.groupBy(F.lit(what.split("_")[0]).alias("what"), F.col(what).cast("string").alias("value")).agg(F.count(F.lit(1)).alias("n"))
-    total = kinds.agg(F.count(F.lit(1)).alias("clusters"), F.count_if("tracked").alias("tracked clusters"), F.count_if(F.col("bad_pads") > 0).alias("clusters with bad pads"))
+    most = (options or Options()).max_hits
+    sizes = h.where("x is not null and y is not null and z is not null").groupBy("event_id").agg(F.count(F.lit(1)).alias("m"))
+    left_out = sizes.agg(F.lit(1).alias("one"), F.count(F.lit(1)).alias("events"), F.count_if(F.col("m") > most).alias("events left out"))
+    total = kinds.agg(F.lit(1).alias("one"), F.count(F.lit(1)).alias("clusters"), F.count_if("tracked").alias("tracked clusters"), F.count_if(F.col("bad_pads") > 0).alias("clusters with bad pads")).join(left_out, "one").drop("one")
     rows = total.select(F.explode(F.array(*[F.struct(F.lit(c).alias("what"), F.lit(None).cast("string").alias("value"), F.col(f"`{c}`").alias("n")) for c in total.columns])).alias("r")).select("r.*")
     return by("pad").unionByName(by("crystal_no")).unionByName(rows)
 

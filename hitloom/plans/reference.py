@@ -7,7 +7,7 @@ import math
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from hitloom.functions import geometry as G, physics as P
-from hitloom.operators import coincidences as C, events as E, features as X, metrics as M, ordering as O, programs as S, ranking as R, tracks as T, training as N
+from hitloom.operators import classes as K, coincidences as C, events as E, features as X, metrics as M, ordering as O, programs as S, ranking as R, tracks as T, training as N
 from hitloom.plans import pipeline as PL
 from hitloom.runtime import table
 
@@ -78,6 +78,17 @@ def fom(method: str, **kw):
     return lambda spark, sf: _rounded(T.figures_of_merit(_tracks(spark, sf), method, **kw).select("event_id", "cluster_id", "n", "fom"))
 
 
+def _merges(spark: SparkSession, sf: str) -> DataFrame:
+    """Hits that follow each other in a ray, and those of one segment, as merges."""
+    from pyspark.sql.window import Window
+
+    ray = Window.partitionBy("event_id", "cluster_id").orderBy("track_pos", "point_idx")
+    seg = Window.partitionBy("event_id", "crystal_no", "seg_no").orderBy("point_idx")
+    a = _clusters(spark, sf).select("event_id", F.lag("point_idx").over(ray).alias("a"), F.col("point_idx").alias("b"))
+    b = _hits(spark, sf).where("crystal_no is not null and seg_no is not null").select("event_id", F.lag("point_idx").over(seg).alias("a"), F.col("point_idx").alias("b"))
+    return a.unionByName(b).where("a is not null").distinct()
+
+
 def q_known_turns(spark: SparkSession, sf: str) -> DataFrame:
     """Turns, centred cosines and angles from energies of the textbook triangles."""
     pt = lambda *v: tuple(F.lit(float(x)) for x in v)
@@ -175,6 +186,9 @@ QUERIES = {
     "fom_angle_estimated": fom("angle", start="local", excess=T.EXCESS),
     "known_turns": q_known_turns,
     "join_validity": q_validity,
+    "merged_classes": lambda s, d: K.merged_classes(_hits(s, d), _merges(s, d)),
+    "class_sizes": lambda s, d: K.class_sizes(K.merged_classes(_hits(s, d), _merges(s, d)), 2),
+    "in_same_class": lambda s, d: K.in_same_class(_merges(s, d).select("event_id", "a", (F.col("b") + 1).alias("b")), K.merged_classes(_hits(s, d), _merges(s, d))),
     "track_transitions": lambda s, d: M.transitions(_clusters(s, d), 2),
     "track_triples": lambda s, d: M.transitions(_clusters(s, d), 3),
     "hit_relations": lambda s, d: M.hit_relations(_clusters(s, d)),
@@ -312,6 +326,11 @@ _ANGLE = f"case when {_NA} * {_NB} > 0 then acos(greatest(-1, least(1, (a.x*b.x
 _PADS = """h as (select event_id, point_idx, h.x as x, h.y as y, h.z as z, h.e as e, h.ts as ts, h.crystal_no as crystal_no, h.pad as pad from
   (select event_id, point_idx, min({'x': x, 'y': y, 'z': z, 'e': e, 'ts': ts, 'crystal_no': crystal_no, 'seg_no': seg_no, 'interaction_type': interaction_type, 'pad': pad}) as h
    from interactions where e > 0 and not isnan(e) and (x is null or not isnan(x)) and (y is null or not isnan(y)) and (z is null or not isnan(z)) group by event_id, point_idx))"""
+_CLASSES = f"""{_H}, {_C}, m as (select distinct event_id, a, b from (select event_id, lag(point_idx) over (partition by event_id, cluster_id order by track_pos, point_idx) as a, point_idx as b from c
+  union all select event_id, lag(point_idx) over (partition by event_id, crystal_no, seg_no order by point_idx), point_idx from h where crystal_no is not null and seg_no is not null) where a is not null),
+pr as (select m.event_id, m.a as i, m.b as j from m join h x on x.event_id = m.event_id and x.point_idx = m.a join h y on y.event_id = m.event_id and y.point_idx = m.b union select m.event_id, m.b, m.a from m join h x on x.event_id = m.event_id and x.point_idx = m.a join h y on y.event_id = m.event_id and y.point_idx = m.b),
+rc(event_id, i, j) as (select event_id, i, j from pr union select rc.event_id, rc.i, pr.j from rc join pr on rc.event_id = pr.event_id and rc.j = pr.i),
+l as (select h.event_id, h.point_idx, min(least(h.point_idx, coalesce(rc.j, h.point_idx))) as low from h left join rc on rc.event_id = h.event_id and rc.i = h.point_idx group by h.event_id, h.point_idx)"""
 _CONE = f"{_PADS}, " + _linked("true", f"{_ANGLE} <= 20.0 * pi() / 180 and abs(a.ts - b.ts) < 40")
 _PACKED = _H.replace("min(seg_no) as seg_no", "min(seg_no) as seg_no, min(interaction_type) as interaction_type") + ", " + _linked("e > 0 and not isnan(e)", "sqrt((a.x-b.x)**2 + (a.y-b.y)**2 + (a.z-b.z)**2) <= 0.5")
 
@@ -454,7 +473,7 @@ select event_id, count(*) as n_rays, count(*) filter (f < 0.01) as in_peak, roun
     "packed_hits": f"with recursive {_PACKED}, j as (select * from o join l using (event_id, point_idx)) select event_id, min(point_idx) as point_idx, {', '.join(f'round(sum(e*{c})/sum(e), 6) as {c}' for c in 'xyz')}, round(sum(e), 6) as e, max(j.interaction_type) as interaction_type, count(*) as n_packed, {', '.join(f'arg_min_null({c}, point_idx) as {c}' for c in ('ts', 'crystal_no', 'seg_no'))} from j group by event_id, low",
     "packed_within_clusters": f"with recursive {_PACKED}, p as (select event_id, point_idx, crystal_no as cl from h where crystal_no is not null), j as (select * from o join l using (event_id, point_idx) left join p using (event_id, point_idx)) select event_id, min(point_idx) as point_idx, {', '.join(f'round(sum(e*{c})/sum(e), 6) as {c}' for c in 'xyz')}, round(sum(e), 6) as e, count(*) as n_packed from j group by event_id, low, cl",
     "clusters_to_track": f"with recursive {_CONE}, k as (select event_id, point_idx, (dense_rank() over (partition by event_id order by low) - 1)::int as cluster_id from l) select event_id, cluster_id, count(*) as n, count(*) filter (pad > 0) as bad_pads, count(*) <= 8 and count(*) filter (pad > 0) = 0 as tracked from k join h using (event_id, point_idx) group by event_id, cluster_id",
-    "run_statistics": f"with recursive {_CONE}, k as (select event_id, low, count(*) as n, count(*) filter (pad > 0) as bad from l join h using (event_id, point_idx) group by all) select 'pad' as what, pad::varchar as value, count(*) as n from h group by pad union all select 'crystal', crystal_no::varchar, count(*) from h group by crystal_no union all select 'clusters', null, count(*) from k union all select 'tracked clusters', null, count(*) filter (n <= 8 and bad = 0) from k union all select 'clusters with bad pads', null, count(*) filter (bad > 0) from k",
+    "run_statistics": f"with recursive {_CONE}, k as (select event_id, low, count(*) as n, count(*) filter (pad > 0) as bad from l join h using (event_id, point_idx) group by all) select 'pad' as what, pad::varchar as value, count(*) as n from h group by pad union all select 'crystal', crystal_no::varchar, count(*) from h group by crystal_no union all select 'clusters', null, count(*) from k union all select 'tracked clusters', null, count(*) filter (n <= 8 and bad = 0) from k union all select 'clusters with bad pads', null, count(*) filter (bad > 0) from k union all select 'events', null, count(distinct event_id) from o union all select 'events left out', null, count(*) from (select event_id from o group by event_id having count(*) > 300)",
     "track_features": f"""with {_T}, {_features_sql("sum")}, {_features_sql("tango")},
 a as (select event_id, cluster_id, n, max(esum) as esum, sum(rsg) / (n - 1) as rsg_mean_1, sum((rsg/rsg_s)**2) as rsg_sum_2v, sqrt(sum(case when k < n then rsl**2 end)) / n as rsl_norm_2, sum(rlg/rlg_s) / sum(case when k < n then 1/rlg_s end) as rlg_wmean_1v,
  sum(case when k < n then pen end) as c_penalty_sum_1, sum(rc * (1 - pen)) as rc_sum_1_penalty_removed, sum(rtc) / (n - 1) as rth_cap_mean_1, sum(mc * shell) as cross_compt_ge_dist_sum, max(-ln(ma/mt)) filter (k = n) as pf, sum(kns / (mc / {P.RANGE!r})) as kn,
@@ -470,6 +489,9 @@ select event_id, cluster_id, n, round(0.0 + coalesce(f1*a1, 0) + coalesce(f2*a2,
     "track_triples": f"with {_C}, p as (select event_id, cluster_id, track_pos, point_idx from c union all select distinct event_id, cluster_id, -2147483648, 0 from c), q as (select event_id, cluster_id, row_number() over w - 1 as step, point_idx as p0, lead(point_idx) over w as p1, lead(point_idx, 2) over w as p2 from p window w as (partition by event_id, cluster_id order by track_pos, point_idx)) select * from q where p2 is not null",
     "hit_relations": f"with {_C}, t as (select *, row_number() over (partition by event_id, cluster_id order by track_pos, point_idx) as k from c) select a.event_id, a.point_idx as i, b.point_idx as j, bool_or(a.cluster_id = b.cluster_id) as same, bool_or(a.cluster_id = b.cluster_id and b.k = a.k + 1) as follows from t a join t b on a.event_id = b.event_id and a.point_idx <> b.point_idx group by all",
     "hits_in_detector": f"with {_H} select event_id, point_idx, sqrt(x*x + y*y + z*z) between {G.SHELLS['gretina'][0]} and {G.SHELLS['gretina'][1]} as inside from h where x is not null",
+    "merged_classes": f"with recursive {_CLASSES} select event_id, point_idx, low as representative from l",
+    "class_sizes": f"with recursive {_CLASSES} select event_id, low as representative, count(*) as size from l group by event_id, low having count(*) > 1",
+    "in_same_class": f"with recursive {_CLASSES} select m.event_id, m.a, m.b + 1 as b, coalesce(x.low = y.low, false) as same from m left join l x on x.event_id = m.event_id and x.point_idx = m.a left join l y on y.event_id = m.event_id and y.point_idx = m.b + 1",
     "hits_of_long_rays": f"with {_H}, {_C}, l as (select event_id, cluster_id from c group by all having count(*) > 3) select distinct event_id, point_idx from h join c using (event_id, point_idx) join l using (event_id, cluster_id)",
     "event_feature_statistics": f"with {_T}, r as (select event_id, cluster_id, n, max(esum) as esum from t6 group by event_id, cluster_id, n) select event_id, count(*) as n_rays, round(sum(esum), 9) as esum_sum, round(avg(esum), 9) as esum_mean, round(min(esum), 9) as esum_min, round(max(esum), 9) as esum_max, sum(n)::bigint as n_sum, round(avg(n), 9) as n_mean, min(n) as n_min, max(n) as n_max from r group by event_id",
     "relative_energies": f"with {_T}, r as (select event_id, cluster_id, n, max(esum) as esum from t6 group by event_id, cluster_id, n) select event_id, cluster_id, round(esum - avg(esum) over (partition by event_id), 9) as esum from r",

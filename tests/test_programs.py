@@ -181,3 +181,15 @@ def test_set_packing_of_many_hits():
     n = 40
     cand = {(i,): 1.0 for i in range(n)} | {(i, i + 1): 0.3 for i in range(0, n, 2)} | {(i, i + 1): 0.9 for i in range(1, n - 1, 2)}
     assert S.set_packing(n, cand) == [(i, i + 1) for i in range(0, n, 2)]
+
+
+def test_classes_of_merges(spark):
+    from hitloom.operators import classes as K
+
+    e = spark.createDataFrame([(1, i) for i in range(1, 9)] + [(2, 5), (2, 5), (2, None)], "event_id long, point_idx int")
+    m = spark.createDataFrame([(1, 8, 3), (1, 3, 5), (1, 2, 1), (1, 2, 99), (1, None, 4), (3, 1, 2), (1, 8, 3)], "event_id long, a int, b int")
+    c = K.merged_classes(e, m)
+    assert {tuple(r) for r in c.collect()} == {(1, 1, 1), (1, 2, 1), (1, 3, 3), (1, 4, 4), (1, 5, 3), (1, 6, 6), (1, 7, 7), (1, 8, 3), (2, 5, 5)}
+    assert {tuple(r) for r in K.class_sizes(c, 2).collect()} == {(1, 1, 2), (1, 3, 3)}
+    assert {(r["a"], r["b"], r["same"]) for r in K.in_same_class(m.where("event_id = 1 and a is not null"), c).collect()} == {(8, 3, True), (3, 5, True), (2, 1, True), (2, 99, False)}
+    assert K.merged_classes(e.limit(0), m).count() == 0
