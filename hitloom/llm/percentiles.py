@@ -33,7 +33,7 @@ def _section(sections: int):
     return F.greatest(F.lit(0), F.least(F.lit(sections - 1), F.floor(share * sections))).cast("int")
 
 
-def bisect_percentiles(df: DataFrame, keys: list[str], value: str, percentiles=DEFAULT, sections: int = 256, tolerance: float = 0.0, max_passes: int = 64) -> DataFrame:
+def bisect_percentiles(df: DataFrame, keys: list[str], value: str, percentiles=DEFAULT, sections: int = 256, tolerance: float = 0.0, max_passes: int = 64, weight: str | None = None) -> DataFrame:
     """Percentiles of ``value`` per group: ``keys, p, n, lo, hi``; the true percentile lies in [lo, hi].
 
     For each group and percentile an interval of values is held that contains the target rank. A
@@ -41,7 +41,8 @@ def bisect_percentiles(df: DataFrame, keys: list[str], value: str, percentiles=D
     rows below them, and keeps the section that holds the rank, shrunk to the smallest and largest value
     counted in it. The points are equally far apart in the logarithm (:func:`_scale`) while the interval is wide, so that a few
     extreme values cost no passes, then in the value. An interval is resolved when it holds one value, or is no wider than ``tolerance``.
-    With tolerance 0 ``lo = hi`` is the exact discrete percentile (the value at rank ceil(p n)).
+    With tolerance 0 ``lo = hi`` is the exact discrete percentile (the value at rank ceil(p n)). ``weight``: a column of how many rows
+    a row stands for, as in a summary; rows of null or no weight are left out.
 
     The counts are sums, so partitions combine before the shuffle and a group with most of the rows is
     never gathered. A pass joins the rows once with the open intervals, of which there are at most as many as groups times percentiles,
@@ -53,13 +54,14 @@ def bisect_percentiles(df: DataFrame, keys: list[str], value: str, percentiles=D
     empty result.
     """
     k = [f"_k{i}" for i in range(len(keys))]
-    rows = df.select(*[F.col(c).alias(a) for c, a in zip(keys, k)], F.col(value).cast("double").alias("_v")).where("_v is not null and not isnan(_v)")
+    stands = F.lit(1) if weight is None else F.col(weight)
+    rows = df.select(*[F.col(c).alias(a) for c, a in zip(keys, k)], F.col(value).cast("double").alias("_v"), stands.cast("long").alias("_m")).where("_v is not null and not isnan(_v) and _m > 0")
     # Infinite values become the largest finite ones for cutting, and are restored at the end.
     big = 1.7976931348623157e308
     rows = rows.withColumn("_v", F.greatest(F.least("_v", F.lit(big)), F.lit(-big)) + F.lit(0.0))
     same = lambda a, b: reduce(lambda x, y: x & y, [F.col(f"{a}.{c}").eqNullSafe(F.col(f"{b}.{c}")) for c in k], F.lit(True))
 
-    spans = rows.groupBy(*k).agg(F.min("_v").alias("lo"), F.max("_v").alias("hi"), F.count("*").alias("n"))
+    spans = rows.groupBy(*k).agg(F.min("_v").alias("lo"), F.max("_v").alias("hi"), F.sum("_m").alias("n"))
     state = spans.withColumn("p", F.explode(F.array(*[F.lit(float(p)) for p in percentiles]))).withColumn("want", _rank("n", "p")).select(*k, "p", "n", "want", "lo", "hi")
     state = materialise(state, "state")
     live = rows
@@ -71,13 +73,13 @@ def bisect_percentiles(df: DataFrame, keys: list[str], value: str, percentiles=D
         if not state.limit(1).count():
             break
         cuts = state.select(*k, "lo", "hi").distinct()
-        inside = live.alias("r").join(cuts.alias("c"), same("r", "c") & (F.col("_v") >= F.col("lo")) & (F.col("_v") <= F.col("hi"))).select(*[F.col(f"r.{c}") for c in k], "_v", "lo", "hi")
+        inside = live.alias("r").join(cuts.alias("c"), same("r", "c") & (F.col("_v") >= F.col("lo")) & (F.col("_v") <= F.col("hi"))).select(*[F.col(f"r.{c}") for c in k], "_v", "_m", "lo", "hi")
         if passes:  # all rows are inside in the first pass
             inside = materialise(inside, "inside")
             if live is not rows:
                 drop_table(live)
-            live = inside.select(*k, "_v")
-        counts = inside.withColumn("s", _section(sections)).groupBy(*k, "lo", "hi", "s").agg(F.count("*").alias("m"), F.min("_v").alias("a"), F.max("_v").alias("b"))
+            live = inside.select(*k, "_v", "_m")
+        counts = inside.withColumn("s", _section(sections)).groupBy(*k, "lo", "hi", "s").agg(F.sum("_m").alias("m"), F.min("_v").alias("a"), F.max("_v").alias("b"))
         w = Window.partitionBy(*k, "lo", "hi").orderBy("s").rowsBetween(Window.unboundedPreceding, Window.currentRow)
         below = counts.withColumn("upto", F.sum("m").over(w)).alias("c")
         held = state.alias("t")
@@ -114,12 +116,7 @@ def merge(summary: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def summary_percentiles(merged: DataFrame, keys: list[str], percentiles=DEFAULT) -> DataFrame:
-    """``keys, p, n, lo, hi`` from a merged summary; hi - lo is below the summary's resolution."""
-    w = Window.partitionBy(*keys).orderBy("cell")
-    upto = merged.withColumn("upto", F.sum("m").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))).withColumn("n", F.sum("m").over(Window.partitionBy(*keys)))
-    return (
-        upto.withColumn("p", F.explode(F.array(*[F.lit(float(p)) for p in percentiles])))
-        .withColumn("want", _rank("n", "p"))
-        .where("want <= upto and want > upto - m")
-        .select(*keys, "p", "n", "lo", "hi")
-    )
+    """``keys, p, n, lo, hi`` from a merged summary, by bisection of its cells with their counts; hi - lo is below the summary's resolution."""
+    found = bisect_percentiles(merged, keys, "cell", percentiles, weight="m").select(*[F.col(c).alias(f"_{c}") for c in keys], "p", "n", F.col("lo").cast("long").alias("_cell"))
+    same = reduce(lambda x, y: x & y, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in keys], F.col("cell") == F.col("_cell"))
+    return merged.join(found, same).select(*keys, "p", "n", "lo", "hi")

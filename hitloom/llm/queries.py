@@ -33,13 +33,14 @@ def p2_percentiles(spark: SparkSession, sf: str) -> DataFrame:
 def p2_days_combined(spark: SparkSession, sf: str) -> DataFrame:
     """The same percentiles to 0.001 MeV, from day summaries that are made apart and merged."""
     keys = ["level", "crystal_no", "seg_no"]
-    return P.summary_percentiles(P.merge(P.summarise(_readings(spark, sf), keys, "day", "e", 0.001), keys), keys)
+    merged = P.merge(P.summarise(_readings(spark, sf), keys, "day", "e", 0.001), keys)
+    return P.summary_percentiles(materialise(merged, "merged"), keys)
 
 
 def p2_single_days(spark: SparkSession, sf: str) -> DataFrame:
     """Percentiles of single days, to 0.001 MeV, from the same summaries."""
     keys = ["level", "crystal_no", "seg_no"]
-    return P.summary_percentiles(P.summarise(_readings(spark, sf), keys, "day", "e", 0.001), [*keys, "day"])
+    return P.summary_percentiles(materialise(P.summarise(_readings(spark, sf), keys, "day", "e", 0.001), "days"), [*keys, "day"])
 
 
 def p4_found(spark: SparkSession, sf: str) -> DataFrame:

@@ -54,3 +54,13 @@ def test_days_made_apart_combine(spark):
     for r in P.summary_percentiles(merged, ["g"]).collect():
         v = exact([v for g, v, _ in rows if g == r["g"]], r["p"])
         assert r["lo"] <= v <= r["hi"] and r["hi"] - r["lo"] < 0.01
+
+
+def test_weights_stand_for_rows(spark):
+    rng = random.Random(8)
+    rows = [(rng.choice([1, 2]), float(rng.randint(-5, 40)), rng.randint(1, 6)) for _ in range(200)]
+    df = spark.createDataFrame([*rows, (1, 0.0, 0), (1, 1.0, None)], "g int, v double, w int")
+    got = {(r["g"], r["p"]): (r["lo"], r["n"]) for r in P.bisect_percentiles(df, ["g"], "v", (0.1, 0.5, 0.95), sections=4, weight="w").collect()}
+    for g in (1, 2):
+        every = [v for h, v, w in rows if h == g for _ in range(w)]
+        assert all(got[g, p] == (exact(every, p), len(every)) for p in (0.1, 0.5, 0.95))
