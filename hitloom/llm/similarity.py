@@ -417,7 +417,10 @@ def near_leaves(leaves: DataFrame, block: int = BLOCK, sharing: float = SHARING,
     pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.xxhash64("key", F.least(own, j), F.greatest(own, j)))
     split = every.join(crowded, "key", "left").select("leaf", "rep", F.explode(F.when(F.col("blocks").isNull(), F.array("key")).otherwise(pairs)).alias("key"))
     buckets = F.lit(max(1, math.ceil(n * turns / (4 * block))))
-    return split.groupBy(F.pmod(F.xxhash64("key"), buckets).alias("bucket")).applyInPandas(_near, "u long, v long")
+    links = materialise(split.groupBy(F.pmod(F.xxhash64("key"), buckets).alias("bucket")).applyInPandas(_near, "u long, v long"), "links")
+    for t in (keyed, crowded):
+        drop_table(t)
+    return links
 
 
 def similar_sets(df: DataFrame, record: str = "event_id", points: str = "points", most: int = LEAVES, **kw) -> DataFrame:
