@@ -7,6 +7,7 @@ import random
 from bisect import bisect_left, bisect_right, insort
 from collections.abc import Iterator
 from itertools import accumulate
+from operator import mul
 
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
@@ -14,12 +15,16 @@ from pyspark.sql import DataFrame, functions as F
 from hitloom.runtime import drop_table, materialise
 
 Bins = list[list[int]]
+#: Bins and how full each is.
+Packing = tuple[Bins, list[int]]
+_WELL = 0.99
 
 
 def _best_fit(bins: Bins, fill: list[int], items: list[int], size: list[int], cap: int) -> None:
-    """Put ``items`` into the fullest bins that still hold them, largest first; open bins as needed."""
-    room = sorted((cap - f, i) for i, f in enumerate(fill))
-    for it in sorted(items, key=lambda x: -size[x]):
+    """Put ``items`` into the fullest bins that still hold them, largest first; open bins as needed. Bins are replaced, not appended to, as other packings share them."""
+    items = sorted(items, key=lambda x: -size[x])
+    room = sorted([(cap - f, i) for i, f in enumerate(fill) if cap - f >= size[items[-1]]]) if items else []
+    for it in items:
         s = size[it]
         at = bisect_left(room, (s, -1))
         if at == len(room):
@@ -28,43 +33,67 @@ def _best_fit(bins: Bins, fill: list[int], items: list[int], size: list[int], ca
             insort(room, (cap - s, len(bins) - 1))
         else:
             r, i = room.pop(at)
-            bins[i].append(it)
+            bins[i] = [*bins[i], it]
             fill[i] += s
             insort(room, (r - s, i))
 
 
 def _value(fill: list[int], cap: int) -> tuple[int, float]:
     """Fewer bins first, then unevenly filled ones (their fill squared), which leave room to gain."""
-    return -len(fill), sum((f / cap) ** 2 for f in fill)
+    return -len(fill), sum(map(mul, fill, fill)) / (cap * cap)
 
 
-def _cross(a: Bins, b: Bins, size: list[int], cap: int, rng: random.Random) -> tuple[Bins, list[int]]:
-    """Child of ``a``: whole well-filled bins of ``b`` are injected, bins of ``a`` with duplicates are
+def _fills(bins: Bins, size: list[int]) -> list[int]:
+    return [sum([size[i] for i in g]) for g in bins]
+
+
+def _put_back(bins: Bins, fill: list[int], items: list[int], size: list[int], cap: int) -> None:
+    """Displaced items by best fit. Where that opens several bins, they are filled anew together if it makes them better."""
+    kept = len(bins)
+    _best_fit(bins, fill, items, size, cap)
+    if len(bins) > kept + 1:
+        anew = _fullest([i for g in bins[kept:] for i in g], size, cap)
+        fills = _fills(anew, size)
+        if _value(fills, cap) > _value(fill[kept:], cap):
+            bins[kept:], fill[kept:] = anew, fills
+
+
+def _cross(a: Packing, b: Packing, size: list[int], cap: int, rng: random.Random) -> Packing:
+    """Child of ``a``: some whole well-filled bins of ``b`` are injected, bins of ``a`` with duplicates are
     dissolved, and the displaced items are put back by best fit."""
-    fills = [sum(size[i] for i in g) for g in b]
-    order = sorted(range(len(b)), key=lambda j: -fills[j])
+    order = sorted(range(len(b[0])), key=lambda j: -b[1][j])
     good = order[: max(1, len(order) // 2)]
-    take = rng.sample(good, max(1, len(good) // 2))
-    chosen = [b[j] for j in take]
+    take = rng.sample(good, rng.randint(1, max(1, len(good) // 2)))
+    chosen = [b[0][j] for j in take]
     inside = {i for g in chosen for i in g}
-    keep, displaced = [], []
-    for g in a:
+    bins, fill, displaced = [], [], []
+    for g, f in zip(*a):
         if inside.isdisjoint(g):
-            keep.append(g)
+            bins.append(g)
+            fill.append(f)
         else:
             displaced += [i for i in g if i not in inside]
     # The emptiest bin is dissolved too: only so can a bin be saved.
-    if keep:
-        w = min(range(len(keep)), key=lambda j: sum(size[i] for i in keep[j]))
-        displaced += keep.pop(w)
-    bins = [list(g) for g in keep] + [list(g) for g in chosen]
-    fill = [sum(size[i] for i in g) for g in bins]
-    # What best fit has no open bin for begins bins of its own, and those are filled anew together.
-    kept = len(bins)
-    _best_fit(bins, fill, displaced, size, cap)
-    if len(bins) > kept + 1:
-        bins[kept:] = _fullest([i for g in bins[kept:] for i in g], size, cap)
-        fill[kept:] = [sum(size[i] for i in g) for g in bins[kept:]]
+    if bins:
+        w = fill.index(min(fill))
+        displaced += bins.pop(w)
+        fill.pop(w)
+    bins += chosen
+    fill += [b[1][j] for j in take]
+    _put_back(bins, fill, displaced, size, cap)
+    return bins, fill
+
+
+def _mutate(a: Packing, size: list[int], cap: int, rng: random.Random) -> Packing:
+    """``a`` without its emptiest bin, some badly filled ones and three times as many of any kind (up to a fifteenth of all); what they
+    held is put back by best fit."""
+    every = range(len(a[0]))
+    roomy = [j for j, f in enumerate(a[1]) if f < _WELL * cap]
+    n = rng.randint(1, max(1, len(every) // 60))
+    out = {a[1].index(min(a[1])), *rng.sample(roomy, min(n, len(roomy))), *rng.sample(every, min(3 * n, len(every)))}
+    bins = [g for j, g in enumerate(a[0]) if j not in out]
+    fill = [f for j, f in enumerate(a[1]) if j not in out]
+    _put_back(bins, fill, [i for j in sorted(out) for i in a[0][j]], size, cap)
     return bins, fill
 
 
@@ -80,39 +109,43 @@ def _fullest(items: list[int], size: list[int], cap: int) -> Bins:
             k = bisect_right(sizes, room) - 1
             least, take = room - sizes[k], (k,)
             a, b = 0, min(len(sizes), bisect_right(sizes, room - sizes[0])) - 1
+            # Beside each item in turn, from the largest down, the largest smaller one that fits.
             while a < b and least:
+                a = max(a, min(b, bisect_right(sizes, room - sizes[b], a)) - 1)
                 over = sizes[a] + sizes[b] - room
-                if over > 0:
-                    b -= 1
-                else:
-                    if -over < least:
-                        least, take = -over, (a, b)
-                    a += 1
+                if over <= 0 and -over < least:
+                    least, take = -over, (a, b)
+                b -= 1
             for k in reversed(take):
                 room -= sizes.pop(k)
                 bins[-1].append(left.pop(k))
     return bins
 
 
-def _start(size: list[int], cap: int, rng: random.Random, how: int) -> tuple[Bins, list[int]]:
-    """First individual: best fit by falling size; second: the fullest bins; others: the fullest bins of random halves, the
-    well filled ones kept and the rest filled anew together."""
+def _refilled(bins: Bins, size: list[int], cap: int, good: float) -> Bins:
+    """The items of bins below ``good`` filled anew together."""
+    well = [sum([size[i] for i in g]) >= good * cap for g in bins]
+    return [g for g, w in zip(bins, well) if w] + _fullest([i for g, w in zip(bins, well) if not w for i in g], size, cap)
+
+
+def _start(size: list[int], cap: int, rng: random.Random, how: int) -> Packing:
+    """First individual: best fit by falling size; second: the same, the badly filled bins filled anew; third: the fullest bins;
+    others: the fullest bins of random halves, the badly filled ones filled anew together."""
     bins: Bins = []
-    fill: list[int] = []
-    if how == 0:
-        _best_fit(bins, fill, list(range(len(size))), size, cap)
-        return bins, fill
     items = list(range(len(size)))
-    if how == 1:
+    if how < 2:
+        fill: list[int] = []
+        _best_fit(bins, fill, items, size, cap)
+        if how == 0:
+            return bins, fill
+        bins = _refilled(bins, size, cap, _WELL)
+    elif how == 2:
         bins = _fullest(items, size, cap)
     else:
         rng.shuffle(items)
         half = len(items) // 2
-        for part in (items[:half], items[half:]):
-            bins += _fullest(part, size, cap)
-        weak = [g for g in bins if sum(size[i] for i in g) < 0.98 * cap]
-        bins = [g for g in bins if sum(size[i] for i in g) >= 0.98 * cap] + _fullest([i for g in weak for i in g], size, cap)
-    return bins, [sum(size[i] for i in g) for g in bins]
+        bins = _refilled(_fullest(items[:half], size, cap) + _fullest(items[half:], size, cap), size, cap, 0.98)
+    return bins, _fills(bins, size)
 
 
 def least_bins(size: list[int], cap: int) -> int:
@@ -136,50 +169,27 @@ def least_bins(size: list[int], cap: int) -> int:
 def evolve(size: list[int], cap: int, population: list[Bins], rng: random.Random, members: int = 6, generations: int = 12) -> list[Bins]:
     """One epoch of one island; the best individual comes first. Ends early where fewer bins are impossible.
 
-    Parents are drawn by rank: the better of two for the one, any other for the second.
+    Parents are drawn by rank: the better of two for the one, any other for the second. Each generation brings two children by crossover
+    and a mutant of each of the parents; whatever is better than the worst member and not as good as another takes its place.
     """
     least = least_bins(size, cap)
-    pop = [(_value([sum(size[i] for i in g) for g in p], cap), p) for p in population]
+    pop = [(_value(fill, cap), (p, fill)) for p in population for fill in [_fills(p, size)]]
     while len(pop) < members and not (pop and max(v[0] for v, _ in pop) >= -least):
-        bins, fill = _start(size, cap, rng, len(pop))
-        pop.append((_value(fill, cap), bins))
+        new = _start(size, cap, rng, len(pop))
+        pop.append((_value(new[1], cap), new))
     pop.sort(key=lambda x: x[0], reverse=True)
     for _ in range(generations):
         if -pop[0][0][0] <= least or len(pop) < 2:
             break
         i = min(rng.sample(range(len(pop)), 2))
         j = rng.choice([x for x in range(len(pop)) if x != i])
-        for p, q in ((i, j), (j, i)):
-            bins, fill = _cross(pop[p][1], pop[q][1], size, cap, rng)
-            v = _value(fill, cap)
+        a, b = pop[i][1], pop[j][1]
+        for new in (_cross(a, b, size, cap, rng), _cross(b, a, size, cap, rng), _mutate(a, size, cap, rng), _mutate(b, size, cap, rng)):
+            v = _value(new[1], cap)
             if v > pop[-1][0] and all(v != w for w, _ in pop):
-                pop[-1] = (v, bins)
+                pop[-1] = (v, new)
                 pop.sort(key=lambda x: x[0], reverse=True)
-    return [p for _, p in pop]
-
-
-def _seed(good: float):
-    """A shard by best fit: the items of bins filled to ``good`` and their bin, and the items of all others, which the search is for."""
-
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in parts:
-            rows = []
-            for r in pdf.itertuples(index=False):
-                size, cap = [int(x) for x in r.sizes], int(r.cap)
-                bins: Bins = []
-                fill: list[int] = []
-                _best_fit(bins, fill, list(range(len(size))), size, cap)
-                full = [g for g, f in zip(bins, fill) if f >= good * cap]
-                held = {i for g in full for i in g}
-                left = [i for i in range(len(size)) if i not in held]
-                ids = [int(x) for x in r.ids]
-                rows.append((r.container_kind, cap, r.shard, [ids[i] for g in full for i in g], [size[i] for g in full for i in g], [b for b, g in enumerate(full) for _ in g], [ids[i] for i in left], [size[i] for i in left]))
-            yield pd.DataFrame(rows, columns=["container_kind", "cap", "shard", "full_ids", "full_sizes", "full_bins", "ids", "sizes"])
-
-    return run
-
-
-_SEEDED = "container_kind string, cap long, shard long, full_ids array<long>, full_sizes array<long>, full_bins array<int>, ids array<long>, sizes array<long>"
+    return [p for _, (p, _) in pop]
 
 
 def _flat(bins: Bins) -> list[int]:
@@ -214,16 +224,18 @@ def _epoch(seed: int, members: int, generations: int):
     return run
 
 
-def _pack_shards(shards: DataFrame, seed: int, islands: int, epochs: int, members: int, generations: int) -> DataFrame:
+def _pack_shards(shards: DataFrame, n_shards: int, seed: int, islands: int, epochs: int, members: int, generations: int) -> DataFrame:
     """The best packing found for each shard: ``container_kind, cap, shard, ids, sizes, best``.
 
-    Every island of a shard evolves its own population. After each epoch its elite moves to the next
+    Every island of a shard evolves its own population over all items of the shard. After each epoch its elite moves to the next
     island of the ring: rows of islands are exchanged, never the items of other shards.
+    A partition holds some four islands, each alone while there are few.
     """
+    parts = min(n_shards * islands, max(64, math.ceil(n_shards * islands / 4)))
     empty = F.array().cast("array<array<int>>")
     state = shards.select("*", F.explode(F.array(*[F.lit(i) for i in range(islands)])).alias("island"), empty.alias("pop"))
     for e in range(epochs):
-        state = state.repartition("container_kind", "shard", "island").mapInPandas(_epoch(seed + e, members, generations), _STATE)
+        state = state.repartition(parts, "container_kind", "shard", "island").mapInPandas(_epoch(seed + e, members, generations), _STATE)
         if e < epochs - 1:
             state = materialise(state, "islands")
             elite = state.select("container_kind", "shard", ((F.col("island") + 1) % islands).alias("island"), F.col("pop")[0].alias("elite"))
@@ -250,8 +262,8 @@ def pack(
 
     An item above the capacity is cut into full pieces, each a container of its own, and a rest;
     all else stays whole. Items are dealt to shards of about ``shard_items`` by hash, so that the work grows with the data and no
-    task sees more than a shard. Best fit fills most containers of a shard to ``good`` and more; they are kept. The items of all others are
-    what the grouping genetic algorithm packs, on ``islands`` islands with elite migration between ``epochs``; it stops where fewer containers are
+    search sees more than a shard. The grouping genetic algorithm packs all items of a shard, on ``islands`` islands with elite migration between
+    ``epochs``; it stops where fewer containers are
     impossible (:func:`least_bins`). Items whose containers stay below ``good`` are dealt anew, into
     fewer shards, up to ``levels`` times, so that the half-empty last container of each shard doesn't stay.
 
@@ -279,23 +291,20 @@ def pack(
         counts = {r["container_kind"]: r["c"] for r in pool.groupBy("container_kind").agg(F.count("*").alias("c")).collect()}
         if not counts:
             break
+        dealt = {kind: max(1, math.ceil(c / shard_items)) for kind, c in counts.items()}
         n_shards = F.lit(1).cast("long")
-        for kind, c in counts.items():
-            n_shards = F.when(F.col("container_kind") == kind, F.lit(max(1, math.ceil(c / shard_items))).cast("long")).otherwise(n_shards)
+        for kind, c in dealt.items():
+            n_shards = F.when(F.col("container_kind") == kind, F.lit(c).cast("long")).otherwise(n_shards)
         shards = (
             pool.withColumn("shard", F.pmod(F.xxhash64(F.lit(seed + level), "id"), n_shards))
             .groupBy("container_kind", "cap", "shard")
             .agg(F.sort_array(F.collect_list(F.struct("n", "id"))).alias("items"))
             .select("container_kind", "cap", "shard", F.col("items.id").alias("ids"), F.col("items.n").alias("sizes"))
         )
-        seeded = materialise(shards.repartition("container_kind", "shard").mapInPandas(_seed(good), _SEEDED), "seeded")
-        name = lambda kind: F.concat_ws("-", "container_kind", F.lit(level), F.lit(kind), "shard", "bin")
-        full = seeded.select("container_kind", "shard", F.explode(F.arrays_zip("full_ids", "full_sizes", "full_bins")).alias("i")).select("container_kind", "shard", F.col("i.full_ids").alias("id"), F.col("i.full_sizes").alias("n"), F.col("i.full_bins").alias("bin"))
-        placed.append(full.select("container_kind", name("a").alias("container_id"), "id", "n"))
-        best = _pack_shards(seeded.where("size(ids) > 0").select("container_kind", "cap", "shard", "ids", "sizes"), seed + 100 * level, islands, epochs, members, generations)
+        best = _pack_shards(materialise(shards, "shards"), sum(dealt.values()), seed + 100 * level, islands, epochs, members, generations)
         rows = best.select("container_kind", "cap", "shard", F.explode(F.arrays_zip("ids", "sizes", "best")).alias("i")).select("container_kind", "cap", "shard", F.col("i.ids").alias("id"), F.col("i.sizes").alias("n"), F.col("i.best").alias("bin"))
         rows = materialise(rows, "placed")
-        named = rows.withColumn("container_id", name("b"))
+        named = rows.withColumn("container_id", F.concat_ws("-", "container_kind", F.lit(level), "shard", "bin"))
         if level == levels - 1 or all(c <= shard_items for c in counts.values()):
             placed.append(named.select("container_kind", "container_id", "id", "n"))
             break

@@ -74,3 +74,51 @@ def test_search_gains_on_best_fit_where_there_is_room():
         assert len(best) <= len(bins) and len(best) >= K.least_bins(size, 1000)
         gained += len(bins) - len(best)
     assert gained > 0
+
+
+def test_search_takes_every_item_of_a_shard(spark):
+    # Some containers that best fit fills to 99 or 100 of 100 must be broken up to save one.
+    for sizes, need in (
+        ([5, 8, 10, 10, 13, 15, 16, 18, 24, 25, 26, 27, 33, 34, 39, 39, 43, 44, 45, 51, 75], 6),
+        ([4, 5, 16, 18, 19, 21, 24, 25, 27, 34, 44, 59, 63, 66, 75], 5),
+        ([5, 6, 11, 14, 15, 19, 20, 23, 23, 58, 63, 79, 80, 84], 5),
+    ):
+        bins, fill = K._start(sizes, 100, random.Random(0), 0)
+        assert len(bins) == need + 1
+        got = pack(spark, sizes, [("a", 100)]).collect()
+        assert sorted(r["id"] for r in got) == list(range(len(sizes)))
+        assert len({r["container_id"] for r in got}) == need
+
+
+def test_mutation_keeps_items_and_gains_by_itself(monkeypatch):
+    monkeypatch.setattr(K, "_cross", lambda a, b, *_: a)
+    for k in range(4):
+        rng = random.Random(k)
+        size = sorted(rng.randint(200, 450) for _ in range(800))
+        starts = [K._start(size, 1000, random.Random(h), h)[0] for h in range(3)]
+        best = K.evolve(size, 1000, [[list(g) for g in b] for b in starts], rng, members=3, generations=60)[0]
+        assert sorted(i for g in best for i in g) == list(range(800))
+        assert all(sum(size[i] for i in g) <= 1000 for g in best)
+        assert len(best) < min(map(len, starts))
+
+
+def test_members_share_bins_unharmed():
+    rng = random.Random(4)
+    size = [rng.randint(1, 60) for _ in range(80)]
+    a, b = K._start(size, 100, rng, 3), K._start(size, 100, rng, 4)
+    before = [list(g) for g in a[0]], [list(g) for g in b[0]]
+    for _ in range(40):
+        for bins, fill in (K._cross(a, b, size, 100, rng), K._mutate(a, size, 100, rng)):
+            assert sorted(i for g in bins for i in g) == list(range(80))
+            assert fill == K._fills(bins, size) and max(fill) <= 100
+    assert before == (a[0], b[0])
+
+
+def test_displaced_items_are_never_put_back_worse_than_by_best_fit():
+    for k in range(300):
+        rng = random.Random(k)
+        size = [rng.randint(0, 60) for _ in range(rng.randint(1, 20))]
+        bins, fill, plain, pfill = [], [], [], []
+        K._put_back(bins, fill, list(range(len(size))), size, 100)
+        K._best_fit(plain, pfill, list(range(len(size))), size, 100)
+        assert K._value(fill, 100) >= K._value(pfill, 100)
